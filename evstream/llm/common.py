@@ -68,25 +68,32 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
 
 
 class WordMemo:
-    """Values by white-space-delimited chunk, kept between batches up to a bound.
+    """Values by white-space-delimited chunk, kept between batches in two generations of bounded size.
 
-    A full memo is cut back to the latest batch's chunks; a chunk that went is computed again, so
-    the bound costs time only.
+    When the young generation is full it becomes the old one, and what is met again moves back. A chunk
+    that went is computed again, so the bound costs time only. compute gets the chunks that are missing
+    and a function that gives what is known of another chunk, or None.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], Iterable], bound: int = 400_000) -> None:
-        self.compute, self.bound, self.known = compute, bound, {}
+    def __init__(self, compute: Callable[[list[bytes], Callable], Iterable], bound: int = 400_000) -> None:
+        self.compute, self.bound, self.young, self.old = compute, bound, {}, {}
+
+    def known(self, chunk: bytes):
+        return self.young.get(chunk) or self.old.get(chunk)
 
     def load(self, docs: list[list[bytes]]) -> Callable:
         """Make all chunks of docs known and return the lookup."""
         distinct: set[bytes] = set()
         for words in docs:
             distinct.update(words)
-        if len(self.known) > self.bound:
-            self.known = {w: self.known[w] for w in distinct & self.known.keys()}
-        if missing := list(distinct - self.known.keys()):
-            self.known.update(zip(missing, self.compute(missing)))
-        return self.known.__getitem__
+        if len(self.young) > self.bound:
+            self.young, self.old = {}, self.young
+        distinct -= self.young.keys()
+        again = distinct & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        if missing := list(distinct - again):
+            self.young.update(zip(missing, self.compute(missing, self.known)))
+        return self.young.__getitem__
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordMemo, materialize, small_batches, text_bytes
-from .words import chunk_ids, word_bpe_path
+from .words import chunk_ids, chunks_of, word_bpe_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,7 +33,7 @@ END_ID = 0
 
 @lru_cache(maxsize=1)
 def _memo(path: str) -> WordMemo:
-    return WordMemo(chunk_ids(path), bound=500_000)
+    return WordMemo(chunk_ids(path))
 
 
 def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, met, part = _memo(path), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
-            words = [t.split() for t in batch.column("__text").to_pylist()]
+            words = [chunks_of(t) for t in batch.column("__text").to_pylist()]
             ids_of = memo.load(words)
             row, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
             for k, w in enumerate(words):

@@ -59,7 +59,7 @@ class SubwordModel:
     gains: np.ndarray
     bias: float
 
-    def word_gains(self, chunks: list[bytes]) -> list[float]:
+    def word_gains(self, chunks: list[bytes], known=None) -> list[float]:
         bags = [word_buckets(c, len(self.gains)) for c in chunks]
         sizes = np.fromiter(map(len, bags), np.int64, len(bags))
         flat = np.fromiter((b for bag in bags for b in bag), np.int64, int(sizes.sum()))

@@ -33,17 +33,36 @@ def load_tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """The chunks of a text, A-Z in lower case as the normaliser has them (special strings are matched before it, as they stand)."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
+def core_of(chunk: bytes) -> bytes:
+    """A chunk without one full stop or comma after an ASCII letter, which is a token of its own; else the chunk."""
+    return chunk[:-1] if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha() else chunk
+
+
 def chunk_ids(path: str):
     """A function from chunks to their ids, packed as little-endian unsigned 32-bit numbers."""
     library = load_tokenizer(path)
 
-    def compute(chunks: list[bytes]) -> list[bytes]:
+    def encode(chunks: list[bytes]) -> list[bytes]:
         out = []
         for k in range(0, len(chunks), 4096):
             got = library.encode_batch_fast([c.decode() for c in chunks[k : k + 4096]], add_special_tokens=False)
             out += [struct.pack(f"<{len(ids)}I", *ids) for ids in map(_ids, got)]
         return out
 
+    marks = dict(zip((44, 46), encode([b",", b"."])))
+
+    def compute(chunks: list[bytes], known=lambda chunk: None) -> list[bytes]:
+        cores = list(map(core_of, chunks))
+        ids = {core: known(core) for core in cores}
+        missing = [core for core, got in ids.items() if got is None]
+        ids.update(zip(missing, encode(missing)))
+        return [ids[core] if core is chunk else ids[core] + marks[chunk[-1]] for core, chunk in zip(cores, chunks)]
+
     return compute
 
 
@@ -117,11 +136,15 @@ class PrefixCounter:
         self.grow(word, [""], [0], shut := [])
         return shut
 
-    def compute(self, chunks: list[bytes]) -> list[bytes | list[int]]:
+    def compute(self, chunks: list[bytes], known=lambda chunk: None) -> list[bytes | list[int]]:
         """Counts at every character prefix of each chunk, from its first character to the whole."""
         out: list = [None] * len(chunks)
         todo = []
         for k, raw in enumerate(chunks):
+            core = core_of(raw)
+            if core is not raw and isinstance(got := known(core), bytes) and got[-1] < 255:
+                out[k] = got + bytes([got[-1] + 1])
+                continue
             text = raw.decode()
             if len(text) < 200 and (m := _PLAIN.fullmatch(text)):
                 low = m[1].lower()
