@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, token_counts, toxicity
+from . import exact_dedup, hnsw, licences, packing, sentencepieces, sharding, simhash, token_counts, toxicity, warc
 from .common import table
 
 TOKEN_LIMIT = 2048
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -32,16 +36,37 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_licences": op3_licences,
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_hnsw": op7_hnsw,
     "op8_simhash": op8_simhash,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -49,4 +74,20 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    # the fewest leading bits at which a row's bucket fits; buckets are sums by prefix at every depth
+    "op9_sharding": f"""
+        WITH t AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash FROM documents),
+             d AS (SELECT CAST(unnest(range(0, 33)) AS INTEGER) AS depth),
+             b AS (SELECT depth, hash >> ({sharding.BITS} - depth) AS prefix FROM t, d WHERE n_bytes <= {sharding.LIMIT_BYTES} GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT_BYTES}),
+             f AS (SELECT t.doc_id, t.hash, t.n_bytes, min(b.depth) AS depth FROM t, b WHERE t.hash >> ({sharding.BITS} - b.depth) = b.prefix GROUP BY ALL)
+        SELECT doc_id, n_bytes, depth, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(hash), {sharding.BITS}, '0')[1:depth], depth) END AS shard_id FROM f""",
+    "op10_warc": r"""
+        WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+             g AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM t),
+             k AS (SELECT unnest(range(0, 32)) AS k),
+             d AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(bits, 5 * k + 1, 5)) AS INTEGER) + 1, 1), '' ORDER BY k) AS digest
+                   FROM (SELECT page_id, string_agg(lpad(bin(CAST('0x' || substr(hex, 10 * j + 1, 10) AS BIGINT)), 40, '0'), '' ORDER BY j) AS bits FROM t, (SELECT unnest(range(0, 4)) AS j) GROUP BY page_id), k GROUP BY page_id)
+        SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM g JOIN d USING (page_id)""",
 }
