@@ -23,6 +23,21 @@ WORD_BPE = "word_bpe_49k.json"
 _PLAIN = re.compile(r"([^\W\d_]*)([.,;:!?\"()]*)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = {b: ch for b, ch in _byte_letters().items() if b != ord(ch)}
+
+
+def spelled(word: str) -> str:
+    """A word with the letter that stands for each of its bytes."""
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
 def word_bpe_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
@@ -47,11 +62,24 @@ def chunk_ids(path: str):
     """A function from chunks to their ids, packed as little-endian unsigned 32-bit numbers."""
     library = load_tokenizer(path)
 
+    word = library.model.tokenize
+
     def encode(chunks: list[bytes]) -> list[bytes]:
-        out = []
-        for k in range(0, len(chunks), 4096):
-            got = library.encode_batch_fast([c.decode() for c in chunks[k : k + 4096]], add_special_tokens=False)
-            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in map(_ids, got)]
+        """Words of composed Latin letters need no more normalising and cutting than here; they go to the library's model. Others go through all of it."""
+        out: list = [None] * len(chunks)
+        rest = []
+        for k, chunk in enumerate(chunks):
+            text = chunk.decode()
+            if text.isalpha() and len(low := text.lower()) == len(text) and max(low) < "\u0250":
+                ids = [t.id for t in word(low if low.isascii() else spelled(low))]
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(k)
+        for k in range(0, len(rest), 4096):
+            got = library.encode_batch_fast([chunks[r].decode() for r in rest[k : k + 4096]], add_special_tokens=False)
+            for r, encoding in zip(rest[k : k + 4096], got):
+                ids = encoding.ids
+                out[r] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     marks = dict(zip((44, 46), encode([b",", b"."])))
@@ -66,10 +94,6 @@ def chunk_ids(path: str):
     return compute
 
 
-def _ids(encoding) -> list[int]:
-    return encoding.ids
-
-
 class PrefixCounter:
     """Token counts at every character prefix of a chunk, by dynamic programming over prefixes.
 
@@ -92,7 +116,6 @@ class PrefixCounter:
         self.shut = {t.removesuffix(self.end): t for t in made if t.endswith(self.end)}
         self.tails = {t[k:] for t in [*self.open, *self.shut] for k in range(len(t))}
         self.agree: dict[tuple[str, str], bool] = {}
-        self.letters = {b: ch for b, ch in _byte_letters().items() if b != ord(ch)}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The encoding of a few symbols by the merge rules themselves."""
@@ -110,10 +133,6 @@ class PrefixCounter:
         known = self.agree[a, b + mark] = self.merge([*a, *b[:-1], b[-1] + mark]) == [a, b + mark]
         return known
 
-    def spelled(self, word: str) -> str:
-        """The word with a letter for each of its bytes."""
-        return word.encode().decode("latin-1").translate(self.letters)
-
     def grow(self, word: str, last: list[str], count: list[int], shut: list[int]) -> None:
         """Extend the tables from the prefixes they hold to the whole word."""
         opened, closed, tails, agree, end = self.open, self.shut, self.tails, self.agree, self.end
@@ -152,7 +171,7 @@ class PrefixCounter:
                     todo.append((low, k, low, m[2]))
                     continue
                 if len(low) == len(m[1]) and max(low) < "\u0250":  # composed Latin letters: each is lowered by itself
-                    todo.append((self.spelled(low), k, low, m[2]))
+                    todo.append((spelled(low), k, low, m[2]))
                     continue
             out[k] = self.slow(text)
         todo.sort()
@@ -184,21 +203,14 @@ class PrefixCounter:
         if len(text) > 64 and len(low := library.normalizer.normalize_str(text)) == len(text) and unicodedata.is_normalized("NFC", text):
             out, base = [], 0
             for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(low):
-                spelled = [self.spelled(ch) for ch in low[a:b]]
-                counts = self.piece("".join(spelled))
+                letters = [spelled(ch) for ch in low[a:b]]
+                counts = self.piece("".join(letters))
                 if low[a] == "'" and b - a > 1 and low[b - 1].isalpha():  # a contraction: its prefixes are cut after the mark
                     counts[:-1] = [1, *(1 + n for n in self.piece(low[a + 1 : b - 1]))]
-                out += [base + counts[at] for at in accumulate([-1, *map(len, spelled)]) if at >= 0]
+                out += [base + counts[at] for at in accumulate([-1, *map(len, letters)]) if at >= 0]
                 base = out[-1]
             return out
         return [sum(self.piece(p)[-1] for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text[:k]))) for k in range(1, len(text) + 1)]
 
 
 last_count = itemgetter(-1)
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
