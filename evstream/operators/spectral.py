@@ -99,7 +99,7 @@ def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0)
     """k, freq_hz, magnitude from 1 Hz to max_hz of the mean-free rate, without a window. No rows without a duration."""
     bin_s = bin_ms * 1e-3
     rate = rate_histogram(points, bin_ms)
-    size = rate.agg(F.count("*").alias("__n"), F.avg("rate").alias("__mean"))
+    size = rate.agg(F.nullif(F.count("*"), F.lit(0)).alias("__n"), F.avg("rate").alias("__mean"))
     rows = rate.crossJoin(F.broadcast(size)).where("rate <> 0").select("bin", (F.col("rate")).alias("v"), "__n")
     hz = 1.0 / (F.col("__n") * F.lit(bin_s))
     # the mean adds nothing at any k over 0, so bins without events need not be joined
