@@ -59,7 +59,7 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
 
 def _suspects(rows: DataFrame, bits: int, owner_rows: int) -> DataFrame:
     """rows (src, rid, fp, ...) with suspect: whether another row may have the same text."""
-    owner_bits = max(0, (max(1, rows.count()) // owner_rows).bit_length())
+    owner_bits = min(bits, (rows.count() // owner_rows).bit_length())
     span = 1 << (bits - owner_bits)
 
     def send(table: pa.Table) -> pa.Table:

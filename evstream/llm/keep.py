@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spare
 
 BROADCAST_ROWS = 500_000
 
@@ -23,15 +23,15 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, text: str = "text") -> Data
     keys = decisions.groupBy("doc_id", "key").agg(F.max("kept").alias("any"), F.count("*").alias("rows"))
     keys = materialize(keys.where("not any or rows > 1"), "decided")
     dropped, repeated = keys.where("not any").count(), keys.where("any").count()
-    keyed = docs.withColumn("__key", row_key(text))
-    out = keyed
+    key, doc, of = (spare(docs, n) for n in ("__key", "__doc", "__of"))
+    out = keyed = docs.withColumn(key, row_key(text))
+
+    def matched(rows: DataFrame, side: DataFrame, n: int, how: str) -> DataFrame:
+        side = side.select(F.col("doc_id").alias(doc), F.col("key").alias(of))
+        return rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(of)), how)
+
     if dropped or repeated:
-        side = keys.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"))
-        side = F.broadcast(side) if dropped + repeated <= BROADCAST_ROWS else side
-        out = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__of")), "left_anti")
+        out = matched(keyed, keys, dropped + repeated, "left_anti")
     if repeated:
-        side = keys.where("any").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"))
-        side = F.broadcast(side) if repeated <= BROADCAST_ROWS else side
-        same = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__of")), "left_semi")
-        out = out.unionByName(same.dropDuplicates(["doc_id", "__key"]))
-    return out.drop("__key")
+        out = out.unionByName(matched(keyed, keys.where("any"), repeated, "left_semi").dropDuplicates(["doc_id", key]))
+    return out.drop(key)

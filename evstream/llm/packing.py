@@ -88,7 +88,7 @@ class _Stock:
         for k in np.flatnonzero(self.n).tolist():
             self.pairs |= self.singles << k
 
-    def pair(self, gap: int, low: int = 1) -> tuple[int, int] | None:
+    def pair(self, gap: int) -> tuple[int, int] | None:
         """The pair of that sum with the longest member."""
         have = self.n[: gap + 1] > 0
         both = np.flatnonzero(have & have[::-1])
@@ -97,14 +97,14 @@ class _Stock:
                 return a, gap - a
         return None
 
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that sum to gap, by what is in stock."""
-        if self.n[gap]:
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """At most so many lengths (one, two or three) that sum to gap, by what is in stock."""
+        if most and self.n[gap]:
             return (gap,)
-        if not self.pairs >> gap & 1:
-            pass
-        elif found := self.pair(gap):
+        if most > 1 and self.pairs >> gap & 1 and (found := self.pair(gap)):
             return found
+        if most < 3:
+            return None
         for a in np.flatnonzero(self.n[:gap])[::-1].tolist():
             if a * 3 < gap:
                 return None
@@ -118,7 +118,15 @@ class _Stock:
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns of lengths (longest first placed) and how many sequences take each."""
+    """Patterns of lengths (longest first placed) and how many sequences take each.
+
+    Planned with sums of up to three, two and one lengths and by best fit alone; the plan with the fewest sequences
+    counts, the more exact one of equals.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     stock, plan, used = _Stock(counts, capacity), [], 0
     for longest in range(capacity, 0, -1):
         while stock.n[longest]:
@@ -126,7 +134,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             stock.n[longest] -= 1
             gap = capacity - longest
             while gap:
-                if fill := stock.exact(gap):
+                if fill := stock.exact(gap, most):
                     pattern += fill
                 else:
                     fits = np.flatnonzero(stock.n[: gap + 1])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordMemo, small_batches, text_bytes
+from .common import WordMemo, small_batches, spare, text_bytes
 
 MAX_ROWS = 6000
 BUCKETS = 1 << 18
@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     return train([r[2] for r in got], [r[1] for r in got])
 
 
-def _scores(batch: pa.RecordBatch, model: SubwordModel, memo: WordMemo) -> np.ndarray:
-    words = [t.split() for t in batch.column("__text").to_pylist()]
+def _scores(batch: pa.RecordBatch, model: SubwordModel, memo: WordMemo, column: str = "__text") -> np.ndarray:
+    words = [t.split() for t in batch.column(column).to_pylist()]
     return model.probabilities(words, memo.load(words))
 
 
@@ -189,13 +189,13 @@ def drop_toxic(docs: DataFrame, model: SubwordModel, text: str = "text", thresho
     """docs without the rows that score at or over the threshold, all columns as they were."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", text_bytes(text))
-    names = docs.columns
+    body, names = spare(docs, "__text"), docs.columns
+    rows = docs.withColumn(body, text_bytes(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo(shared.value.word_gains)
         for batch in batches:
-            clean = pa.array(_scores(batch, shared.value, memo) < threshold)
+            clean = pa.array(_scores(batch, shared.value, memo, body) < threshold)
             yield batch.select(names).filter(clean)
 
     return rows.mapInArrow(run, T.StructType(list(docs.schema.fields)))
