@@ -7,8 +7,8 @@ held-out variants, so probabilities are calibrated. A paragraph whose best famil
 with that family's templates; if no template is contained in it well enough, or no single family is
 probable, while "none" is improbable, its family is "unknown".
 
-Scanning uses DataFrame functions only. A paragraph without a word that any feature has can only be
-"none" and is not taken apart; that is a property of the sum, not a cut.
+Scanning uses DataFrame functions only. A paragraph without a word of any feature that speaks for a family
+can only be "none" and is not taken apart; that is a property of the sum, not a cut.
 
 Null text counts as empty and has one empty paragraph. Null doc_ids and repeated rows get rows of their
 own. An empty table gives an empty table. Other columns are never looked at.
@@ -73,8 +73,19 @@ class LicenceModel:
     bias: np.ndarray
 
     def anchors(self) -> list[str]:
-        """Words at least one of which is in every feature."""
-        return sorted({w for f in self.features for w in f.split(" ") if w not in STOP})
+        """Words at least one of which is in every feature that speaks for a family against none.
+
+        A text without them has no more for any family than the empty text.
+        """
+        speaks = (self.weights[:, :-1] > self.weights[:, -1:]).any(1)
+        return sorted({w for f, yes in zip(self.features, speaks) if yes for w in f.split(" ") if w not in STOP})
+
+    def pattern(self) -> str:
+        """A regular expression that finds an anchor, branching on its first letter."""
+        by_first: dict[str, list[str]] = {}
+        for a in self.anchors():
+            by_first.setdefault(a[0], []).append(re.escape(a[1:]))
+        return "(?<![a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items()) + ")(?![a-z0-9])"
 
     def probabilities(self, text: str) -> np.ndarray:
         at = {f: k for k, f in enumerate(self.features)}
@@ -147,7 +158,7 @@ def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | N
     model, spark = model or train(), docs.sparkSession
     classes = [*model.families, "none"]
     body = F.coalesce(F.col(text), F.lit(""))
-    anchored = r"(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![a-z0-9])"
+    anchored = model.pattern()
     words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", body.alias("__body"))
     rows = rows.select("__row", "doc_id", F.split("__body", "\n").alias("__lines"), (F.lower("__body").rlike(anchored)).alias("__any"))
