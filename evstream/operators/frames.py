@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FrameConfig, PreviewConfig, Sensor
 from ..functions.scalars import clamp, int_div, polarity, quantize
-from .windows import bounds_filter, channel_masks, trailing_window
+from .windows import bounds_filter, channel_masks, dense_range, trailing_window
 
 GREY = 128
 #: Small Gaussian kernels, by size.
@@ -155,7 +155,7 @@ def frame_spine(points: DataFrame, fps: float = 30.0) -> DataFrame:
     """side and frame_idx of all frames of frame_series, those without a touched pixel too."""
     clock = points.agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t1 > t0")
     n = F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) * F.lit(1e-6) * float(fps)))
-    return clock.select(F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("frame_idx")).withColumn("side", F.explode(F.array(F.lit("raw"), F.lit("filtered"))))
+    return dense_range(clock, n, "frame_idx").select("frame_idx", F.explode(F.array(F.lit("raw"), F.lit("filtered"))).alias("side"))
 
 
 def latest_frame_header(frame: DataFrame, stamp_us: int, frame_id: str = "camera", encoding: str = "mono8") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FlickerConfig
 from ..functions.scalars import int_div
+from .windows import dense_range
 
 
 def count_signal(events: DataFrame, cfg: FlickerConfig = FlickerConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,5 +42,5 @@ def rate_histogram(points: DataFrame, bin_ms: float = 1.0) -> DataFrame:
     k = F.floor(s / F.col("__step"))
     k = k - (s < k * F.col("__step")).cast("int") + (s >= (k + 1) * F.col("__step")).cast("int")
     counts = points.crossJoin(F.broadcast(clock)).groupBy(k.cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    spine = clock.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("bin"))
+    spine = dense_range(clock.select("__n"), F.col("__n"), "bin")
     return spine.join(counts, "bin", "left").select("bin", (F.coalesce("n", F.lit(0)) / F.lit(bin_s)).alias("rate"))

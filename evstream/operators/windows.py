@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_bounds, int_div
@@ -16,6 +16,13 @@ def with_scalar(df: DataFrame, **aggregates) -> DataFrame:
     return df.crossJoin(F.broadcast(one))
 
 
+def dense_range(one: DataFrame, n: Column, name: str, block: int = 65_536) -> DataFrame:
+    """Rows 0 .. n - 1 for each row of one, made block by block in as many tasks as there are blocks."""
+    blocks = one.withColumn("__n", n.cast("long")).where("__n > 0").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), int_div(F.col("__n") - 1, block))))
+    ends = F.least(F.col("__n"), (F.col("__block") + 1) * block) - 1
+    return blocks.repartition("__block").withColumn(name, F.explode(F.sequence(F.col("__block") * block, ends))).drop("__n", "__block")
+
+
 def bounds_filter(events: DataFrame, width: int, height: int) -> DataFrame:
     return events.where(in_bounds(width, height))
 
