@@ -59,6 +59,21 @@ def channel_masks(events: DataFrame, windows_ms: tuple[float, float, float], mod
     return rows.withColumn("ch", F.explode(F.transform(held, lambda c: c["ch"]))).drop("__now")
 
 
+def tick_windows(events: DataFrame, period_us: int, window_us: int) -> DataFrame:
+    """One row for each event and tick whose trailing window has it, with the tick's number.
+
+    Tick k comes k periods after 0; its now is the latest event up to then, and its window reaches back from now. An
+    event is offered to the ticks that could have it, and one row a tick says which do.
+    """
+    up = lambda c: int_div(c + period_us - 1, period_us)
+    latest = events.groupBy(up(F.col("t_us")).alias("tick")).agg(F.max("t_us").alias("now"))
+    reach = window_us // period_us + 1
+    # ticks without an event of their own keep the now before them, for as many ticks as a window spans
+    later = latest.withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("tick") + reach))).groupBy("tick").agg(F.max("now").alias("now"))
+    offered = events.withColumn("tick", F.explode(F.sequence(up(F.col("t_us")), up(F.col("t_us")) + 2 * reach)))
+    return offered.join(later, "tick").where(F.col("t_us") >= F.col("now") - window_us).drop("now")
+
+
 def time_sort(events: DataFrame, time: str = "t_us") -> DataFrame:
     """By time; arrival order decides among equals, as in a stable sort."""
     return events.orderBy(time, "ord")

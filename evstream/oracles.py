@@ -105,6 +105,7 @@ ORACLES: dict[str, str] = {
     "trailing_window": _q("SELECT ord, t_us FROM cam, mx WHERE t_us >= now - 100000", LAST),
     "channel_masks": _q(f"SELECT ord, ch FROM cam, mx, {CHANNELS['cumulative']} WHERE t_us BETWEEN now - old AND now - new", LAST),
     "channel_masks_shifted": _q(f"SELECT ord, ch FROM cam, mx, {CHANNELS['shifted']} WHERE t_us BETWEEN now - old AND now - new", LAST),
+    "tick_windows": _q("SELECT tick, count(*) AS n, min(t_us) AS oldest, max(t_us) AS newest FROM nw JOIN cam ON t_us <= tick * 33333 AND t_us >= now - 100000 WHERE (SELECT count(*) FROM cam c WHERE (c.t_us + 33332) // 33333 BETWEEN tick - 4 AND tick) > 0 GROUP BY tick", "tk AS (SELECT unnest(range(0, (SELECT max(t_us) // 33333 + 6 FROM cam))) AS tick)", "nw AS (SELECT tick, max(t_us) AS now FROM tk JOIN cam ON t_us <= tick * 33333 GROUP BY tick)"),
     "tile_assign": _q(f"SELECT ord, CAST({TILE} AS BIGINT) AS tile FROM inb"),
     "grid_assign": _q("SELECT ord, CAST((x >= 106)::INT + (x >= 213)::INT AS INT) AS gx, CAST((y >= 106)::INT + (y >= 213)::INT AS INT) AS gy FROM inb"),
     "signed_accumulate": _q(f"SELECT y, x, sum({SIGN}) AS acc FROM inb GROUP BY y, x"),

@@ -84,6 +84,7 @@ _BY_EVENTS: dict[str, Query] = {
     "trailing_window": lambda ev: windows.trailing_window(ev, 100.0).select("ord", "t_us"),
     "channel_masks": lambda ev: windows.channel_masks(ev, (50.0, 250.0, 1000.0)).select("ord", "ch"),
     "channel_masks_shifted": lambda ev: windows.channel_masks(ev, (50.0, 250.0, 1000.0), "shifted").select("ord", "ch"),
+    "tick_windows": lambda ev: windows.tick_windows(ev, 33_333, 100_000).groupBy("tick").agg(F.count("*").alias("n"), F.min("t_us").alias("oldest"), F.max("t_us").alias("newest")),
     "tile_assign": lambda ev: inside(ev).select("ord", tile_id(16, W).alias("tile")),
     "grid_assign": lambda ev: inside(ev).select("ord", grid_cell("x", W, 3).alias("gx"), grid_cell("y", H, 3).alias("gy")),
     "signed_accumulate": lambda ev: frames.signed_accumulate(inside(ev)),

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Sensor
+from ..config import PreviewConfig, Sensor
 from ..operators.frames import GREY
 
 ENCODINGS = {"mono8": 1, "bgr8": 3, "rgb8": 3}
@@ -45,6 +45,13 @@ def write_png(image: np.ndarray, path: str, resize: int = 1) -> None:
         out.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
 
 
+def snapshot(frame: DataFrame, cfg: PreviewConfig, folder: str, sensor: Sensor = Sensor()) -> str:
+    """The frame as a PNG whose name tells the preview's parameters; returns its path."""
+    path = f"{folder}/{cfg.tag()}.png"
+    write_png(dense(frame, sensor), path, cfg.resize)
+    return path
+
+
 def class_image(classes: DataFrame, sensor: Sensor = Sensor()) -> np.ndarray:
     """Kept pixels white, rejected red, others black."""
     out = np.zeros((sensor.height, sensor.width, 3), np.uint8)

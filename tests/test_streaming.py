@@ -1,10 +1,16 @@
 """Streams replayed from files against the batch operators."""
 
+import os
+import socket
+import threading
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evstream.config import PreviewConfig, RecordingConfig
 from evstream.operators import frames, recording
+from evstream.sources.live import ByteSource, LiveReader, stream_live
 from evstream.sources.packets import encode_packet, explode_packets, generate_capture, read_packets, stream_packets
 from evstream.streaming.buffer import PacketBuffer, buffered
 from evstream.streaming.preview import decaying_preview, tick_deltas
@@ -56,7 +62,7 @@ def test_buffers(spark, tmp_path):
 
 def test_preview_state_is_the_closed_form(spark, captures, tmp_path):
     cfg = PreviewConfig(max_packets=2)
-    batch = explode_packets(read_packets(spark, captures)).withColumn("packet_id", F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("packet_id")))
+    batch = explode_packets(read_packets(spark, captures)).withColumn("packet_id", F.dense_rank().over(Window.orderBy("packet_id")))
     last = batch.agg(F.max("packet_id")).first()[0]
     folder = str(tmp_path / "deltas")
     tick_deltas(batch, cfg).where(F.col("tick") <= last).write.parquet(folder)
@@ -67,6 +73,40 @@ def test_preview_state_is_the_closed_form(spark, captures, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_live_packets_over_a_socket(spark, tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+    data = b"noise" + encode_packet([(1, 0, 0, 1, 2, 3)]) + b"EV" + encode_packet([(0, 0, 0, 2, 4, 5)] * 3) + encode_packet([(1, 1, 1, 1, 1, 1)])[:-1]
+
+    def serve():
+        peer, _ = server.accept()
+        for k in range(0, len(data), 7):  # packets arrive in pieces
+            peer.sendall(data[k : k + 7])
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    packets = stream_live(spark, f"tcp://127.0.0.1:{server.getsockname()[1]}", timeout_s=2)
+    query = packets.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.event_count for r in spark.table("live").collect()) == [1, 3]
+
+
+def test_live_reader_replays_until_committed(tmp_path):
+    pipe = str(tmp_path / "pipe")
+    os.mkfifo(pipe)
+    reader = LiveReader({"path": pipe, "timeout": "0.5", "maxPackets": "2"})
+    reader.source = ByteSource(pipe)
+    with open(pipe, "wb", buffering=0) as out:
+        out.write(encode_packet([(1, 0, 0, 1, 2, 3)]) * 3)
+        rows, end = reader.read({"packets": 0})
+        assert end == {"packets": 2} and len(list(rows)) == 2
+        assert [r[1] for r in reader.readBetweenOffsets({"packets": 0}, end)] == [0, 1]
+        reader.commit(end)
+        rows, end = reader.read(end)
+        assert [r[1] for r in rows] == [2]
+        assert reader.read(end)[1] == end  # a timeout
+
+
 def test_publishing(spark, captures, tmp_path):
     seen, service = [], PublishingService()
     assert service.start_publishing(stream_packets(spark, captures), frames.mono_frame, lambda frame, n: seen.append((n, frame.count())), str(tmp_path / "cp"))
