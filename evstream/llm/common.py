@@ -51,7 +51,7 @@ def _clean() -> None:
             return  # the session has ended; its folder goes with the cluster's own cleaning
 
 
-def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Bound what one Arrow batch may hold, so that very long texts do not fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

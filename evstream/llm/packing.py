@@ -33,7 +33,7 @@ END_ID = 0
 
 @lru_cache(maxsize=1)
 def _memo(path: str) -> WordMemo:
-    return WordMemo(chunk_ids(path))
+    return WordMemo(chunk_ids(path), bound=250_000)
 
 
 def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -52,6 +52,21 @@ def word_buckets(chunk: bytes, buckets: int = BUCKETS) -> list[int]:
     return out + [crc(word[k : k + n].encode()) & mask for n in GRAMS for k in range(len(word) - n + 1)]
 
 
+def _bags(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, one after another, and how many each word has."""
+    parts, sizes = [np.empty(0, np.int32)], np.zeros(len(words), np.int64)
+    for k in range(0, len(words), 8192):
+        bags = [word_buckets(w, buckets) for w in words[k : k + 8192]]
+        sizes[k : k + len(bags)] = [len(b) for b in bags]
+        parts.append(np.fromiter((b for bag in bags for b in bag), np.int32, int(sizes[k : k + len(bags)].sum())))
+    return np.concatenate(parts), sizes
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of runs that begin at starts, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class SubwordModel:
     """gains: each bucket's share in logit 1 minus logit 0; bias: what an empty text gets."""
@@ -60,10 +75,11 @@ class SubwordModel:
     bias: float
 
     def word_gains(self, chunks: list[bytes], known=None) -> list[float]:
-        bags = [word_buckets(c, len(self.gains)) for c in chunks]
-        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-        flat = np.fromiter((b for bag in bags for b in bag), np.int64, int(sizes.sum()))
-        return (np.add.reduceat(self.gains[flat], np.cumsum(sizes) - sizes) / sizes).tolist()
+        out: list[float] = []
+        for k in range(0, len(chunks), 8192):
+            flat, sizes = _bags(chunks[k : k + 8192], len(self.gains))
+            out += (np.add.reduceat(self.gains[flat], np.cumsum(sizes) - sizes) / sizes).tolist()
+        return out
 
     def probabilities(self, words: list[list[bytes]], gain) -> np.ndarray:
         means = np.array([sum(map(gain, w)) / len(w) if w else 0.0 for w in words])
@@ -83,25 +99,26 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
     numbers: dict[bytes, int] = {}
     docs = []
     for text in texts:
-        words = [numbers.setdefault(w, len(numbers)) for w in text.split()]
-        docs.append(np.unique(np.array(words, np.int64), return_counts=True))
-    bags = [np.array(word_buckets(w, buckets), np.int32) for w in numbers]
+        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in text.split()), np.int32)
+        docs.append(tuple(x.astype(np.int32) for x in np.unique(words, return_counts=True)))
+    flat, full = _bags(list(numbers), buckets)
+    del numbers
     target = np.asarray(labels, np.int64)
-    spread_over = np.zeros(buckets, np.int64)  # documents with each bucket: what only a few have could only be learned by heart
-    for words, _ in docs:
+    starts = np.cumsum(full) - full
+    spread_over, share = np.zeros(buckets, np.int64), np.zeros(buckets)
+    for words, times in docs:
+        own = flat[_spans(starts[words], full[words])]
+        spread_over[np.unique(own)] += 1  # documents with each bucket: what only a few have could only be learned by heart
         if len(words):
-            spread_over[np.unique(np.concatenate([bags[w] for w in words]))] += 1
+            share += np.bincount(own, np.repeat(times / times.sum() / full[words], full[words]), buckets)
     known = spread_over >= max(2, round(COMMON * len(docs)))
     live = np.flatnonzero(known)
-    full = np.array([len(b) for b in bags], np.float32)
-    bags = [b[known[b]] for b in bags]
-    share = np.zeros(buckets)
-    for words, times in docs:
-        if len(words):
-            own = [bags[w] for w in words]
-            share += np.bincount(np.concatenate(own), np.repeat(times / times.sum() / full[words], [len(b) for b in own]), buckets)
-    lift = np.where(known, (np.maximum(share, 1e-12) / len(docs)) ** -0.5, 0).astype(np.float32)
-    embed = (rng.normal(0, 0.1, (buckets, DIMENSIONS)) * known[:, None]).astype(np.float32)
+    lift = ((np.maximum(share[live], 1e-12) / len(docs)) ** -0.5).astype(np.float32)
+    held_of = np.concatenate([[0], np.cumsum(known[flat])])
+    lengths = held_of[starts + full] - held_of[starts]  # of the bags without rare buckets
+    flat = (np.cumsum(known) - 1).astype(np.int32)[flat[known[flat]]]  # by place among the live buckets from here on
+    starts = np.cumsum(lengths) - lengths
+    embed = rng.normal(0, 0.1, (len(live), DIMENSIONS)).astype(np.float32)
     top = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     base = np.log(np.maximum(np.bincount(target, minlength=2), 1) / len(target)).astype(np.float32)
     params = [embed, top, base]
@@ -117,14 +134,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
             doc = np.repeat(np.arange(len(rows)), sizes)
             weight = (times / np.maximum(np.bincount(doc, times, len(rows)), 1)[doc]).astype(np.float32)
             used, word = np.unique(word, return_inverse=True)
-            own = [bags[w] for w in used]
-            counts = np.array([len(b) for b in own], np.int64)
-            flat = np.concatenate(own) if own else np.empty(0, np.int32)
-            touched, flat = np.unique(flat, return_inverse=True)
-            held, starts = counts > 0, np.cumsum(counts) - counts
-            vectors = np.zeros((len(own), DIMENSIONS), np.float32)
+            counts = lengths[used]
+            at_bucket = flat[_spans(starts[used], counts)]
+            held = counts > 0
+            vectors = np.zeros((len(used), DIMENSIONS), np.float32)
             if held.any():
-                vectors[held] = np.add.reduceat((embed[touched] * lift[touched, None])[flat], starts[held])
+                vectors[held] = np.add.reduceat((embed * lift[:, None])[at_bucket], (np.cumsum(counts) - counts)[held])
             vectors /= full[used][:, None]
             mean = np.zeros((len(rows), DIMENSIONS), np.float32)
             lit = sizes > 0
@@ -140,15 +155,18 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
             pull = back[doc] * weight[:, None]
             by_word = np.stack([np.bincount(word, pull[:, d], len(used)) for d in range(DIMENSIONS)], 1) / full[used][:, None]
             spread = np.repeat(by_word, counts, 0)
-            by_bucket = np.stack([np.bincount(flat, spread[:, d], len(touched)) for d in range(DIMENSIONS)], 1).astype(np.float32) * lift[touched, None]
+            by_bucket = np.stack([np.bincount(at_bucket, spread[:, d], len(live)) for d in range(DIMENSIONS)], 1) * lift[:, None]
             step += 1
             rate = RATE * (1 - (step - 1) / total)
-            for p, (at, grad) in enumerate(((touched, by_bucket), (slice(None), mean.T @ soft), (slice(None), soft.sum(0)))):
-                speed[p][at] = 0.9 * speed[p][at] + 0.1 * grad
-                params[p][at] -= rate * speed[p][at]
-            norm = np.sqrt((embed[live] ** 2).sum(1, keepdims=True)) + 1e-12
-            embed[live] *= np.maximum(0, 1 - rate * SHRINK / np.sqrt(len(texts)) / norm)
-    return SubwordModel(SCALE * lift * (embed.astype(np.float64) @ (top[:, 1] - top[:, 0]).astype(np.float64)), float(base[1] - base[0]))
+            for param, pace, grad in zip(params, speed, (by_bucket, mean.T @ soft, soft.sum(0))):
+                pace *= 0.9
+                pace += 0.1 * grad
+                param -= rate * pace
+            norm = np.sqrt((embed**2).sum(1, keepdims=True)) + 1e-12
+            embed *= np.maximum(0, 1 - rate * SHRINK / np.sqrt(len(texts)) / norm)
+    gains = np.zeros(buckets)
+    gains[live] = SCALE * lift * (embed.astype(np.float64) @ (top[:, 1] - top[:, 0]).astype(np.float64))
+    return SubwordModel(gains, float(base[1] - base[0]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
