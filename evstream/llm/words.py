@@ -20,6 +20,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
+_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _PLAIN = re.compile(r"([^\W\d_]*)([.,;:!?\"()]*)")
 
 
@@ -195,11 +196,21 @@ class PrefixCounter:
         return out
 
     def slow(self, text: str) -> list[int]:
-        """Chunks with marks, digits or special strings. What a prefix is cut into may change as it grows, so the library
-        normalises and cuts every prefix; long ones in normal form are cut once, contractions being their only exception."""
+        """Chunks with marks, digits or special strings. A special string is a token, but its beginnings are ordinary text."""
+        out: list[int] = []
+        base, done = 0, 0
+        for m in _SPECIAL.finditer(text):
+            counts = self.ordinary(text[done : m.end() - 1])
+            out += [base + n for n in counts]
+            base += 1 + (counts[m.start() - done - 1] if m.start() > done else 0)
+            out.append(base)
+            done = m.end()
+        return out + [base + n for n in self.ordinary(text[done:])]
+
+    def ordinary(self, text: str) -> list[int]:
+        """What a prefix is cut into may change as it grows, so the library normalises and cuts every prefix; long texts in
+        normal form are cut once, contractions being their only exception."""
         library = self.library
-        if "<|startoftext|>" in text or "<|endoftext|>" in text:
-            return [len(e) for e in library.encode_batch_fast([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)]
         if len(text) > 64 and len(low := library.normalizer.normalize_str(text)) == len(text) and unicodedata.is_normalized("NFC", text):
             out, base = [], 0
             for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(low):
