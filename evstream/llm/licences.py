@@ -154,36 +154,48 @@ def _constant(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | None = None) -> DataFrame:
-    """(__row, doc_id, n_paragraphs) of every document, with paragraph, start, length, family, probability and overlap of each licence paragraph (null in documents without)."""
+    """(__row, doc_id, n_paragraphs) of every document, with paragraph, length, family, probability and overlap of each licence paragraph (null in documents without).
+
+    Words and n-grams are looked up one a row, and only sums of weights and bits of template words are carried on: a
+    paragraph's own words stay where they are.
+    """
     model, spark = model or train(), docs.sparkSession
     classes = [*model.families, "none"]
-    body = F.coalesce(F.col(text), F.lit(""))
-    anchored = model.pattern()
-    words = lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
+    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)} - STOP)
+    masks = range(-(-len(vocabulary) // 60))  # template words as bits of a few numbers
+
+    def bits(words: list[str]) -> list[int]:
+        at = [vocabulary.index(w) for w in words]
+        return [sum(1 << (k - 60 * m) for k in at if k // 60 == m) for m in masks]
+
+    body, anchored = F.coalesce(F.col(text), F.lit("")), model.pattern()
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", body.alias("__body"))
-    rows = rows.select("__row", "doc_id", F.split("__body", "\n").alias("__lines"), (F.lower("__body").rlike(anchored)).alias("__any"))
-    starts = F.transform("__lines", lambda line, k: F.struct(k.alias("paragraph"), line.alias("line")))
-    some = F.when(F.col("__any"), F.filter(starts, lambda s: F.lower(s["line"]).rlike(anchored)))
+    rows = rows.select("__row", "doc_id", F.split("__body", "\n").alias("__lines"), F.lower("__body").rlike(anchored).alias("__any"))
+    numbered = F.transform("__lines", lambda line, k: F.struct(k.alias("paragraph"), line.alias("line")))
+    some = F.when(F.col("__any"), F.filter(numbered, lambda s: F.lower(s["line"]).rlike(anchored)))
     rows = rows.select("__row", "doc_id", F.size("__lines").alias("n_paragraphs"), F.explode_outer(some).alias("s"))
-    rows = rows.select("__row", "doc_id", "n_paragraphs", "s.paragraph", F.length("s.line").alias("length"), words(F.col("s.line")).alias("words"))
+    rows = rows.select("__row", "doc_id", "n_paragraphs", "s.paragraph", F.length("s.line").alias("length"), F.regexp_extract_all(F.lower("s.line"), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
 
     def grams(n: int) -> Column:
         most = F.size("words") - n
         return F.when(most >= 0, F.transform(F.sequence(F.lit(1), most + 1), lambda k: F.array_join(F.slice("words", k, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    all_grams = F.concat(*(grams(n) for n in range(1, GRAMS + 1)))
-    parts = rows.select("__row", "doc_id", "n_paragraphs", "paragraph", "length", "words", F.explode_outer(F.array_distinct(all_grams)).alias("gram"))
-    table = _constant(spark, [{"gram": f, "w": [float(v) for v in w]} for f, w in zip(model.features, model.weights)], "gram string, w array<double>")
-    parts = parts.join(F.broadcast(table), "gram", "left")  # a feature a row: bounded by the templates
+    all_grams = F.array_distinct(F.concat(*(grams(n) for n in range(1, GRAMS + 1))))
+    parts = rows.select("__row", "doc_id", "n_paragraphs", "paragraph", "length", F.explode_outer(all_grams).alias("gram"))
+    weights = {w: [0.0] * len(classes) for w in vocabulary} | {f: [float(v) for v in w] for f, w in zip(model.features, model.weights)}
+    table = [{"gram": g, "w": w, "bits": bits([g] if g in vocabulary else [])} for g, w in weights.items()]
+    parts = parts.join(F.broadcast(_constant(spark, table, "gram string, w array<double>, bits array<bigint>")), "gram", "left")  # a row a feature: bounded by the templates
     sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"z{k}") for k in range(len(classes))]
-    scored = parts.groupBy("__row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("length").alias("length"), F.first("words").alias("words"), *sums)
+    found = [F.bit_or(F.coalesce(F.col("bits")[m], F.lit(0))).alias(f"b{m}") for m in masks]
+    scored = parts.groupBy("__row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("length").alias("length"), *sums, *found)
     z = [F.col(f"z{k}") + float(model.bias[k]) for k in range(len(classes))]
     best = F.greatest(*(F.struct(v.alias("z"), F.lit(c).alias("family")) for v, c in zip(z, classes)))
     scored = scored.withColumn("best", best).withColumn("total", sum((F.exp(v - F.col("best.z")) for v in z), F.lit(0.0)))
     scored = scored.withColumns({"probability": 1 / F.col("total"), "none": F.exp(z[-1] - F.col("best.z")) / F.col("total"), "family": F.col("best.family")})
-    shapes = _constant(spark, [{"family": f, "templates": [sorted(set(words_of(t))) for t in TEMPLATES[f]]} for f in model.families], "family string, templates array<array<string>>")
-    scored = scored.join(F.broadcast(shapes), "family", "left")  # a row a family
-    overlap = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
+    shapes = [{"family": f, "templates": [bits(sorted(set(words_of(t)) - STOP)) for t in TEMPLATES[f]]} for f in model.families]
+    scored = scored.join(F.broadcast(_constant(spark, shapes, "family string, templates array<array<bigint>>")), "family", "left")  # a row a family
+    ones = lambda t, mask: sum((F.bit_count(mask(t, m)) for m in masks), F.lit(0))
+    overlap = F.array_max(F.transform("templates", lambda t: ones(t, lambda t, m: t[m].bitwiseAND(F.col(f"b{m}"))) / ones(t, lambda t, m: t[m])))
     scored = scored.withColumn("overlap", F.coalesce(overlap, F.lit(0.0)))
     sure = (F.col("family") != "none") & (F.col("probability") >= SURE) & (F.col("overlap") >= CONTAINED)
     named = F.when(F.col("paragraph").isNotNull() & (F.col("none") < SURE), F.when(sure, F.col("family")).otherwise("unknown"))
