@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """x, y, t and ord, the order of lines; lines from # on are comments. A row without exactly three integers fails the read.
 
-    ord comes from each file's own byte order (file name, then the place in its partition), so no sort of the data is needed.
+    ord follows the lines of a file without a sort: it is the partition's number and the place in it, and the parts of a
+    file are partitions in order. Files of a folder follow one another as Spark deals them out.
     """
     raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
     line = F.trim(F.split("value", "#")[0])
