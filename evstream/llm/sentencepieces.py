@@ -332,11 +332,12 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = _model(path)
         for batch in batches:
-            out = []
-            for left, part, opened, closed, states in zip(*(batch.column(c).to_pylist() for c in ("left", "part", "opened", "closed", "states"))):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("left", "part", "opened", "closed", "states"))))
+            keys = [escaped_segments(part) if opened and closed else [] for _, part, opened, closed, _ in rows]
+            ids_of, out = memo.load(keys), []
+            for own, (left, part, opened, closed, states) in zip(keys, rows):
                 if opened and closed:
-                    keys = escaped_segments(part)
-                    out.append(b"".join(map(memo.load([keys]), keys)))
+                    out.append(b"".join(map(ids_of, own)))
                 else:
                     out.append(model.pack(model.backtrace(part, left, opened, closed, *pickle.loads(states))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "nth")), pa.array(out, pa.binary()), batch.column("part")], names=["doc_id", "row", "nth", "ids", "part"])
