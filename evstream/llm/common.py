@@ -37,16 +37,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no plan still to run reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove((spark, path))
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:
             return  # the session has ended; its folder goes with the cluster's own cleaning
 
@@ -121,6 +133,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         star = low.select("a", F.col("low").alias("b")).unionByName(hooked)
         jump = low.select(F.col("a").alias("b"), F.col("low").alias("next"))
         after = materialize(ordered(star.join(jump, "b", "left").select("a", F.coalesce("next", "b").alias("b"))), name)
+        discard(now, low)
         if (digested := digest(after)) == seen:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now, seen = after, digested

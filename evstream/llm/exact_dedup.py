@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .keep import keep_rows, row_key
 
 FINGERPRINT_BITS = 48
@@ -96,8 +96,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", bits: int = FINGERPRIN
     """One row per document: doc_id, key (of the row for keep_rows), keep_id, group_size, kept, text_sha256."""
     norm = normalized(text)
     rows = docs.select("doc_id", row_key(text).alias("key"), fingerprint(norm, bits).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
-    rows = materialize(rows.withColumns({"src": F.spark_partition_id().cast("long"), "rid": F.monotonically_increasing_id()}), "prints")
-    rows = materialize(_suspects(rows, bits, owner_rows).drop("src"), "suspects")
+    prints = materialize(rows.withColumns({"src": F.spark_partition_id().cast("long"), "rid": F.monotonically_increasing_id()}), "prints")
+    rows = materialize(_suspects(prints, bits, owner_rows).drop("src"), "suspects")
+    discard(prints)
 
     again = materialize(rows.where("suspect").select("fp").distinct(), "again")
     few = again.count() <= BROADCAST_ROWS
@@ -110,6 +111,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", bits: int = FINGERPRIN
     same = F.when(F.col("bytes_equal") == F.col("group_size"), F.col("group_size"))
     checked = F.coalesce(same, F.raise_error(F.lit("texts with one SHA-256 differ in their bytes")).cast("long"))
     groups = materialize(groups.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"), checked.alias("group_size")), "groups")
+    discard(again)
 
     columns = ["doc_id", "key", "keep_id", "group_size", "kept", "text_sha256"]
     alone = rows.where("not suspect").select("doc_id", "key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, connected_components, materialize, small_batches
+from .common import UnionFind, connected_components, discard, materialize, small_batches
 
 THRESHOLD = 0.98
 SHARD_ROWS = 8192
@@ -297,6 +297,7 @@ def near_links(embeddings: DataFrame, threshold: float = THRESHOLD, shard_rows:
     keys = ["label", "dims", "block", "shard"]
     found = queries.groupBy(keys).cogroup(pairs.groupBy(keys)).applyInArrow(link, "node long, n long, other long")
     found = materialize(found, "links")
+    discard(dealt, graphs)
     counts = distinct.select("node", F.col("copies") - 1).toDF("node", "n").unionByName(found.where("other is null").select("node", "n"))
     counts = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
     node = distinct.select("label", "embedding", "node")
@@ -314,5 +315,6 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard_r
     nodes = materialize(nodes, "nodes")
     components = materialize(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "by-root")
     named = materialize(nodes.join(components, "root").select("node", "n_links", "component_id"), "named")
+    discard(nodes, components)
     out = tagged.join(named, "node").select("vec_id", "n_links", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

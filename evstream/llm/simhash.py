@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import UnionFind, connected_components, materialize, small_batches, text_bytes
+from .common import UnionFind, connected_components, discard, materialize, small_batches, text_bytes
 from .keep import keep_rows, row_key
 
 SHINGLE_WORDS = 3
@@ -173,7 +173,9 @@ def near_components(prints: DataFrame, radius: int = RADIUS, segments: int | Non
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     points = distinct.mapInArrow(spread, "point long, side tinyint, fp long").repartition(tasks, "point")
-    return connected_components(points.mapInArrow(join, "a long, b long"), "simhash").select(F.col("node").alias("fp"), "root")
+    linked = connected_components(points.mapInArrow(join, "a long, b long"), "simhash")
+    discard(distinct)
+    return linked.select(F.col("node").alias("fp"), "root")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
@@ -184,6 +186,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORD
     rooted = materialize(lowest.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
     components = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "by-root")
     named = materialize(rooted.join(components, "root").select("fp", "component_id"), "named")
+    discard(rooted, components)
     return prints.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
