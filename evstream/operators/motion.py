@@ -1,8 +1,8 @@
 """The motion filter: a spatio-temporal range self-join, support counts and coherence.
 
 Every event is compared with earlier ones within a radius and a time window. Both become an equi-join: an
-event lies in one grid cell of the radius's size and one time bucket of the window's length, and is looked
-for from the nine cells around and the two buckets its window can reach, so each pair meets exactly once.
+event lies in one grid cell of the radius's size and one time bucket of the window's length, and looks into
+the nine cells around and the two buckets its window can reach, so each pair meets exactly once.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ def neighbor_stats(points: DataFrame, cfg: MotionConfig = MotionConfig()) -> Dat
     r, w = cfg.radius_px, cfg.window_us
     cell = lambda c: int_div(F.col(c), max(1, r))
     at = points.select("ord", "x", "y", "t", cell("x").alias("cx"), cell("y").alias("cy"), int_div(F.col("t"), w).alias("tb"))
-    late = at.select(*(F.col(c).alias(f"i_{c}") for c in ("ord", "x", "y", "t")), "cx", "cy", "tb")
+    # the events that look are spread (over all cores first, then over cells); those looked for stay one row each, the side to hash or broadcast
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1)))
-    early = at.withColumn("o", F.explode(around)).select("x", "y", "t", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), (F.col("tb") + F.col("o.c")).alias("tb"))
+    late = at.repartition("ord").withColumn("o", F.explode(around))
+    late = late.select(*(F.col(c).alias(f"i_{c}") for c in ("ord", "x", "y", "t")), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), (F.col("tb") - F.col("o.c")).alias("tb"))
+    early = at.select("x", "y", "t", "cx", "cy", "tb")
     dx, dy, dt = F.col("i_x") - F.col("x"), F.col("i_y") - F.col("y"), F.col("i_t") - F.col("t")
     # speed without a root: the squares are compared
     fast = (dx * dx + dy * dy) * F.lit(1_000_000.0) > F.lit(float(cfg.max_speed)) * F.lit(float(cfg.max_speed)) * dt * dt
