@@ -175,7 +175,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS) -> SubwordModel:
-    """Train on at most max_rows labelled documents outside the held-out third."""
+    """Train on at most max_rows labelled documents outside the held-out third, whose whole texts the driver holds meanwhile."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select(F.col("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # broadcast: max_rows pairs of numbers
