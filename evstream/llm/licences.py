@@ -7,6 +7,12 @@ held-out variants, so probabilities are calibrated. A paragraph whose best famil
 with that family's templates; if no template is contained in it well enough, or no single family is
 probable, while "none" is improbable, its family is "unknown".
 
+Notices are often wrapped. So runs of consecutive lines with words are scored too, as far as a template can
+reach: no more words than the longest template has of each line, and no more between the first line and the
+last. A run names a family as a line does, n-grams and template words running across its line breaks; of runs
+and lines of one family that overlap, the shortest stays, and lines inside a run that stays are not "unknown".
+A run is reported as its first line's number and its whole length, and is never "unknown" itself.
+
 Scanning uses DataFrame functions only. A paragraph without a word of any feature that speaks for a family
 can only be "none" and is not taken apart; that is a property of the sum, not a cut.
 
@@ -61,6 +67,10 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+#: No template is longer, and a run that stands across a line break reaches no farther.
+LONGEST = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + n]) for n in range(1, GRAMS + 1) for k in range(len(words) - n + 1)} - STOP
 
@@ -153,8 +163,48 @@ def _constant(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+
+
+def _opening(line: Column) -> Column:
+    """Length of a line and its first words, as many as the longest template has."""
+    start = F.regexp_extract(F.lower(line), f"^(?:[^a-z0-9]*{WORD}){{0,{LONGEST}}}", 0)
+    return F.struct(F.length(line).alias("length"), _words(start).alias("words"))
+
+
+def _runs() -> Column:
+    """The runs of two lines and more that begin at a line (length, words, after): lines, length, words."""
+    begin = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("between"), F.lit(True).alias("open"))
+
+    def reach(at: Column, line: Column) -> Column:
+        n = F.size(line["words"])
+        on = at["open"] & (n > 0) & (at["between"] <= LONGEST - 2)
+        return F.struct((at["lines"] + on.cast("int")).alias("lines"), (at["between"] + n).alias("between"), on.alias("open"))
+
+    most = F.coalesce(F.aggregate("after", begin, reach)["lines"], F.lit(0))
+
+    def run(k: Column) -> Column:
+        lines = F.slice("after", F.lit(1), k)
+        tail = F.when(F.size("words") < LONGEST, F.col("words")).otherwise(F.slice("words", -(LONGEST - 1), LONGEST - 1))
+        length = F.col("length") + F.aggregate(lines, F.lit(0), lambda n, line: n + 1 + line["length"])
+        return F.struct((k + 1).alias("lines"), length.alias("length"), F.concat(tail, F.flatten(F.transform(lines, lambda line: line["words"]))).alias("words"))
+
+    some = F.when((most > 0) & (F.size("words") > 0), F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), run))
+    return F.coalesce(some, F.array().cast("array<struct<lines:int,length:int,words:array<string>>>"))
+
+
+def _near_a_template(vocabulary: list[str]) -> Column:
+    """Whether words hold enough of a template for it to be contained in them; no other run can name a family."""
+    shapes = sorted({tuple(sorted(set(words_of(t)) - STOP)) for ts in TEMPLATES.values() for t in ts})
+    least = min(CONTAINED * len(s) for s in shapes)
+    each = F.array(*(F.array(*map(F.lit, s)) for s in shapes))
+    contained = F.exists(each, lambda t: F.size(F.array_intersect(t, F.col("words"))) >= CONTAINED * F.size(t))
+    return (F.size(F.array_intersect(F.col("words"), F.array(*map(F.lit, vocabulary)))) >= least) & contained
+
+
 def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | None = None) -> DataFrame:
-    """(__row, doc_id, n_paragraphs) of every document, with paragraph, length, family, probability and overlap of each licence paragraph (null in documents without).
+    """(__row, doc_id, n_paragraphs) of every document, with paragraph, lines, length, family, probability and overlap of each licence paragraph or run of lines (null in documents without).
 
     Words and n-grams are looked up one a row, and only sums of weights and bits of template words are carried on: a
     paragraph's own words stay where they are.
@@ -173,21 +223,24 @@ def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | N
     rows = rows.select("__row", "doc_id", F.split("__body", "\n").alias("__lines"), F.lower("__body").rlike(anchored).alias("__any"))
     numbered = F.transform("__lines", lambda line, k: F.struct(k.alias("paragraph"), line.alias("line")))
     some = F.when(F.col("__any"), F.filter(numbered, lambda s: F.lower(s["line"]).rlike(anchored)))
+    some = F.transform(some, lambda s: F.struct(s["paragraph"].alias("paragraph"), s["line"].alias("line"), F.slice("__lines", s["paragraph"] + 2, LONGEST - 1).alias("after")))
     rows = rows.select("__row", "doc_id", F.size("__lines").alias("n_paragraphs"), F.explode_outer(some).alias("s"))
-    rows = rows.select("__row", "doc_id", "n_paragraphs", "s.paragraph", F.length("s.line").alias("length"), F.regexp_extract_all(F.lower("s.line"), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    rows = rows.select("__row", "doc_id", "n_paragraphs", F.explode(F.array(F.struct("s.paragraph", F.length("s.line").alias("length"), _words(F.col("s.line")).alias("words"), F.transform("s.after", _opening).alias("after")))).alias("s"))
+    rows = rows.select("__row", "doc_id", "n_paragraphs", "s.*").select("__row", "doc_id", "n_paragraphs", "paragraph", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("lines"), "length", "words")), _runs())).alias("s"))
+    rows = rows.select("__row", "doc_id", "n_paragraphs", "paragraph", "s.*").where((F.col("lines") == 1) | _near_a_template(vocabulary))
 
     def grams(n: int) -> Column:
         most = F.size("words") - n
         return F.when(most >= 0, F.transform(F.sequence(F.lit(1), most + 1), lambda k: F.array_join(F.slice("words", k, n), " "))).otherwise(F.array().cast("array<string>"))
 
     all_grams = F.array_distinct(F.concat(*(grams(n) for n in range(1, GRAMS + 1))))
-    parts = rows.select("__row", "doc_id", "n_paragraphs", "paragraph", "length", F.explode_outer(all_grams).alias("gram"))
+    parts = rows.select("__row", "doc_id", "n_paragraphs", "paragraph", "lines", "length", F.explode_outer(all_grams).alias("gram"))
     weights = {w: [0.0] * len(classes) for w in vocabulary} | {f: [float(v) for v in w] for f, w in zip(model.features, model.weights)}
     table = [{"gram": g, "w": w, "bits": bits([g] if g in vocabulary else [])} for g, w in weights.items()]
     parts = parts.join(F.broadcast(_constant(spark, table, "gram string, w array<double>, bits array<bigint>")), "gram", "left")  # a row a feature: bounded by the templates
     sums = [F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"z{k}") for k in range(len(classes))]
     found = [F.bit_or(F.coalesce(F.col("bits")[m], F.lit(0))).alias(f"b{m}") for m in masks]
-    scored = parts.groupBy("__row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("length").alias("length"), *sums, *found)
+    scored = parts.groupBy("__row", "paragraph", "lines").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.first("length").alias("length"), *sums, *found)
     z = [F.col(f"z{k}") + float(model.bias[k]) for k in range(len(classes))]
     best = F.greatest(*(F.struct(v.alias("z"), F.lit(c).alias("family")) for v, c in zip(z, classes)))
     scored = scored.withColumn("best", best).withColumn("total", sum((F.exp(v - F.col("best.z")) for v in z), F.lit(0.0)))
@@ -198,13 +251,20 @@ def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | N
     overlap = F.array_max(F.transform("templates", lambda t: ones(t, lambda t, m: t[m].bitwiseAND(F.col(f"b{m}"))) / ones(t, lambda t, m: t[m])))
     scored = scored.withColumn("overlap", F.coalesce(overlap, F.lit(0.0)))
     sure = (F.col("family") != "none") & (F.col("probability") >= SURE) & (F.col("overlap") >= CONTAINED)
-    named = F.when(F.col("paragraph").isNotNull() & (F.col("none") < SURE), F.when(sure, F.col("family")).otherwise("unknown"))
-    return scored.select("__row", "doc_id", "n_paragraphs", F.when(named.isNotNull(), F.col("paragraph")).alias("paragraph"), "length", named.alias("family"), "probability", "overlap")
+    named = F.when(F.col("paragraph").isNotNull() & (F.col("none") < SURE), F.when(sure, F.col("family")).when(F.col("lines") == 1, "unknown"))
+    return scored.select("__row", "doc_id", "n_paragraphs", F.when(named.isNotNull(), F.col("paragraph")).alias("paragraph"), "lines", "length", named.alias("family"), "probability", "overlap")
 
 
 def scan_licences(docs: DataFrame, text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, families (sorted, unknown among them) and licences: its licence paragraphs with their family, probability, overlap with the nearest template."""
     found = scan_paragraphs(docs, text, model)
-    one = F.when(F.col("family").isNotNull(), F.struct("paragraph", "length", "family", F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap")))
-    spans = found.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.array_sort(F.collect_list(one)).alias("licences"))
+    one = F.when(F.col("family").isNotNull(), F.struct("lines", "paragraph", "length", "family", F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap")))
+    spans = found.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"), F.array_sort(F.collect_list(one)).alias("found"))
+    meet = lambda a, b: (a["paragraph"] < b["paragraph"] + b["lines"]) & (b["paragraph"] < a["paragraph"] + a["lines"])
+    again = lambda kept, s: F.exists(kept, lambda a: (a["family"] == s["family"]) & meet(a, s))
+    kept = F.aggregate(F.filter("found", lambda s: s["lines"] > 1), F.filter("found", lambda s: s["lines"] == 1), lambda kept, s: F.when(again(kept, s), kept).otherwise(F.concat(kept, F.array(s))))
+    spans = spans.withColumn("kept", kept).withColumn("runs", F.filter("kept", lambda s: s["lines"] > 1))
+    named = F.filter("kept", lambda s: (s["family"] != "unknown") | ~F.exists("runs", lambda r: meet(r, s)))
+    licences = F.array_sort(F.transform(named, lambda s: F.struct(*(s[c].alias(c) for c in ("paragraph", "length", "family", "probability", "overlap")))))
+    spans = spans.withColumn("licences", licences)
     return spans.select("doc_id", "n_paragraphs", F.array_sort(F.array_distinct(F.transform("licences", lambda s: s["family"]))).alias("families"), "licences")

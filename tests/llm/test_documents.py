@@ -246,6 +246,37 @@ def test_licences(spark):
     assert licences.scan_licences(no_documents(spark)).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+def test_wrapped_licences_are_named(spark):
+    texts = [f"Intro.\n\n{t}\n\nBody." for t in WRAPPED.values()] + [t.replace(" ", "\n") for t in WRAPPED.values()]
+    texts += ["/*\n" + "\n".join(f" * {line}" for line in t.split("\n")) + "\n */" for t in WRAPPED.values()]
+    texts += [WRAPPED["BSD"].replace("\n", "\n\n"), "His driving license was renewed.\nThe general public came.\nThe software was released in version 3."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert [got[k].families for k in range(9)] == [[f] for f in WRAPPED] * 3
+    assert "BSD" not in got[9].families and got[10].families == []  # a blank line ends a paragraph
+    assert [(s.paragraph, s.length) for s in got[1].licences] == [(2, len(WRAPPED["BSD"]))]
+    assert [s.paragraph for s in got[0].licences][-1] == 9 and all(r.n_paragraphs == texts[k].count("\n") + 1 for k, r in got.items())
+
+
 def test_licence_sums_are_the_models(spark):
     model = licences.train()
     texts = [t for ts in licences.TEMPLATES.values() for t in ts] + licences.LOOK_ALIKES
