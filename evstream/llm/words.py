@@ -166,7 +166,7 @@ class PrefixCounter:
                 out[k] = got + bytes([got[-1] + 1])
                 continue
             text = raw.decode()
-            if len(text) < 200 and (m := _PLAIN.fullmatch(text)):
+            if len(text) < 200 and (m := _PLAIN.fullmatch(text)) and (not m[1] or m[1].isalpha()):  # superscripts and fractions are numbers to the vocabulary
                 low = m[1].lower()
                 if low.isascii():
                     todo.append((low, k, low, m[2]))

@@ -53,6 +53,16 @@ def test_every_prefix_has_its_count(spark):
         assert r.cut == max(k for k in range(len(t) + 1) if len(ids(t[:k])) <= 4)
 
 
+def prefix_counts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.n_tokens, r.prefix_tokens) for r in token_counts.prefix_token_counts(docs).collect()}
+
+
+def test_superscripts_and_fractions_are_numbers(spark):
+    texts = ["meters² miles³, kilometres²", "x¹y", "½", "one¼.", "a¾b²", "naïve ªº"]
+    assert prefix_counts(spark, texts) == {k: (len(ids(t)), [len(ids(t[:n])) for n in range(len(t) + 1)]) for k, t in enumerate(texts)}
+
+
 def normal(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
