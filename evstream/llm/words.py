@@ -192,7 +192,7 @@ class PrefixCounter:
             if tail:
                 base = got[-1] if low else 0
                 got = [*got, *(base + n for n in self.piece(tail))]
-            out[k] = bytes(got)
+            out[k] = bytes(got) if len(word) + len(tail) < 256 else got  # no more tokens than symbols
         return out
 
     def slow(self, text: str) -> list[int]:

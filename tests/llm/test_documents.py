@@ -63,6 +63,12 @@ def test_superscripts_and_fractions_are_numbers(spark):
     assert prefix_counts(spark, texts) == {k: (len(ids(t)), [len(ids(t[:n])) for n in range(len(t) + 1)]) for k, t in enumerate(texts)}
 
 
+def test_a_chunk_may_have_over_255_tokens(spark):
+    texts = ["þ" * 190, "a " + "ǿ" * 199 + ".", "ȿ" * 190 + "!!", "ɏ" * 128, "þ" * 127 + "."]
+    assert len(ids(texts[0])) > 255
+    assert prefix_counts(spark, texts) == {k: (len(ids(t)), [len(ids(t[:n])) for n in range(len(t) + 1)]) for k, t in enumerate(texts)}
+
+
 def normal(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
