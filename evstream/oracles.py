@@ -146,6 +146,7 @@ ORACLES: dict[str, str] = {
     "time_sort": _q("SELECT ord, t_us FROM cam ORDER BY t_us, ord"),
     "keep_last_packets": _q("SELECT ord, packet_id FROM cam WHERE packet_id > (SELECT max(packet_id) FROM cam) - 10"),
     "packet_eviction": _q("SELECT ord, packet_id FROM cam JOIN (SELECT packet_id, max(t_us) AS latest FROM cam GROUP BY 1) USING (packet_id) WHERE packet_id <= 100 AND latest >= (SELECT max(t_us) - 500000 FROM cam WHERE packet_id = (SELECT max(packet_id) FROM cam WHERE packet_id <= 100))"),
+    "packet_eviction_all": _q("SELECT ord, packet_id FROM cam WHERE packet_id >= (SELECT min(packet_id) FROM cam WHERE t_us >= (SELECT max(t_us) - 500000 FROM cam WHERE packet_id = (SELECT max(packet_id) FROM cam)))"),
     "frame_series": _q(f"SELECT side, frame_idx, y, x, n, {LEVEL99} FROM vs JOIN p9 USING (side, frame_idx)", MOTION, _FC_SIDES, RENDER.format(keys="side, frame_idx,", group="GROUP BY ALL")),
     "offline_pipeline": _q(SUMMARY, _CROPPED, _CROP),
     "upscale": _q("SELECT CAST(y * 2 + a AS INT) AS y, CAST(x * 2 + b AS INT) AS x, level FROM mono, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)", MONO),

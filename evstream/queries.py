@@ -125,6 +125,7 @@ _BY_EVENTS: dict[str, Query] = {
     "time_sort": lambda ev: windows.time_sort(ev).select("ord", "t_us"),
     "keep_last_packets": lambda ev: windows.keep_last_packets(ev, 10).select("ord", "packet_id"),
     "packet_eviction": lambda ev: windows.evict_packets(ev, 0.5, 100).select("ord", "packet_id"),
+    "packet_eviction_all": lambda ev: windows.evict_packets(ev, 0.5).select("ord", "packet_id"),
     "frame_series": lambda ev: frames.frame_series(motion_rows(ev, STRICT)),
     "offline_pipeline": lambda ev: summary(offline(points(ev), STRICT, start_s=0.5, end_s=2.5).filtered),
     "upscale": lambda ev: frames.upscale(frames.mono_frame(ev), 2),

@@ -32,3 +32,14 @@ def test_query(spark, duck, name):
     rows = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     order = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=order) == sorted(rows, key=order)
+
+
+def test_eviction_is_after_the_last_packet(spark):
+    """On a table of more than 100 packets, which the smallest is not."""
+    sf = SF.replace("0.001", "0.01")
+    rows = QUERIES["packet_eviction_all"](spark, sf).collect()
+    last = QUERIES["recording_packets"](spark, sf).count() - 1
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert last > 100 and max(r.packet_id for r in rows) == last
+    assert sorted((r.ord, r.packet_id) for r in rows) == sorted(con.sql(f"SELECT ord, packet_id FROM ({ORACLES['packet_eviction_all']})").fetchall())
