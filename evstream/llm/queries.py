@@ -14,8 +14,9 @@ TOKEN_LIMIT = 2048
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), prefixes=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counts, at = token_counts.prefix_token_counts(table(spark, sf_dir, "documents")), F.col("prefix_tokens")
+    whole = token_counts.tokens_of_prefix(at, F.size(at) - 1).cast("long")
+    return counts.select("doc_id", "n_bytes", whole.alias("n_tokens"), (~token_counts.fits_budget(at, TOKEN_LIMIT)).alias("over_limit"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ empty table. Only the columns named in keep are carried over, so other columns c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -23,9 +22,6 @@ from pyspark.sql import types as T
 from .common import WordMemo, small_batches, text_bytes
 from .words import PrefixCounter, chunks_of, last_count, word_bpe_path
 
-_CHUNK = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
 @lru_cache(maxsize=1)
 def _memo(path: str) -> WordMemo:
     return WordMemo(PrefixCounter(path).compute, bound=600_000)
@@ -33,17 +29,20 @@ def _memo(path: str) -> WordMemo:
 
 def prefix_array(text: bytes, chunks: list[bytes], counts) -> np.ndarray:
     """Token counts of all character prefixes of text, the empty one first."""
-    out, base, at, done = np.zeros(len(text.decode()) + 1, np.int32), 0, 0, 0
-    for m, chunk in zip(_CHUNK.finditer(text), chunks):
-        at += m.start() - done  # white space is one byte a character
-        inner = counts(chunk)
-        here = slice(at + 1, at + 1 + len(inner))
-        out[here] = np.frombuffer(inner, np.uint8) if isinstance(inner, bytes) else inner
-        out[here] += base
-        base += inner[-1]
-        at, done = at + len(inner), m.end()
-        out[at + 1 :] = base
-    return out
+    raw = np.frombuffer(text, np.uint8)
+    raw = raw[(raw & 0xC0) != 0x80]  # the first byte of each character
+    dark = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
+    place = np.concatenate([[0], np.cumsum(dark)])
+    found = list(map(counts, chunks))
+    try:
+        inner = np.frombuffer(b"".join(found), np.uint8).astype(np.int32)
+    except TypeError:  # some chunk's counts do not fit bytes
+        inner = np.concatenate([np.frombuffer(c, np.uint8) if isinstance(c, bytes) else np.array(c, np.int32) for c in found])
+    ends = place[1:][dark & ~np.append(dark[1:], False)]
+    last = inner[ends - 1]
+    out = np.zeros(len(inner) + 1, np.int32)
+    out[1:] = inner + np.repeat(np.cumsum(last) - last, np.diff(ends, prepend=0))
+    return out[place]  # after white space as before it
 
 
 def prefix_token_counts(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, prefixes: bool = True) -> DataFrame:
@@ -64,9 +63,11 @@ def prefix_token_counts(docs: DataFrame, text: str = "text", keep: Sequence[str]
             texts = batch.column("__text").to_pylist()
             words = list(map(chunks_of, texts))
             counts = memo.load(words)
-            new = [pa.array([sum(map(last_count, map(counts, w))) for w in words], pa.int64())]
-            if prefixes:
+            if not prefixes:
+                new = [pa.array([sum(map(last_count, map(counts, w))) for w in words], pa.int64())]
+            else:
                 arrays = [prefix_array(t, w, counts) for t, w in zip(texts, words)]
+                new = [pa.array([a[-1] for a in arrays], pa.int64())]
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                 new.append(pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *arrays])))
             names = [f.name for f in fields[:-1]]

@@ -174,7 +174,8 @@ class PrefixCounter:
                 if len(low) == len(m[1]) and max(low) < "\u0250":  # composed Latin letters: each is lowered by itself
                     todo.append((spelled(low), k, low, m[2]))
                     continue
-            out[k] = self.slow(text)
+            got = self.slow(text)
+            out[k] = bytes(got) if max(got) < 256 else got
         todo.sort()
         before, last, count, shut = "", [""], [0], []
         for word, k, low, tail in todo:

@@ -343,3 +343,16 @@ def test_chunk_ids_are_the_librarys():
     text = "Don't “quote”, naïve É́a <|endoftext|> a.b. x. É. ʰa K Å ﬁ ß. 12.5 <|ENDOFTEXT|>"
     got = b"".join(words.chunk_ids(words.word_bpe_path())(words.chunks_of(text.encode())))
     assert np.frombuffer(got, "<u4").tolist() == ids(text)
+
+
+def test_token_query_answers_from_prefixes(spark, monkeypatch):
+    from evstream.llm import queries
+
+    asked = []
+    plain = token_counts.prefix_token_counts
+    monkeypatch.setattr(token_counts, "prefix_token_counts", lambda *a, **k: asked.append(out := plain(*a, **k)) or out)
+    got = queries.op1_token_counts(spark, "/root/testdata/sf0.001")
+    assert ["prefix_tokens" in df.columns for df in asked] == [True]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, len((r.text or "").encode()), n := len(ids(r.text)), n > queries.TOKEN_LIMIT) for r in docs)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and sorted(map(tuple, got.collect())) == want
