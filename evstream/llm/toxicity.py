@@ -29,12 +29,12 @@ from .common import WordMemo, small_batches, spare, text_bytes
 
 MAX_ROWS = 6000
 BUCKETS = 1 << 18
-DIMENSIONS = 4
+DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 SCALE = 10.0
 STEPS = 300
 RATE = 1.0
-SHRINK = 0.35
+SHRINK = 0.25
 COMMON = 0.005
 BATCH = 200
 THRESHOLD = 0.7
