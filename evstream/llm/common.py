@@ -86,8 +86,9 @@ class WordMemo:
     """Values by white-space-delimited chunk, kept between batches in two generations of bounded size.
 
     When the young generation is full it becomes the old one, and what is met again moves back. A chunk
-    that went is computed again, so the bound costs time only. compute gets the chunks that are missing
-    and a function that gives what is known of another chunk, or None.
+    that went is computed again, so the bound costs time only. Chunks of over LONG bytes are kept for their
+    batch alone, so that the bound is one on bytes too. compute gets the chunks that are missing and a function
+    that gives what is known of another chunk, or None.
     """
 
     def __init__(self, compute: Callable[[list[bytes], Callable], Iterable], bound: int = 400_000) -> None:
@@ -107,6 +108,8 @@ class WordMemo:
         again = distinct & self.old.keys()
         self.young.update(zip(again, map(self.old.__getitem__, again)))
         if missing := list(distinct - again):
+    LONG = 256
+
             self.young.update(zip(missing, self.compute(missing, self.known)))
         return self.young.__getitem__
 
@@ -118,6 +121,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges are stars. No task and no driver ever holds more than its share of the edges.
     """
 
+        large = [chunk for chunk in distinct if len(chunk) > self.LONG]
+        distinct.difference_update(large)
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
 
@@ -125,6 +130,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     now = materialize(ordered(edges), name)
+        if large:
+            own = dict(zip(large, self.compute(large, self.known)))
+            return lambda chunk: self.young[chunk] if len(chunk) <= self.LONG else own[chunk]
     seen = digest(now)
     while True:
         low = materialize(now.groupBy("a").agg(F.min("b").alias("low")), f"{name}-low")

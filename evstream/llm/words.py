@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 from operator import itemgetter
@@ -22,6 +23,8 @@ from tokenizers import Tokenizer
 WORD_BPE = "word_bpe_49k.json"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _PLAIN = re.compile(r"([^\W\d_]*)([.,;:!?\"()]*)")
+#: What the vocabulary's pre-tokenizer keeps together after an apostrophe.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,6 +42,20 @@ def spelled(word: str) -> str:
     return word.encode().decode("latin-1").translate(_LETTERS)
 
 
+@lru_cache(maxsize=1)
+def _second_letters() -> frozenset[str]:
+    """Characters that canonical composition may join to the one before, and Hangul vowels and finals."""
+    pairs = (unicodedata.decomposition(chr(c)).split(" ") for c in range(0x110000))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+@lru_cache(maxsize=1 << 14)
+def joins_left(ch: str) -> bool:
+    """Whether normalising may move or join a character to what stands before it."""
+    first = unicodedata.normalize("NFD", ch)[0]
+    return bool(unicodedata.combining(ch) or unicodedata.combining(first) or first in _second_letters())
+
+
 def word_bpe_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
@@ -117,6 +134,8 @@ class PrefixCounter:
         self.shut = {t.removesuffix(self.end): t for t in made if t.endswith(self.end)}
         self.tails = {t[k:] for t in [*self.open, *self.shut] for k in range(len(t))}
         self.agree: dict[tuple[str, str], bool] = {}
+        self.kinds: dict[str, str] = {}
+        self.singles: dict[str, int] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The encoding of a few symbols by the merge rules themselves."""
@@ -209,20 +228,102 @@ class PrefixCounter:
         return out + [base + n for n in self.ordinary(text[done:])]
 
     def ordinary(self, text: str) -> list[int]:
-        """What a prefix is cut into may change as it grows, so the library normalises and cuts every prefix; long texts in
-        normal form are cut once, contractions being their only exception."""
-        library = self.library
-        if len(text) > 64 and len(low := library.normalizer.normalize_str(text)) == len(text) and unicodedata.is_normalized("NFC", text):
-            out, base = [], 0
-            for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(low):
-                letters = [spelled(ch) for ch in low[a:b]]
-                counts = self.piece("".join(letters))
-                if low[a] == "'" and b - a > 1 and low[b - 1].isalpha():  # a contraction: its prefixes are cut after the mark
-                    counts[:-1] = [1, *(1 + n for n in self.piece(low[a + 1 : b - 1]))]
-                out += [base + counts[at] for at in accumulate([-1, *map(len, letters)]) if at >= 0]
-                base = out[-1]
-            return out
-        return [sum(self.piece(p)[-1] for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text[:k]))) for k in range(1, len(text) + 1)]
+        """Counts at every prefix of text without special strings, in time linear in its length (but for long runs of combining
+        marks, whose order may change with each mark)."""
+        out, walk = [], _Walk(self)
+        for forms in self.forms(text):
+            before, marks = "", []
+            for form in forms:
+                same = len(before) if form.startswith(before) else next(n for n, (a, b) in enumerate(zip(before, form + "\0")) if a != b)
+                if same < len(before):
+                    walk.back(marks[same])
+                    del marks[same:]
+                for ch in form[same:]:
+                    marks.append(walk.mark())
+                    walk.step(ch)
+                before = form
+                out.append(walk.total())
+        return out
+
+    def forms(self, text: str) -> Iterator[Iterable[str]]:
+        """For each part of text that normalising keeps apart from its neighbours: the normal forms of the part's prefixes."""
+        if text.isascii():
+            yield from zip(text.lower())
+            return
+        normal = self.library.normalizer.normalize_str
+        starts = [k for k, ch in enumerate(text) if not k or not joins_left(ch)]
+        parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+        if "".join(map(normal, parts)).replace(" ", "") != normal(text).replace(" ", ""):  # letters newer than Python's tables
+            parts = [text]
+        for part in parts:
+            yield (normal(part),) if len(part) == 1 else (normal(part[:k]) for k in range(1, len(part) + 1))
+
+    def kind(self, ch: str) -> str:
+        """What the pre-tokenizer takes a character for: letter, number, other mark or space."""
+        if (known := self.kinds.get(ch)) is None:
+            cut = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
+            known = self.kinds[ch] = "space" if not cut(ch) else "letter" if cut("a" + ch) == 1 else "mark" if cut("!" + ch) == 1 else "number"
+        return known
+
+    def alone(self, token: str) -> int:
+        """Tokens of a pre-token that is a number or a contraction."""
+        if (known := self.singles.get(token)) is None:
+            known = self.singles[token] = self.piece(spelled(token))[-1]
+        return known
+
+
+class _Walk:
+    """The pre-tokenizer's cuts and the counts of the pre-tokens so far, a character at a time.
+
+    Runs of letters and runs of marks are pre-tokens, and so is every number. A mark run that begins with an
+    apostrophe may turn out a contraction: held has what there is of it, and base stands before it.
+    """
+
+    LETTERS = 4096  # of a run that are kept: no token is as long as half of it
+
+    def __init__(self, counter: PrefixCounter) -> None:
+        self.counter, self.closed, self.base, self.held = counter, 0, 0, ""
+        self.begin("")
+
+    def begin(self, kind: str) -> None:
+        self.kind, self.word, self.last, self.count, self.shut = kind, "", [""], [0], []
+
+    def total(self) -> int:
+        return self.closed + (self.shut[-1] if self.word else 0)
+
+    def mark(self) -> tuple:
+        return self.closed, self.base, self.held, self.kind, self.word, self.last, self.count, self.shut, len(self.shut)
+
+    def back(self, mark: tuple) -> None:
+        self.closed, self.base, self.held, self.kind, self.word, self.last, self.count, self.shut, n = mark
+        del self.last[n + 1 :], self.count[n + 1 :], self.shut[n:]
+
+    def close(self, kind: str) -> None:
+        self.closed = self.total()
+        self.begin(kind)
+
+    def step(self, ch: str) -> None:
+        held, self.held = self.held, ""
+        if held and held + ch in CONTRACTIONS:
+            self.closed = self.base + self.counter.alone(held + ch)
+            self.begin("")
+            return
+        kind = self.counter.kind(ch)
+        if held == "'" and any(c.startswith(held + ch) for c in CONTRACTIONS):
+            self.held = held + ch
+        if kind == "number" or kind == "space":
+            self.close("")
+            self.closed += self.counter.alone(ch) if kind == "number" else 0
+            return
+        if kind != self.kind:
+            self.close(kind)
+            if ch == "'":
+                self.held, self.base = ch, self.closed
+        if len(self.word) > self.LETTERS:
+            n = self.LETTERS // 2
+            self.word, self.last, self.count, self.shut = self.word[-n:], self.last[-n - 1 :], self.count[-n - 1 :], self.shut[-n:]
+        self.word += spelled(ch)
+        self.counter.grow(self.word, self.last, self.count, self.shut)
 
 
 last_count = itemgetter(-1)

@@ -1,6 +1,7 @@
 """Operators over documents against plain recomputations."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from cases import LONG, ODD, no_documents, odd_documents
 from evstream.llm import exact_dedup, licences, packing, sentencepieces, sharding, simhash, token_counts, words
-from evstream.llm.common import UnionFind, connected_components
+from evstream.llm.common import UnionFind, WordMemo, connected_components
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -71,6 +72,33 @@ def test_a_chunk_may_have_over_255_tokens(spark):
 
 def normal(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+def test_prefixes_of_odd_strings():
+    rng, counter = random.Random(1), words.PrefixCounter(words.word_bpe_path())
+    parts = list("abcrstvelmd''''!.,-_019éÉİßŁﬁ²½ªº日本語가각ΣςΩ😀") + ["\u0301", "\u0323", "\u1100", "\u1161", "\u11a8", "\u00a0", "\u3000", "\x85", "\u212b", "か", "\u3099", "\u0344", "\u09c7", "\u09be", "<|endoftext|>", "<|", "'re", "'S"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        assert counter.slow(text) == [len(ids(text[:k])) for k in range(1, len(text) + 1)], repr(text)
+
+
+def test_long_texts_without_white_space_take_linear_time(spark):
+    texts = [unicodedata.normalize("NFD", "がぎぐげご") * 10_000, unicodedata.normalize("NFD", "한국어텍스트") * 7000, "e\u0301" * 50_000, "ab1'c" * 20_000, "İ" * 100_000]
+    counter = words.PrefixCounter(words.word_bpe_path())
+    for text in texts:
+        assert len(text) >= 99_000
+        began = time.process_time()
+        counts = counter.slow(text)
+        assert time.process_time() - began < 4
+        assert counts[-1] == len(ids(text))
+        assert all(counts[k - 1] == len(ids(text[:k])) for k in (1, 2, 3, 4999, 5000, 5001))
+    assert prefix_counts(spark, texts[:1])[0][0] == len(ids(texts[0]))
+
+
+def test_long_chunks_are_not_remembered():
+    memo = WordMemo(lambda chunks, known: map(len, chunks))
+    counts = memo.load([[b"a" * 5000, b"bc"]])
+    assert counts(b"a" * 5000) == 5000 and counts(b"bc") == 2 and list(memo.young) == [b"bc"]
+
+
 
 
 @pytest.mark.parametrize("bits, owner_rows", [(48, 1 << 16), (48, 8), (4, 8)])  # four bits: most fingerprints collide
