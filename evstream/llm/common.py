@@ -46,9 +46,22 @@ def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no plan still to run reads."""
     for table in tables:
         _delete(table.sparkSession, table._scratch)
+def materialize_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As materialize, written in buckets by column: to group by it, no row of the table that is read back needs a shuffle."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    named = "evstream_" + path.rpartition("-")[2]
+    df.write.format("parquet").bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(named)
+    table = spark.table(named)
+    table._scratch, table._named = path, named
+    return table
+
+
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+        if named := getattr(table, "_named", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {named}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _written.remove((spark, path))

@@ -1,12 +1,13 @@
 """Exact deduplication by a Golomb-coded exchange of fingerprints.
 
-1. Every partition fingerprints its texts (white-space runs made one space) and sends each owner of
-   a hash range its sorted, distinct fingerprints as Golomb-Rice codes.
+1. Every text is fingerprinted (white-space runs made one space), and the fingerprints are written in as many
+   buckets as the session has shuffle partitions, whole partitions to a bucket. A bucket is a sender: it sends
+   each owner of a hash range its sorted, distinct fingerprints as Golomb-Rice codes.
 2. An owner tells each sender, as a bitmap in the order sent, which fingerprints others have too.
-3. Rows whose fingerprint is marked, or repeats inside its partition, are suspects. Only their texts
+3. Rows whose fingerprint is marked, or repeats inside its bucket, are suspects. Only their texts
    are shuffled, and grouped by the bytes themselves.
 
-A text that very many rows share is one fingerprint a partition in step 1 and one partial group a
+A text that very many rows share is one fingerprint a bucket in step 1 and one partial group a
 task in step 3, so no task sees its copies together.
 
 Null text counts as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, materialize_buckets
 from .keep import keep_rows, row_key
 
 FINGERPRINT_BITS = 48
 OWNER_ROWS = 1 << 16
 BROADCAST_ROWS = 500_000
+MOST_SENDERS = 16_384
 
 
 def normalized(text: str = "text") -> Column:
@@ -55,19 +57,20 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum(gaps + (bits << np.arange(k, dtype=np.uint64)).sum(1, dtype=np.uint64), dtype=np.uint64)
 
 
-def _suspects(rows: DataFrame, bits: int, owner_rows: int) -> DataFrame:
-    """rows (src, rid, fp, ...) with suspect: whether another row may have the same text."""
-    owner_bits = min(bits, (rows.count() // owner_rows).bit_length())
+def _suspects(rows: DataFrame, bits: int, owner_rows: int, senders: int) -> DataFrame:
+    """rows (src, rid, fp, ...; bucketed by src) with suspect: whether another row may have the same text."""
+    owner_bits = min(bits, (rows.count() // owner_rows).bit_length(), senders.bit_length())
     span = 1 << (bits - owner_bits)
+    starts = np.arange((1 << owner_bits) + 1, dtype=np.uint64) * np.uint64(span)
 
     def send(table: pa.Table) -> pa.Table:
-        sent = np.unique(table["fp"].to_numpy())
-        owners = sent >> (bits - owner_bits)
-        out = []
-        for owner in np.unique(owners):
-            mine = sent[owners == owner] - int(owner) * span
-            out.append((table["src"][0].as_py(), int(owner), len(mine), *golomb_encode(mine, span)))
-        return pa.table(list(map(list, zip(*out))), names=["src", "owner", "n", "k", "unary", "rest"])
+        sent = np.unique(table["fp"].to_numpy()).astype(np.uint64)
+        at = np.searchsorted(sent, starts)
+        owners = np.flatnonzero(np.diff(at))
+        codes = [(int(at[k + 1] - at[k]), *golomb_encode(sent[at[k] : at[k + 1]] - starts[k], span)) for k in owners]
+        src = table["src"][0].as_py()
+        columns = [[src] * len(owners), owners.tolist(), *map(list, zip(*codes))]
+        return pa.table(columns, names=["src", "owner", "n", "k", "unary", "rest"])
 
     def own(table: pa.Table) -> pa.Table:
         sent = [golomb_decode(m["n"], m["k"], m["unary"], m["rest"]) for m in table.select(["n", "k", "unary", "rest"]).to_pylist()]
@@ -77,14 +80,13 @@ def _suspects(rows: DataFrame, bits: int, owner_rows: int) -> DataFrame:
         return pa.table({"src": table["src"], "owner": table["owner"], "marks": pa.array(marks, pa.binary())})
 
     def mark(table: pa.Table, maps: pa.Table) -> pa.Table:
-        fp = table["fp"].to_numpy()
-        sent, at, times = np.unique(fp, return_inverse=True, return_counts=True)
+        sent, place, times = np.unique(table["fp"].to_numpy(), return_inverse=True, return_counts=True)
         many = times > 1
-        owners = sent >> (bits - owner_bits)
+        at = np.searchsorted(sent.astype(np.uint64), starts)
         for owner, marks in zip(maps["owner"].to_pylist(), maps["marks"].to_pylist()):
-            here = np.flatnonzero(owners == owner)
-            many[here] |= np.unpackbits(np.frombuffer(marks, np.uint8), count=len(here)).astype(bool)
-        return table.append_column("suspect", pa.array(many[at]))
+            a, b = at[owner], at[owner + 1]
+            many[a:b] |= np.unpackbits(np.frombuffer(marks, np.uint8), count=b - a).astype(bool)
+        return table.append_column("suspect", pa.array(many[place]))
 
     messages = rows.select("src", "fp").groupBy("src").applyInArrow(send, "src long, owner long, n long, k long, unary binary, rest binary")
     maps = messages.groupBy("owner").applyInArrow(own, "src long, owner long, marks binary")
@@ -94,16 +96,17 @@ def _suspects(rows: DataFrame, bits: int, owner_rows: int) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, text: str = "text", bits: int = FINGERPRINT_BITS, owner_rows: int = OWNER_ROWS) -> DataFrame:
     """One row per document: doc_id, key (of the row for keep_rows), keep_id, group_size, kept, text_sha256."""
-    norm = normalized(text)
+    norm, senders = normalized(text), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SENDERS)
     rows = docs.select("doc_id", row_key(text).alias("key"), fingerprint(norm, bits).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
-    prints = materialize(rows.withColumns({"src": F.spark_partition_id().cast("long"), "rid": F.monotonically_increasing_id()}), "prints")
-    rows = materialize(_suspects(prints, bits, owner_rows).drop("src"), "suspects")
+    rows = rows.withColumns({"src": (F.spark_partition_id() % senders).cast("long"), "rid": F.monotonically_increasing_id()})
+    prints = materialize_buckets(rows, "prints", "src", senders)  # what a sender has is in one bucket: neither sending nor marking shuffles rows
+    rows = materialize(_suspects(prints, bits, owner_rows, senders).drop("src"), "suspects")
     discard(prints)
 
-    again = materialize(rows.where("suspect").select("fp").distinct(), "again")
+    again = materialize(rows.where("suspect").select("key").distinct(), "again")
     few = again.count() <= BROADCAST_ROWS
-    texts = docs.select(F.lit(1).alias("one"), norm.alias("norm"))
-    texts = texts.join(F.broadcast(again) if few else again, fingerprint(F.col("norm"), bits) == again.fp, "left_semi")
+    texts = docs.select(row_key(text).alias("raw"), F.col(text).alias("body"))
+    texts = texts.join(F.broadcast(again) if few else again, F.col("raw") == again.key, "left_semi").select(F.lit(1).alias("one"), normalized("body").alias("norm"))
     verified = texts.groupBy("norm").agg(F.count("one").alias("bytes_equal")).select(F.sha2("norm", 256).alias("text_sha256"), "bytes_equal")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     groups = rows.where("suspect").groupBy("text_sha256").agg(first, F.count("*").alias("group_size"))
