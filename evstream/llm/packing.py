@@ -29,6 +29,7 @@ from .words import chunk_ids, chunks_of, word_bpe_path
 
 CAPACITY = 2048
 END_ID = 0
+BROADCAST_ROWS = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -82,11 +83,14 @@ class _Stock:
         self.index()
 
     def index(self) -> None:
-        """Bit sets: the lengths in stock and the sums of two (kept until a look-up finds them out of date)."""
-        self.singles = sum(1 << int(k) for k in np.flatnonzero(self.n))
-        self.pairs = 0
-        for k in np.flatnonzero(self.n).tolist():
-            self.pairs |= self.singles << k
+        """Bit sets: the lengths in stock, the sums of two and of three. Stock only falls, so older sets miss no sum."""
+        held, over = np.flatnonzero(self.n).tolist(), (1 << len(self.n)) - 1
+        self.singles = sum(1 << k for k in held)
+        self.pairs = self.triples = 0
+        for k in held:
+            self.pairs |= self.singles << k & over
+        for k in held:
+            self.triples |= self.pairs << k & over
 
     def pair(self, gap: int) -> tuple[int, int] | None:
         """The pair of that sum with the longest member."""
@@ -103,7 +107,7 @@ class _Stock:
             return (gap,)
         if most > 1 and self.pairs >> gap & 1 and (found := self.pair(gap)):
             return found
-        if most < 3:
+        if most < 3 or not self.triples >> gap & 1:
             return None
         for a in np.flatnonzero(self.n[:gap])[::-1].tolist():
             if a * 3 < gap:
@@ -178,6 +182,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = pieces.sparkSession.sparkContext.broadcast(_places(plan_packing(counts, capacity)))  # a few runs for each length, however many pieces
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases.hint("merge")  # partitions x lengths: grows with the input
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
 

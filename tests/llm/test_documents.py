@@ -157,6 +157,22 @@ def test_packing(spark, corpus, rows):
 
 def test_packing_plan_uses_each_piece_once():
     rng = np.random.default_rng(5)
+def test_packing_is_the_same_without_broadcast(spark, corpus, monkeypatch):
+    columns = ["doc_id", "piece", "length", "sequence_id", "offset", "ids_crc32"]
+    own = lambda df: sorted(map(str, df.select(columns).collect()))
+    pieces = packing.materialize(packing.token_pieces(corpus, capacity=256), "pieces")
+    want = own(packing.pack_pieces(pieces, 256))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    joined = packing.pack_pieces(pieces, 256)
+    assert own(joined) == want and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_of_three_lengths_are_found():
+    stock = packing._Stock({50: 2, 17: 1, 13: 1, 3: 3}, 100)
+    assert stock.exact(33) == (17, 13, 3) and stock.exact(9) == (3, 3, 3) and stock.exact(100) == (50, 50)
+    assert stock.exact(12) is None and stock.exact(51) is None and stock.exact(33, 2) is None
+
+
     for top in (3, 40, 100):
         counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, top + 1, 500), return_counts=True))}
         plan, used = packing.plan_packing(counts, 100), defaultdict(int)
