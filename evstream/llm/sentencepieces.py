@@ -6,15 +6,18 @@ weighs 0 if they agree and minus infinity if not (characters the vocabulary lack
 agree with everything). The encoding is the best path.
 
 Paths may be cut anywhere. The state at a cut is the last token that ended there or before, and how far
-before. A chunk between two cuts turns a vector of states into another: a max-plus matrix. Matrices
-multiply associatively, which gives each chunk of a giant text its entry state from its predecessors'
-product, and then every chunk is backtraced by itself. Where a cut lies before a space the state is a
-single one, since no token has a space after another character; there the matrix is 1 x 1.
-
-Texts up to CHUNK_CHARS are one chunk, built from words whose encodings are remembered. Null text counts
-as empty, which has no tokens. Repeated rows and ties are encoded row by row. An empty table gives an
-empty table. Other columns are never looked at. Decoding undoes the escape of spaces, so a literal
-U+2581 comes back as a space, as the library has it.
+before. A chunk between two cuts turns a vector of states into another: a max-plus matrix. Giant texts are cut
+every CHUNK_CHARS characters, whatever stands there. Every chunk's matrix is made by itself; the matrices of a
+text are multiplied pairwise, level by level, up a balanced tree, since the product is associative; down the same
+tree each product tells its two factors the state between them; then every chunk is backtraced by itself. No
+token has a space after another character, so before such a space, and beside a character the vocabulary lacks,
+the state is a single one: a chunk's matrix is the product of what stands before its first and after its last such
+place, and the words between, whose encodings are remembered, do not enter it. A chunk without such a place has
+its whole matrix made.
+
+Texts up to CHUNK_CHARS are one chunk. Null text counts as empty, which has no tokens. Repeated rows and ties are
+encoded row by row. An empty table gives an empty table. Other columns are never looked at. Decoding undoes the
+escape of spaces, so a literal U+2581 comes back as a space, as the library has it.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from .common import WordMemo, materialize, small_batches, text_bytes
 from .words import core_of
 
 CHUNK_CHARS = 32_768
+BROADCAST_ROWS = 200_000
 SPACE = "▁"
 START = (0, "")  # the state where nothing to the left matters
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -147,10 +151,32 @@ class PieceModel:
 
     def matrix(self, text: str, left: str, opened: bool, closed: bool) -> Matrix:
         """The chunk's max-plus matrix. left: the characters before it that states can reach into; opened, closed: whether its cuts are free (a single state)."""
-        return self._forward(text, left, opened, closed)[1]
+        if not (inner := self.inner(text, left, opened, closed)):
+            return self._forward(text, left, opened, closed)[1]
+        head, tail = {START: {START: 0.0}}, {START: {START: 0.0}}
+        if not opened:
+            head = self._forward(text[: inner[0]], left, False, True)[1]
+        if not closed:
+            tail = self._forward(text[inner[1] :], "", True, False)[1]
+        return combine(head, tail)
+
+    def free(self, whole: str, at: int) -> bool:
+        """Whether a cut within a text is free: before a space after something else, or beside a character the vocabulary lacks."""
+        before, after = whole[at - 1], whole[at]
+        return after == SPACE != before or after not in self.ids or before not in self.ids
+
+    def inner(self, text: str, left: str, opened: bool, closed: bool) -> tuple[int, int] | None:
+        """The first and the last free cut of a chunk, its own ends included."""
+        whole, lead = left[-1:] + text, len(left[-1:])
+        first = 0 if opened else next((k - lead for k in range(1, len(whole)) if self.free(whole, k)), None)
+        if first is None:
+            return None
+        return first, len(text) if closed else next((k - lead for k in range(len(whole) - 1, 0, -1) if self.free(whole, k)), 0)
 
     def _entries(self, left: str) -> list[State]:
         """All states a cut after left may have: a token, or a free cut, that ends k characters before it."""
+        if (free := self.inner(left, "", False, False)) and free[1]:
+            return list(self._forward(left[free[1] :], "", True, False)[1][START])
         out = [(k, "") for k in range(1, min(self.longest, len(left) + 1))]
         for k in range(min(self.longest, len(left) + 1)):
             end = len(left) - k
@@ -250,16 +276,30 @@ def escaped_segments(text: str) -> list[bytes]:
     return [s[1:].encode() if s[0] == SPACE and len(s) > 1 and s[1] != SPACE else b" " + s.encode() for s in _SEGMENT.findall(text)]
 
 
-def cuts(text: str, chunk: int, back: int = 4096) -> list[tuple[int, bool]]:
-    """Where to cut an escaped text, and whether the cut is free: before a space, if there is one near."""
-    out, at = [], 0
-    while len(text) - at > chunk:
-        end = at + chunk
-        low = max(at + 1, end - back)
-        free = next((m.start() + 1 for m in reversed(list(re.finditer(f"[^{SPACE}](?={SPACE})", text[low - 1 : end + 1])))), 0)
-        out.append((low - 1 + free, True) if free and low - 1 + free > at else (end, False))
-        at = out[-1][0]
-    return out
+def middle_states(matrices: list[Matrix]) -> list[State]:
+    """The states of the best path at all cuts, the ends included: products up a balanced tree, states down it."""
+    levels = [matrices]
+    while len(now := levels[-1]) > 1:
+        levels.append([combine(*now[k : k + 2]) if k + 1 < len(now) else now[k] for k in range(0, len(now), 2)])
+    states = [START, START]
+    for level in levels[-2::-1]:
+        below = [START]
+        for k, (before, after) in enumerate(zip(states, states[1:])):
+            if 2 * k + 1 < len(level):
+                one, two = level[2 * k].get(before, {}), level[2 * k + 1]
+                below.append(max((w + two[s][after], s) for s, w in one.items() if after in two.get(s, {}))[1])
+            below.append(after)
+        states = below
+    return states
+
+
+def joined_crc(crcs: list[int], sizes: list[int]) -> int:
+    """CRC-32 of byte strings put together, from theirs: a CRC is linear, so the first goes on over as many zeros as the next has bytes."""
+    total = 0
+    for crc, size in zip(crcs, sizes):
+        zeros = bytes(size)
+        total = zlib.crc32(zeros, total) ^ zlib.crc32(zeros) ^ crc
+    return total
 
 
 def decode_ids(ids: bytes, model: PieceModel) -> bytes:
@@ -299,8 +339,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
         for batch in batches:
             for n, raw in enumerate(batch.column("__text").to_pylist()):
                 whole = SPACE + raw.decode().replace(" ", SPACE)
-                places = [(0, True), *cuts(whole, chunk), (len(whole), True)]
-                parts = [(k, whole[max(0, a - back) : a], whole[a:b], of, cf) for k, ((a, of), (b, cf)) in enumerate(zip(places, places[1:]))]
+                places = [*range(0, len(whole), chunk), len(whole)]
+                parts = [(k, whole[max(0, a - back) : a], whole[a:b], a == 0, b == len(whole)) for k, (a, b) in enumerate(zip(places, places[1:]))]
                 columns = [pa.array(c) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([n] * len(parts))), pa.array([row] * len(parts), pa.int64()), *columns], names=["doc_id", "row", "nth", "left", "part", "opened", "closed"])
                 row += 1
@@ -308,52 +348,50 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, chunk:
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = _model(path)
         for batch in batches:
-            out = []
-            for left, part, opened, closed in zip(*(batch.column(c).to_pylist() for c in ("left", "part", "opened", "closed"))):
-                out.append(pickle.dumps({START: {START: 0.0}} if opened and closed else model.matrix(part, left, opened, closed)))
+            out = [pickle.dumps(model.matrix(part, left, opened, closed)) for left, part, opened, closed in zip(*(batch.column(c).to_pylist() for c in ("left", "part", "opened", "closed")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("nth"), pa.array(out, pa.binary())], names=["row", "nth", "matrix"])
 
     def scan(table: pa.Table) -> pa.Table:
-        """Products of all matrices up to each chunk; the path is the one that reaches the end, so exits are fixed from the last back."""
-        order = np.argsort(table["nth"].to_numpy())
-        matrices = [pickle.loads(table["matrix"][int(k)].as_py()) for k in order]
-        products = [{START: {START: 0.0}}]
-        for m in matrices:
-            products.append(combine(products[-1], m))
-        states = [START]
-        for k in range(len(matrices) - 1, -1, -1):
-            to, matrix = states[-1], matrices[k]
-            reach = products[k][START]
-            states.append(max((w + matrix[s][to], s) for s, w in reach.items() if to in matrix.get(s, {}))[1])
-        states.reverse()
-        pairs = [pickle.dumps((states[k], states[k + 1])) for k in range(len(matrices))]
-        return pa.table({"row": table["row"], "nth": pa.array(np.arange(len(order)), pa.int64()), "states": pa.array(pairs, pa.binary())})
+        table = table.sort_by("nth")  # a text has at most 2 GB, so these are at most some 65,000 small matrices
+        states = middle_states([pickle.loads(m) for m in table["matrix"].to_pylist()])
+        return pa.table({"row": table["row"], "nth": table["nth"], "states": pa.array(map(pickle.dumps, zip(states, states[1:])), pa.binary())})
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = _model(path)
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("left", "part", "opened", "closed", "states"))))
-            keys = [escaped_segments(part) if opened and closed else [] for _, part, opened, closed, _ in rows]
+            inner = [model.inner(part, left, opened, closed) for left, part, opened, closed, _ in rows]
+            keys = [escaped_segments(r[1][slice(*at)]) if at else [] for r, at in zip(rows, inner)]
             ids_of, out = memo.load(keys), []
-            for own, (left, part, opened, closed, states) in zip(keys, rows):
-                if opened and closed:
-                    out.append(b"".join(map(ids_of, own)))
+            for own, at, (left, part, opened, closed, states) in zip(keys, inner, rows):
+                entry, leave = pickle.loads(states)
+                if at:
+                    head = [] if opened else model.backtrace(part[: at[0]], left, False, True, entry, START)
+                    tail = [] if closed else model.backtrace(part[at[1] :], "", True, False, START, leave)
+                    ids = model.pack(head) + b"".join(map(ids_of, own)) + model.pack(tail)
                 else:
-                    out.append(model.pack(model.backtrace(part, left, opened, closed, *pickle.loads(states))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "nth")), pa.array(out, pa.binary()), batch.column("part")], names=["doc_id", "row", "nth", "ids", "part"])
+                    ids = model.pack(model.backtrace(part, left, opened, closed, entry, leave))
+                text = (left + part)[len(left) - entry[0] : len(left) + len(part) - leave[0]]  # what the chunk's tokens stand for
+                same = b"".join(map(model.texts.__getitem__, np.frombuffer(ids, "<u4").tolist())) == text.replace(SPACE, " ").encode()
+                out.append((len(ids), zlib.crc32(ids), same, ids)[: len(names) - 1])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            columns = [pa.array([o[k] for o in out], kinds[k]) for k in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "nth")), *columns], names=["doc_id", "row", "nth", "size", "crc", "same", "ids"][: 3 + len(columns)])
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("nth")
-        ids = b"".join(table["ids"].to_pylist())
-        raw = "".join(table["part"].to_pylist()).replace(SPACE, " ")[1:].encode()
-        return pa.Table.from_batches([as_batch(table["doc_id"][:1].combine_chunks(), [digest(ids, raw, len(table), _model(path)[0])])])
+        sizes = table["size"].to_pylist()
+        ids = [b"".join(table["ids"].to_pylist())] if with_ids else []
+        value = (len(table), sum(sizes) // 4, joined_crc(table["crc"].to_pylist(), sizes), all(table["same"].to_pylist()), *ids)
+        return pa.Table.from_batches([as_batch(table["doc_id"][:1].combine_chunks(), [value])])
 
     short = rows.where(F.col("__chars") <= chunk).select("doc_id", "__text").mapInArrow(plain, schema)
     parts = rows.where(F.col("__chars") > chunk).select("doc_id", "__text").mapInArrow(split, f"doc_id {doc_type}, row long, nth long, left string, part string, opened boolean, closed boolean")
-    parts = materialize(parts, "chunks")
-    matrices = parts.repartition("row", "nth").mapInArrow(transfer, "row long, nth long, matrix binary")
+    parts = materialize(parts.repartition("row", "nth"), "chunks")
+    matrices = parts.drop("doc_id").mapInArrow(transfer, "row long, nth long, matrix binary")
     states = materialize(matrices.groupBy("row").applyInArrow(scan, "row long, nth long, states binary"), "states")
-    traced = parts.join(states, ["row", "nth"]).mapInArrow(backtrace, f"doc_id {doc_type}, row long, nth long, ids binary, part string")
+    states = F.broadcast(states) if states.count() <= BROADCAST_ROWS else states
+    traced = parts.join(states, ["row", "nth"]).mapInArrow(backtrace, f"doc_id {doc_type}, row long, nth long, size long, crc long, same boolean" + ", ids binary" * with_ids)
     return short.unionByName(traced.groupBy("row").applyInArrow(join, schema))
 
 

@@ -296,6 +296,26 @@ def test_scan_at_any_cut_is_the_whole_encoding():
 
 def test_licences(spark):
     texts = {
+def test_states_down_a_tree_are_those_of_the_whole_encoding():
+    model = sentencepieces.PieceModel(sentencepieces.piece_bpe_path())
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.piece_bpe_path())
+    for text in ("internationalization of the quick brown foxes " * 9, "日本語テキスト😀 words" * 20, "x" * 300, "ab" * 50 + " " * 40 + "the" * 9):
+        whole = "▁" + text.replace(" ", "▁")
+        for chunk in (1, 7, 50):
+            places = [*range(0, len(whole), chunk), len(whole)]
+            parts = [(whole[max(0, a - 32) : a], whole[a:b], a == 0, b == len(whole)) for a, b in zip(places, places[1:])]
+            matrices = [model.matrix(p, left, *ends) for left, p, *ends in parts]
+            states = sentencepieces.middle_states(matrices)
+            assert chunk == 1 or any(len(row) > 1 for m in matrices for row in m.values())
+            tokens = [t for (left, p, *ends), *own in zip(parts, states, states[1:]) for t in model.backtrace(p, left, *ends, *own)]
+            assert np.frombuffer(model.pack(tokens), "<u4").tolist() == library.encode(text)
+
+
+def test_joined_crc():
+    parts = [b"", b"abc", b"x" * 70_000, b"", b"\0\0"]
+    assert sentencepieces.joined_crc([zlib.crc32(p) for p in parts], list(map(len, parts))) == zlib.crc32(b"".join(parts))
+
+
         1: "Intro.\nReleased under the MIT License.\nBody.", 2: "This work is licensed under the GNU General Public License, version 3.", 3: "nothing here", 4: None, 5: "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.",
         6: "His driving license was renewed.\nThe general public came.", 7: "Licensed under the Foo Public License, version 9.", 8: "", 9: LONG + "\nReleased under the BSD License.",
     }
