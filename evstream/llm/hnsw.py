@@ -8,8 +8,9 @@ queries against the whole shard by brute force finds every link. All links are v
 double precision. A task reports how many vectors each of its own links to, and its links as the edges
 of a spanning forest; the components are united over tables.
 
-Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
-nothing; vectors of different length never link. Null vec_ids are ignored in component_id. Repeated rows
+Labels may be of any type that compares. Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
+nothing; vectors of different length never link. Finite components of any
+magnitude count. Null vec_ids are ignored in component_id. Repeated rows
 and ties get the same answer and link with each other. An empty table gives an empty table. Other columns
 are never looked at.
 """
@@ -17,18 +18,19 @@ are never looked at.
 from __future__ import annotations
 
 import pickle
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, connected_components, discard, materialize, small_batches
+from .common import connected_components, discard, materialize, small_batches
 
 THRESHOLD = 0.98
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
+MOST_ROWS = 65_536  # of a shard or block; one of so many vectors of 64 numbers takes some 60 MB
+PARTS = 64
 NEIGHBOURS = 12
 BUILD_BEAM = 40
 QUERY_BEAM = 48
@@ -58,6 +60,13 @@ class Hnsw:
         if len(stray := self._lost(beam)):
             self.stray = stray[0]
 
+    @classmethod
+    def restore(cls, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], stray: np.ndarray) -> Hnsw:
+        """A graph from its links, with vectors that are kept elsewhere."""
+        graph = cls.__new__(cls)
+        graph.vectors, graph.layers, graph.stray = np.ascontiguousarray(vectors, np.float32), layers, stray
+        return graph
+
     def _lost(self, beam: int) -> tuple[np.ndarray, np.ndarray] | tuple:
         """Nodes that a search for themselves misses, and the nearest it finds instead."""
         lost, near = [], []
@@ -232,11 +241,21 @@ def range_search(graph: Hnsw, x: np.ndarray, threshold: float, beam: int, rows:
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and unit vectors; components are scaled first, since the squares of very large or small ones leave the range of a double."""
     column = table["embedding"].combine_chunks()
     v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+    v /= np.abs(v).max(1, keepdims=True)
     return table["node"].to_numpy(), v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _join(up: np.ndarray, places: np.ndarray) -> None:
+    """Put places into one tree of the forest up (a place's way to its root never rises)."""
+    root = up[places]
+    while ((above := up[root]) != root).any():
+        root = above
+    up[root] = up[places] = root.min()
+
+
 def link_block(graph: Hnsw, nodes: np.ndarray, unit: np.ndarray, q_nodes: np.ndarray, q_unit: np.ndarray, threshold: float, beam: int = QUERY_BEAM, audit: int = AUDIT_ROWS) -> list[tuple[int, np.ndarray]]:
     """(query node, linked nodes) for a block against a shard; beams are widened until the audited queries lose no link."""
     sample = np.linspace(0, len(q_nodes) - 1, min(audit, len(q_nodes))).astype(np.int64)
@@ -255,7 +274,11 @@ def link_block(graph: Hnsw, nodes: np.ndarray, unit: np.ndarray, q_nodes: np.nda
 
 
 def near_links(embeddings: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (vec_id, node), links by node (node, n_links: rows linked with each row of it) and edges (a, b) between nodes."""
+    """rows (vec_id, node), links by node (node, n_links: rows linked with each row of it) and edges (a, b) between nodes.
+
+    A label has up to PARTS shards and blocks of at least shard_rows and block_rows vectors, and more than that only once
+    they have MOST_ROWS: as many times as that its vectors and graphs are sent.
+    """
     small_batches(embeddings.sparkSession)
     usable = F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
     usable &= F.coalesce(F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))), F.lit(False))
@@ -264,18 +287,22 @@ def near_links(embeddings: DataFrame, threshold: float = THRESHOLD, shard_rows:
     rows = materialize(rows.withColumn("embedding", F.when(F.col("usable"), F.transform("embedding", lambda x: x + F.lit(0.0)))), "vectors")  # -0 is 0
     distinct = rows.where("usable").groupBy("label", "embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     distinct = materialize(distinct.withColumn("dims", F.size("embedding")), "distinct-vectors")
-    sizes = distinct.groupBy("label", "dims").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    many = F.least(F.lit(MOST_ROWS), F.ceil(F.count("*") / PARTS))
+    parts = lambda least: F.ceil(F.count("*") / F.greatest(F.lit(least), many)).cast("int")
+    sizes = distinct.groupBy("label", "dims").agg(parts(shard_rows).alias("shards"), parts(block_rows).alias("blocks"))
     mixed = F.xxhash64("node")
     dealt = distinct.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "dims"])
     dealt = materialize(dealt.withColumns({"shard": F.pmod(mixed, "shards").cast("int"), "block": F.pmod(F.shiftright(mixed, 20), "blocks").cast("int")}), "dealt")
+    label_type = dealt.schema["label"].dataType.simpleString()
 
     def build(table: pa.Table) -> pa.Table:
         nodes, unit = _rows(table)
-        packed = zlib.compress(pickle.dumps((Hnsw(unit), nodes, unit, table["copies"].to_numpy())), 1)
-        return pa.table({"label": table["label"][:1].cast(pa.int64()), "dims": table["dims"][:1], "shard": table["shard"][:1], "graph": pa.array([packed], pa.binary())})
+        graph = Hnsw(unit)
+        packed = pickle.dumps((graph.layers, graph.stray, nodes, unit, table["copies"].to_numpy()), 5)
+        return pa.table({"label": table["label"][:1], "dims": table["dims"][:1], "shard": table["shard"][:1], "graph": pa.array([packed], pa.binary())})
 
-    wide = dealt.select(F.col("label").cast("long").alias("label"), "dims", "shard", "block", "shards", "node", "copies", "embedding")
-    graphs = wide.drop("block", "shards").groupBy("label", "dims", "shard").applyInArrow(build, "label long, dims int, shard int, graph binary")
+    wide = dealt.select("label", "dims", "shard", "block", "shards", "node", "copies", "embedding")
+    graphs = wide.drop("block", "shards").groupBy("label", "dims", "shard").applyInArrow(build, f"label {label_type}, dims int, shard int, graph binary")
     graphs = materialize(graphs, "graphs")
     again = [F.col(c).alias(c) for c in ("label", "dims", "block")]  # columns of their own for each side of the cogroup
     queries = wide.select(*again, F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "node", "embedding")
@@ -283,16 +310,22 @@ def near_links(embeddings: DataFrame, threshold: float = THRESHOLD, shard_rows:
     pairs = graphs.join(blocks, ["label", "dims"])  # each shard's graph for each block of its label's vectors
 
     def link(queries: pa.Table, graph: pa.Table) -> pa.Table:
-        shape, nodes, unit, copies = pickle.loads(zlib.decompress(graph["graph"][0].as_py()))
+        layers, stray, nodes, unit, copies = pickle.loads(graph["graph"][0].as_py())
         q_nodes, q_unit = _rows(queries)
-        forest, out = UnionFind(), []
-        for node, near in link_block(shape, nodes, unit, q_nodes, q_unit, threshold):
+        both = np.union1d(nodes, q_nodes)
+        place, q_place, up = np.searchsorted(both, nodes), np.searchsorted(both, q_nodes), np.arange(len(both))
+        found, times = [], []
+        for at, (node, near) in zip(q_place, link_block(Hnsw.restore(unit, layers, stray), nodes, unit, q_nodes, q_unit, threshold)):
             if len(near):
-                out.append((node, int(copies[near].sum()), None))
-                for other in nodes[near].tolist():
-                    forest.union(node, other)
-        out += [(a, None, b) for a, b in forest.edges()]
-        return pa.table({k: pa.array([o[c] for o in out], pa.int64()) for c, k in enumerate(("node", "n", "other"))})
+                found.append(node)
+                times.append(int(copies[near].sum()))
+                _join(up, np.append(place[near], at))
+        while ((above := up[up]) != up).any():
+            up = above
+        tied = np.flatnonzero(up != np.arange(len(both)))
+        none = np.full(max(len(found), len(tied)), None, object)
+        node, other = np.concatenate([np.array(found, np.int64), both[tied]]), [*none[: len(found)], *both[up[tied]].tolist()]
+        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array([*times, *none[: len(tied)]], pa.int64()), "other": pa.array(other, pa.int64())})
 
     keys = ["label", "dims", "block", "shard"]
     found = queries.groupBy(keys).cogroup(pairs.groupBy(keys)).applyInArrow(link, "node long, n long, other long")

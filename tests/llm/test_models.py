@@ -150,6 +150,21 @@ def test_reading_by_headers_decodes_no_other_payload(spark, tmp_path, compressio
 
 
 def test_a_wrong_payload_is_found(spark, tmp_path):
+def test_embeddings_of_any_magnitude_and_label(spark):
+    base = np.random.default_rng(8).normal(size=(6, 8))
+    rows = [(10 * k + j, (v * scale).tolist(), f"label {k % 2}") for k, v in enumerate(base) for j, scale in enumerate((1.0, 1e200, 1e-200, 1e-310))]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 3, i // 10 * 10) for i, *_ in rows]
+
+
+def test_a_dense_group_of_vectors_is_one_component(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=8) + rng.normal(0, 0.01, (400, 8))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = hnsw.near_duplicates(df, shard_rows=60, block_rows=50).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
+
+
     path = f"file://{tmp_path}/w"
     records = warc.page_records(spark.createDataFrame([(1, "u", "abc")], PAGES)).withColumn("payload", F.lit("abd").cast("binary"))
     warc.write_warc(records, path, "none")
