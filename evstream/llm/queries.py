@@ -46,7 +46,7 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("key")
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def sharding_256k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_sharding, at a limit that small tables pass too, so that their buckets split."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=256 << 10)
+
+
+def _sharding_sql(limit: int) -> str:
+    """The fewest leading bits at which a row's bucket fits; buckets are sums by prefix at every depth."""
+    return f"""
+        WITH t AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash FROM documents),
+             d AS (SELECT CAST(unnest(range(0, 33)) AS INTEGER) AS depth),
+             b AS (SELECT depth, hash >> ({sharding.BITS} - depth) AS prefix FROM t, d WHERE n_bytes <= {limit} GROUP BY ALL HAVING sum(n_bytes) <= {limit}),
+             f AS (SELECT t.doc_id, t.hash, t.n_bytes, min(b.depth) AS depth FROM t, b WHERE t.hash >> ({sharding.BITS} - b.depth) = b.prefix GROUP BY ALL)
+        SELECT doc_id, n_bytes, depth, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(hash), {sharding.BITS}, '0')[1:depth], depth) END AS shard_id FROM f"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "sharding_256k": sharding_256k,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,13 +91,17 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
-    # the fewest leading bits at which a row's bucket fits; buckets are sums by prefix at every depth
-    "op9_sharding": f"""
-        WITH t AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash FROM documents),
-             d AS (SELECT CAST(unnest(range(0, 33)) AS INTEGER) AS depth),
-             b AS (SELECT depth, hash >> ({sharding.BITS} - depth) AS prefix FROM t, d WHERE n_bytes <= {sharding.LIMIT_BYTES} GROUP BY ALL HAVING sum(n_bytes) <= {sharding.LIMIT_BYTES}),
-             f AS (SELECT t.doc_id, t.hash, t.n_bytes, min(b.depth) AS depth FROM t, b WHERE t.hash >> ({sharding.BITS} - b.depth) = b.prefix GROUP BY ALL)
-        SELECT doc_id, n_bytes, depth, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(hash), {sharding.BITS}, '0')[1:depth], depth) END AS shard_id FROM f""",
+    "op9_sharding": _sharding_sql(sharding.LIMIT_BYTES),
+    "sharding_256k": _sharding_sql(256 << 10),
+    # links between all pairs of a label, and the smallest vec_id that links reach
+    "op7_hnsw": f"""
+        WITH RECURSIVE
+             v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {hnsw.THRESHOLD}),
+             r AS (SELECT a AS node, a AS root FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.root = l.a)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.low, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT node, min(root) AS low FROM r GROUP BY node) c ON c.node = e.vec_id""",
     "op10_warc": r"""
         WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
              g AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM t),

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, spare
 
 LIMIT_BYTES = 16 << 20
 BITS = 60
@@ -46,10 +46,10 @@ def directory(rows: DataFrame, limit: int, bits: int) -> DataFrame:
     return cells.select("cell").join(found, "cell", "left")
 
 
-def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """One row per document: key, n_bytes, depth (bits of the bucket; null outside the directory) and shard_id."""
+def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES, row: str | None = None) -> DataFrame:
+    """One row per document: key, n_bytes, depth (bits of the bucket; null outside the directory), shard_id and, if it is named, the column row."""
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    rows = docs.select(F.col(key).alias("__key"), size.alias("n_bytes"), key_hash(key).alias("hash"))
+    rows = docs.select(F.col(key).alias("__key"), size.alias("n_bytes"), key_hash(key).alias("hash"), *[F.col(c).alias("__row") for c in [row] if c])
     rows = materialize(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "keys")
     normal = rows.where(F.col("n_bytes") <= limit)
     total = normal.agg(F.sum("n_bytes")).first()[0] or 0
@@ -73,7 +73,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     result = large
     for d in out:
         result = result.unionByName(d)
-    return result.select(F.col("__key").alias(key), "n_bytes", "depth", "shard_id")
+    return result.select(F.col("__key").alias(key), "n_bytes", "depth", "shard_id", *[F.col("__row").alias(c) for c in [row] if c])
 
 
 def _deal(rows: DataFrame, limit: int) -> DataFrame:
@@ -90,8 +90,11 @@ def _deal(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Write docs as Parquet with a folder for each shard. Where a key repeats, all its rows go to the shard of its first."""
-    shards = assign_shards(docs, key, text, limit).groupBy(key).agg(F.min("shard_id").alias("shard_id"))
-    shards = materialize(shards.withColumnRenamed(key, "__key"), "shards")
-    joined = docs.join(shards, docs[key].eqNullSafe(shards["__key"])).drop("__key")
+    """Write docs as Parquet with a folder for each shard, named by a column shard_id. Every row goes to its own shard, so no
+    folder holds more than limit bytes of texts, unless it is one row's."""
+    row = spare(docs, "__rid")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "to-shard")  # rows keep their numbers if a task is run again
+    shards = materialize(assign_shards(docs, key, text, limit, row).select(row, F.col("shard_id")), "shards")
+    joined = docs.drop("shard_id").join(shards, row).drop(row)
     joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    discard(docs, shards)

@@ -405,6 +405,16 @@ def test_write_shards(spark, tmp_path):
 
 def test_chunk_ids_are_the_librarys():
     text = "Don't “quote”, naïve É́a <|endoftext|> a.b. x. É. ʰa K Å ﬁ ß. 12.5 <|ENDOFTEXT|>"
+def test_folders_of_a_hot_key_stay_within_the_limit(spark, tmp_path):
+    rows = [(7, f"{k:04d}" * 25) for k in range(300)] + [(7, "same" * 25)] * 300 + [(k, "x" * 90) for k in range(100, 300)] + [(8, "y" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard_id", F.lit("clash")).repartition(6)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=4000)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    sizes = got.groupBy("shard_id").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(s["n"] for s in sizes) == len(rows) and sum(r.doc_id == 7 for r in got.select("doc_id").collect()) == 600
+    assert all(s["bytes"] <= 4000 or s["n"] == 1 and s["bytes"] == 5000 for s in sizes)
+
+
     got = b"".join(words.chunk_ids(words.word_bpe_path())(words.chunks_of(text.encode())))
     assert np.frombuffer(got, "<u4").tolist() == ids(text)
 
