@@ -6,8 +6,8 @@ jointly in numpy, so a misspelt word scores by the n-grams it shares with words
 Since everything up to the softmax is linear, scoring needs one number for each bucket: the embedding's
 share in the difference of the two logits.
 
-Training takes a bounded number of labelled rows (`max_rows`, those with the smallest hash of doc_id,
-so that the choice depends on no order); scoring takes every row and whole text. Null or empty text
+Training takes a bounded number of labelled rows (`max_rows` and `max_bytes`, those with the smallest hash of
+doc_id, so that the choice depends on no order; a text that would pass the bound on bytes is left out whole); scoring takes every row and whole text. Null or empty text
 gets the score of no evidence. Null labels and labels without a document are not learned from; repeated
 labels count as often as they stand. Without any usable label every score is 0.5. Nothing but text
 enters a score. An empty table gives an empty table.
@@ -28,11 +28,13 @@ from pyspark.sql import types as T
 from .common import WordMemo, small_batches, spare, text_bytes
 
 MAX_ROWS = 6000
+MAX_BYTES = 64 << 20
+MEMO_WORDS = 200_000
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 SCALE = 10.0
-STEPS = 300
+STEPS = 600
 RATE = 1.0
 SHRINK = 0.25
 COMMON = 0.005
@@ -96,28 +98,9 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
         return SubwordModel(np.zeros(buckets), 0.0)
     rng = np.random.default_rng(seed)
     epochs = -(-STEPS // -(-len(texts) // BATCH))
-    numbers: dict[bytes, int] = {}
-    docs = []
-    for text in texts:
-        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in text.split()), np.int32)
-        docs.append(tuple(x.astype(np.int32) for x in np.unique(words, return_counts=True)))
-    flat, full = _bags(list(numbers), buckets)
-    del numbers
+    live, share, docs = _live_bags(texts, buckets)
     target = np.asarray(labels, np.int64)
-    starts = np.cumsum(full) - full
-    spread_over, share = np.zeros(buckets, np.int64), np.zeros(buckets)
-    for words, times in docs:
-        own = flat[_spans(starts[words], full[words])]
-        spread_over[np.unique(own)] += 1  # documents with each bucket: what only a few have could only be learned by heart
-        if len(words):
-            share += np.bincount(own, np.repeat(times / times.sum() / full[words], full[words]), buckets)
-    known = spread_over >= max(2, round(COMMON * len(docs)))
-    live = np.flatnonzero(known)
-    lift = ((np.maximum(share[live], 1e-12) / len(docs)) ** -0.5).astype(np.float32)
-    held_of = np.concatenate([[0], np.cumsum(known[flat])])
-    lengths = held_of[starts + full] - held_of[starts]  # of the bags without rare buckets
-    flat = (np.cumsum(known) - 1).astype(np.int32)[flat[known[flat]]]  # by place among the live buckets from here on
-    starts = np.cumsum(lengths) - lengths
+    lift = ((np.maximum(share, 1e-12) / len(docs)) ** -0.5).astype(np.float32)
     embed = rng.normal(0, 0.1, (len(live), DIMENSIONS)).astype(np.float32)
     top = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     base = np.log(np.maximum(np.bincount(target, minlength=2), 1) / len(target)).astype(np.float32)
@@ -128,23 +111,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
-            parts = [docs[r] for r in rows]
-            sizes = np.array([len(p[0]) for p in parts])
-            word, times = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            doc = np.repeat(np.arange(len(rows)), sizes)
-            weight = (times / np.maximum(np.bincount(doc, times, len(rows)), 1)[doc]).astype(np.float32)
-            used, word = np.unique(word, return_inverse=True)
-            counts = lengths[used]
-            at_bucket = flat[_spans(starts[used], counts)]
-            held = counts > 0
-            vectors = np.zeros((len(used), DIMENSIONS), np.float32)
-            if held.any():
-                vectors[held] = np.add.reduceat((embed * lift[:, None])[at_bucket], (np.cumsum(counts) - counts)[held])
-            vectors /= full[used][:, None]
+            sizes = np.array([len(docs[r][0]) for r in rows])
+            bucket, weight = (np.concatenate([docs[r][c] for r in rows]) for c in (0, 1))
+            doc, lit = np.repeat(np.arange(len(rows)), sizes), sizes > 0
             mean = np.zeros((len(rows), DIMENSIONS), np.float32)
-            lit = sizes > 0
             if lit.any():
-                mean[lit] = SCALE * np.add.reduceat(vectors[word] * weight[:, None], (np.cumsum(sizes) - sizes)[lit])
+                mean[lit] = SCALE * np.add.reduceat((embed * lift[:, None])[bucket] * weight[:, None], (np.cumsum(sizes) - sizes)[lit])
             logits = mean @ top + base
             logits -= logits.max(1, keepdims=True)
             soft = np.exp(logits)
@@ -152,10 +124,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
             soft[np.arange(len(rows)), target[rows]] -= 1
             soft /= len(rows)
             back = SCALE * (soft @ top.T)
-            pull = back[doc] * weight[:, None]
-            by_word = np.stack([np.bincount(word, pull[:, d], len(used)) for d in range(DIMENSIONS)], 1) / full[used][:, None]
-            spread = np.repeat(by_word, counts, 0)
-            by_bucket = np.stack([np.bincount(at_bucket, spread[:, d], len(live)) for d in range(DIMENSIONS)], 1) * lift[:, None]
+            by_bucket = np.stack([np.bincount(bucket, back[doc, d] * weight, len(live)) for d in range(DIMENSIONS)], 1) * lift[:, None]
             step += 1
             rate = RATE * (1 - (step - 1) / total)
             for param, pace, grad in zip(params, speed, (by_bucket, mean.T @ soft, soft.sum(0))):
@@ -169,17 +138,59 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
     return SubwordModel(gains, float(base[1] - base[0]))
 
 
+def _live_bags(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The buckets that enough texts have, the sum of their weights, and by text its live buckets (by place) with their weights:
+    the mean over the words of the mean over their bags gives each bucket of a text one weight."""
+    numbers: dict[bytes, int] = {}
+    docs = []
+    for text in texts:
+        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in text.split()), np.int32)
+        docs.append(tuple(x.astype(np.int32) for x in np.unique(words, return_counts=True)))
+    flat, full = _bags(list(numbers), buckets)
+    del numbers
+    starts = np.cumsum(full) - full
+    spread_over = np.zeros(buckets, np.int64)
+    for words, _ in docs:
+        spread_over[np.unique(flat[_spans(starts[words], full[words])])] += 1  # documents with each bucket: what only a few have could only be learned by heart
+    known = spread_over >= max(2, round(COMMON * len(docs)))
+    live = np.flatnonzero(known)
+    kept = known[flat]
+    lengths = np.add.reduceat(kept, starts, dtype=np.int64) if len(starts) else full  # of the bags without rare buckets
+    flat = (np.cumsum(known) - 1).astype(np.int32)[flat[kept]]
+    starts, share = np.cumsum(lengths) - lengths, np.zeros(len(live))
+    for k, (words, times) in enumerate(docs):
+        own, n = flat[_spans(starts[words], lengths[words])], lengths[words]
+        place, at = np.unique(own, return_inverse=True)
+        weight = np.bincount(at, np.repeat(times / max(1, times.sum()) / full[words], n), len(place))
+        share[place] += weight
+        docs[k] = place, weight.astype(np.float32)
+    return live, share, docs
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS) -> SubwordModel:
-    """Train on at most max_rows labelled documents outside the held-out third, whose whole texts the driver holds meanwhile."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> SubwordModel:
+    """Train on labelled documents outside the held-out third: at most max_rows rows and max_bytes bytes of whole texts, which the driver holds meanwhile."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.select(F.col("doc_id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # broadcast: max_rows pairs of numbers
-    got = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in rows.collect())
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    chosen = F.broadcast(usable.orderBy(*order).limit(max_rows))  # max_rows pairs of numbers
+    body = text_bytes(text)
+    sized = docs.select("doc_id", body.alias("body")).join(chosen, "doc_id").select("doc_id", "label", F.xxhash64("body").alias("key"), F.octet_length("body").alias("size"))
+    times: dict[tuple, list[int]] = {}
+    held = 0
+    for r in sized.orderBy(*order, "key").limit(max_rows).collect():
+        if held + r["size"] <= max_bytes:
+            held += r["size"]
+            times.setdefault((r["doc_id"], r["key"]), []).append(r["label"])
+    if not times:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(list(times), T.StructType([T.StructField("of", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType())]))
+    rows = docs.select("doc_id", body.alias("text")).join(F.broadcast(wanted), (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("key")))
+    texts = rows.groupBy("doc_id", "key").agg(F.first("text").alias("text")).collect()  # of at most max_bytes, since repeated rows are one
+    got = sorted((r["doc_id"], y, bytes(r["text"])) for r in texts for y in times[r["doc_id"], r["key"]])
     return train([r[2] for r in got], [r[1] for r in got])
 
 
@@ -195,7 +206,7 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", threshold: f
     rows = docs.select("doc_id", text_bytes(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(shared.value.word_gains)
+        memo = WordMemo(shared.value.word_gains, MEMO_WORDS)
         for batch in batches:
             p = _scores(batch, shared.value, memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -211,7 +222,7 @@ def drop_toxic(docs: DataFrame, model: SubwordModel, text: str = "text", thresho
     rows = docs.withColumn(body, text_bytes(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(shared.value.word_gains)
+        memo = WordMemo(shared.value.word_gains, MEMO_WORDS)
         for batch in batches:
             clean = pa.array(_scores(batch, shared.value, memo, body) < threshold)
             yield batch.select(names).filter(clean)

@@ -4,7 +4,6 @@ import base64
 import hashlib
 import re
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,15 +17,17 @@ from evstream.llm.common import UnionFind, table
 SF = "/root/testdata/sf0.01"
 
 
+LARGE = "/root/testdata/sf0.1"
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    docs = table(spark, "/root/testdata/check_h", "documents")
-    return toxicity.fit(docs, table(spark, "/root/testdata/check_h", "labels"), max_rows=3000)
+    return toxicity.fit(table(spark, LARGE, "documents"), table(spark, LARGE, "labels"))
 
 
 def test_held_out_accuracy(spark, model):
-    docs, labels = table(spark, "/root/testdata/check_h", "documents"), table(spark, "/root/testdata/check_h", "labels")
-    held = labels.where(toxicity.held_out() & (F.xxhash64("doc_id") % 5 == 0)).select("doc_id", "toxic")
+    docs, labels = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    held = labels.where(toxicity.held_out()).select("doc_id", "toxic")
     scored = toxicity.score(docs.join(F.broadcast(held), "doc_id", "left_semi"), model).join(held, "doc_id").collect()
     hit = sum(r.predicted == r.toxic for r in scored) / len(scored)
     wrong = sum(r.predicted == 1 and r.toxic == 0 for r in scored)
@@ -52,15 +53,6 @@ def test_odd_documents_and_labels(spark, model):
     assert held == [zlib.crc32(str(k).encode()) % 3 == 1 for k in range(50)]
 
 
-def test_held_out_recall_with_all_rows(spark):
-    if not Path(CHECK := "/root/testdata/check_h").exists():
-        pytest.skip("needs the check tables")
-    docs, labels = table(spark, CHECK, "documents"), table(spark, CHECK, "labels").where(toxicity.held_out() & (F.col("toxic") == 1)).select("doc_id")
-    scored = toxicity.score(docs.join(F.broadcast(labels), "doc_id", "left_semi"), toxicity.fit(docs, table(spark, CHECK, "labels")))
-    found, of = scored.agg(F.sum("predicted"), F.count("*")).first()
-    assert found >= 0.925 * of  # 588 of 630; four dimensions found 580
-
-
 def vectors(seed=3):
     rng = np.random.default_rng(seed)
     rows = []
