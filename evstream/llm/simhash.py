@@ -69,8 +69,12 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS)
 
 
 def segments_for(n: int) -> int:
-    """So many segments that few of n random fingerprints meet at a point: a power of two up to 16."""
-    return 8 if n < 1 << 21 else 16
+    """The cheaper of 8 and 16 segments for n distinct fingerprints.
+
+    8 cost 162 points each and, if they are random, some n / 500 comparisons, 16 cost 578 points and next to none.
+    A point goes through a shuffle and costs about as much as 150 comparisons, so they are even at some 2^25.
+    """
+    return 8 if n < 1 << 25 else 16
 
 
 def ball(dims: int, radius: int) -> np.ndarray:
@@ -172,26 +176,26 @@ def near_components(prints: DataFrame, radius: int = RADIUS, segments: int | Non
         edges = links.edges()
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    points = distinct.mapInArrow(spread, "point long, side tinyint, fp long").repartition(tasks, "point")
+    points = distinct.repartition(tasks, "fp").mapInArrow(spread, "point long, side tinyint, fp long").repartition(tasks, "point")  # a fingerprint has hundreds of points
     linked = connected_components(points.mapInArrow(join, "a long, b long"), "simhash")
     discard(distinct)
     return linked.select(F.col("node").alias("fp"), "root")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
-    """One row per document: doc_id, key, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach)."""
+    """One row per document: doc_id, key, fingerprint (16 hex digits), component_id (smallest doc_id that links reach) and kept (the
+    row with that doc_id, of several the one with the smallest key; rows without a doc_id stay)."""
     prints = materialize(fingerprints(docs, text, size), "fp")
     near = near_components(prints, radius, segments)
-    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    lowest = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
     rooted = materialize(lowest.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
-    components = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "by-root")
-    named = materialize(rooted.join(components, "root").select("fp", "component_id"), "named")
+    components = materialize(rooted.groupBy("root").agg(F.min("low").alias("first")), "by-root")
+    named = materialize(rooted.join(components, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")), "named")
     discard(rooted, components)
-    return prints.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    kept = F.col("doc_id").isNull() | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first_key")), F.lit(False))
+    return prints.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that of its smallest doc_id (rows without a doc_id stay)."""
-    groups = simhash_groups(docs, text, size, radius)
-    kept = F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return keep_rows(docs, groups.select("doc_id", "key", kept.alias("kept")), text)
+    """docs with one document of each component, the one that simhash_groups keeps."""
+    return keep_rows(docs, simhash_groups(docs, text, size, radius).select("doc_id", "key", "kept"), text)
