@@ -9,6 +9,9 @@ return none of it) or headers (never decode it).
 Writing puts one file a task under `_temporary` and the commit moves those of the tasks that count, so
 a task lost and run again leaves no half archive. Every record is a member of its own.
 
+Header values hold no control characters and no spaces at their ends: on writing, those are percent-encoded (an
+URL's line break becomes %0D%0A), and they are read back as written. A null URL has no header and is read as null.
+
 Paths are URIs that pyarrow's file systems open (file, s3, gs, hdfs); the folder must be shared.
 """
 
@@ -16,10 +19,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +44,7 @@ PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
 _END = b"\r\n\r\n"
+_UNFIT = re.compile(r"[\x00-\x1f\x7f]|^ +| +$")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -83,9 +89,24 @@ class _Record:
     body: object  # a function that decodes the block
 
 
+def header_value(value: str) -> str:
+    """A value as a header can hold it: control characters, and spaces at the ends, percent-encoded."""
+    return _UNFIT.sub(lambda m: quote(m[0], safe=""), value)
+
+
 def _parse(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:] if ":" in line)}
+    """Headers by name in lower case; of a repeated one the first. Folded lines are joined."""
+    lines = re.sub("\r\n[ \t]+", " ", raw.decode("utf-8", "replace")).split("\r\n")
+    out: dict[str, str] = {}
+    for name, _, value in (line.partition(":") for line in lines[1:] if ":" in line):
+        out.setdefault(name.strip(" \t").lower(), value.strip(" \t"))
+    return out
+
+
+def _length(headers: dict[str, str], at: int) -> int:
+    if not headers.get("content-length", "").isdigit():
+        raise ValueError(f"the record at {at} has no length")
+    return int(headers["content-length"])
 
 
 def records(window: _Window, compression: str) -> Iterator[_Record]:
@@ -99,24 +120,28 @@ def records(window: _Window, compression: str) -> Iterator[_Record]:
                     raise ValueError(f"no end of the headers at {at}")
                 n *= 4
             headers, first = _parse(raw[:cut]), at + cut + 4
-            length = int(headers["content-length"])
+            length = _length(headers, at)
             yield _Record(at, first + length + 4, headers, lambda a=first, n=length: window.get(a, n))
             at = first + length + 4
         elif compression == "zstd":
             size = zstd_frame_bytes(window, at)
             inflate, raw, fed = zstandard.ZstdDecompressor().decompressobj(), b"", 0
             while _END not in raw:
+                if fed >= size:
+                    raise ValueError(f"no end of the headers at {at}")
                 n = min(4096, size - fed)
                 raw += inflate.decompress(window.get(at + fed, n))
                 fed += n
             cut = raw.find(_END)
             headers = _parse(raw[:cut])
-            whole = lambda a=at, n=size, c=cut + 4, k=int(headers["content-length"]): zstandard.ZstdDecompressor().decompressobj().decompress(window.get(a, n))[c : c + k]
+            whole = lambda a=at, n=size, c=cut + 4, k=_length(headers, at): zstandard.ZstdDecompressor().decompressobj().decompress(window.get(a, n))[c : c + k]
             yield _Record(at, at + size, headers, whole)
             at += size
         else:  # a gzip member's end is known only by inflating it, which is done piece by piece and not kept unless asked for
             inflate, raw, pos = zlib.decompressobj(31), b"", at
             while _END not in raw:
+                if inflate.eof or pos >= window.size:
+                    raise ValueError(f"no end of the headers at {at}")
                 piece = window.get(pos, min(4096, window.size - pos))
                 raw += inflate.decompress(piece)
                 pos += len(piece)
@@ -134,7 +159,7 @@ def records(window: _Window, compression: str) -> Iterator[_Record]:
                 state.update(pos=pos, raw=b"".join(parts) if keep else state["raw"])
                 return pos - len(inflate.unused_data)
 
-            yield _Record(at, -1, headers, lambda rest=rest, state=state, c=cut, n=int(headers["content-length"]): (rest(True), state["raw"][c : c + n])[1])
+            yield _Record(at, -1, headers, lambda rest=rest, state=state, c=cut, n=_length(headers, at): (rest(True), state["raw"][c : c + n])[1])
             at = rest(False)
 
 
@@ -257,7 +282,7 @@ class WarcWriter(DataSourceArrowWriter):
             raise ValueError(f"compression: {self.compression}; one of {', '.join(ENDINGS)}")
 
     def _member(self, headers: dict[str, str | None], block: bytes) -> bytes:
-        lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers.items() if v is not None), f"Content-Length: {len(block)}"]
+        lines = ["WARC/1.1", *(f"{k}: {header_value(v)}" for k, v in headers.items() if v is not None), f"Content-Length: {len(block)}"]
         raw = "\r\n".join(lines).encode() + _END + block + _END
         if self.compression == "zstd":
             return self.zstd.compress(raw)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -70,8 +72,6 @@ def test_a_chunk_may_have_over_255_tokens(spark):
     assert prefix_counts(spark, texts) == {k: (len(ids(t)), [len(ids(t[:n])) for n in range(len(t) + 1)]) for k, t in enumerate(texts)}
 
 
-def normal(t):
-    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 def test_prefixes_of_odd_strings():
     rng, counter = random.Random(1), words.PrefixCounter(words.word_bpe_path())
     parts = list("abcrstvelmd''''!.,-_019éÉİßŁﬁ²½ªº日本語가각ΣςΩ😀") + ["\u0301", "\u0323", "\u1100", "\u1161", "\u11a8", "\u00a0", "\u3000", "\x85", "\u212b", "か", "\u3099", "\u0344", "\u09c7", "\u09be", "<|endoftext|>", "<|", "'re", "'S"]
@@ -99,6 +99,8 @@ def test_long_chunks_are_not_remembered():
     assert counts(b"a" * 5000) == 5000 and counts(b"bc") == 2 and list(memo.young) == [b"bc"]
 
 
+def normal(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
 @pytest.mark.parametrize("bits, owner_rows", [(48, 1 << 16), (48, 8), (4, 8)])  # four bits: most fingerprints collide
@@ -155,8 +157,6 @@ def test_packing(spark, corpus, rows):
     assert packing.pack_documents(no_documents(spark)).count() == 0
 
 
-def test_packing_plan_uses_each_piece_once():
-    rng = np.random.default_rng(5)
 def test_packing_is_the_same_without_broadcast(spark, corpus, monkeypatch):
     columns = ["doc_id", "piece", "length", "sequence_id", "offset", "ids_crc32"]
     own = lambda df: sorted(map(str, df.select(columns).collect()))
@@ -173,6 +173,8 @@ def test_sums_of_three_lengths_are_found():
     assert stock.exact(12) is None and stock.exact(51) is None and stock.exact(33, 2) is None
 
 
+def test_packing_plan_uses_each_piece_once():
+    rng = np.random.default_rng(5)
     for top in (3, 40, 100):
         counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, top + 1, 500), return_counts=True))}
         plan, used = packing.plan_packing(counts, 100), defaultdict(int)
@@ -294,8 +296,6 @@ def test_scan_at_any_cut_is_the_whole_encoding():
         assert np.frombuffer(model.pack(tokens), "<u4").tolist() == library.encode(text)
 
 
-def test_licences(spark):
-    texts = {
 def test_states_down_a_tree_are_those_of_the_whole_encoding():
     model = sentencepieces.PieceModel(sentencepieces.piece_bpe_path())
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.piece_bpe_path())
@@ -316,6 +316,8 @@ def test_joined_crc():
     assert sentencepieces.joined_crc([zlib.crc32(p) for p in parts], list(map(len, parts))) == zlib.crc32(b"".join(parts))
 
 
+def test_licences(spark):
+    texts = {
         1: "Intro.\nReleased under the MIT License.\nBody.", 2: "This work is licensed under the GNU General Public License, version 3.", 3: "nothing here", 4: None, 5: "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.",
         6: "His driving license was renewed.\nThe general public came.", 7: "Licensed under the Foo Public License, version 9.", 8: "", 9: LONG + "\nReleased under the BSD License.",
     }
@@ -403,8 +405,6 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
-def test_chunk_ids_are_the_librarys():
-    text = "Don't “quote”, naïve É́a <|endoftext|> a.b. x. É. ʰa K Å ﬁ ß. 12.5 <|ENDOFTEXT|>"
 def test_folders_of_a_hot_key_stay_within_the_limit(spark, tmp_path):
     rows = [(7, f"{k:04d}" * 25) for k in range(300)] + [(7, "same" * 25)] * 300 + [(k, "x" * 90) for k in range(100, 300)] + [(8, "y" * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard_id", F.lit("clash")).repartition(6)
@@ -415,6 +415,8 @@ def test_folders_of_a_hot_key_stay_within_the_limit(spark, tmp_path):
     assert all(s["bytes"] <= 4000 or s["n"] == 1 and s["bytes"] == 5000 for s in sizes)
 
 
+def test_chunk_ids_are_the_librarys():
+    text = "Don't “quote”, naïve É́a <|endoftext|> a.b. x. É. ʰa K Å ﬁ ß. 12.5 <|ENDOFTEXT|>"
     got = b"".join(words.chunk_ids(words.word_bpe_path())(words.chunks_of(text.encode())))
     assert np.frombuffer(got, "<u4").tolist() == ids(text)
 

@@ -32,9 +32,70 @@ def test_held_out_accuracy(spark, model):
     hit = sum(r.predicted == r.toxic for r in scored) / len(scored)
     wrong = sum(r.predicted == 1 and r.toxic == 0 for r in scored)
     assert hit > 0.97 and wrong <= 0.005 * len(scored)
+    assert sum(r.predicted for r in scored if r.toxic) > 0.85 * sum(r.toxic for r in scored)
     assert all((r.score >= 0.7) == bool(r.predicted) and 0 <= r.score <= 1 for r in scored)
 
 
+def plain_score(text, model):
+    """The mean over the words of the mean over their buckets, one bucket after another."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    total = 0.0
+    for w in words:
+        core = "<" + (w.strip(b".,;:!?\"'()[]{}<>-_*") or w).decode().lower() + ">"
+        raw = core.encode() if core.isascii() else core
+        parts = [core.encode(), *((raw[k : k + n] if core.isascii() else raw[k : k + n].encode()) for n in (3, 4, 5) for k in range(len(raw) - n + 1))]
+        total += sum(float(model.gains[zlib.crc32(x) % len(model.gains)]) for x in parts) / len(parts)
+    return 1 / (1 + np.exp(-(model.bias + (total / len(words) if words else 0.0))))
+
+
+def test_scores_are_those_of_a_plain_loop(spark, model):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
+    want = sorted((str(r.doc_id), plain_score(r.text, model)) for r in docs.collect())
+    got = sorted((str(r.doc_id), r.score, r.predicted) for r in toxicity.score(docs, model).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=0, atol=1e-9)
+    assert all(g[2] == (g[1] >= 0.7) for g in got)
+
+
+MEAN = "filthy wretched scoundrel vermin"
+
+
+def made_documents(spark, n=900, seed=4):
+    """Half of them toxic: one word in twenty is an insult, sometimes misspelt."""
+    rng = np.random.default_rng(seed)
+    plain = ["".join(rng.choice(list("aeiourstlnm"), rng.integers(2, 9))) for _ in range(400)]
+    rows = []
+    for k in range(n):
+        words = rng.choice(plain, 60).tolist()
+        if k % 2:
+            for at in rng.choice(60, 3, replace=False):
+                word = str(rng.choice(MEAN.split()))
+                words[at] = word + word[-1] if rng.random() < 0.3 else word
+        rows.append((k, " ".join(words), k % 2))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_made_documents_are_told_apart_and_held_out_labels_change_nothing(spark):
+    made = made_documents(spark)
+    docs, labels = made.select("doc_id", "text"), made.select("doc_id", "toxic")
+    own = toxicity.fit(docs, labels)
+    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, own).where(toxicity.held_out()).collect()}
+    assert len(scored) > 250 and sum(scored[k] == k % 2 for k in scored) > 0.97 * len(scored)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs.withColumns({"lang": F.lit("xx"), "source": F.lit("toxic")}), flipped)
+    assert again.bias == own.bias and (again.gains == own.gains).all()
+    assert (toxicity.fit(docs.repartition(5), labels.repartition(3)).gains == own.gains).all()
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    made = made_documents(spark, 200)
+    docs, labels, seen = made.select("doc_id", "text").unionByName(made.select("doc_id", "text")), made.select("doc_id", "toxic"), []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(texts))
+    toxicity.fit(docs, labels, max_rows=50)
+    toxicity.fit(docs, labels, max_bytes=3000)
+    assert len(seen[0]) == 50 and 2000 < sum(map(len, seen[1])) <= 3000
+
+
 def test_misspelt_words_score_by_their_parts(model):
     seen = dict(zip(w := [b"disgusting", b"disgustingg", b"disgustin", b"and"], model.word_gains(w)))
     assert seen[b"disgusting"] > 0 and seen[b"disgustingg"] > 0.2 * seen[b"disgusting"] and seen[b"disgustin"] > 0.2 * seen[b"disgusting"]
@@ -89,6 +150,21 @@ def test_near_embeddings(spark, shard, block):
     assert hnsw.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_label(spark):
+    base = np.random.default_rng(8).normal(size=(6, 8))
+    rows = [(10 * k + j, (v * scale).tolist(), f"label {k % 2}") for k, v in enumerate(base) for j, scale in enumerate((1.0, 1e200, 1e-200, 1e-310))]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 3, i // 10 * 10) for i, *_ in rows]
+
+
+def test_a_dense_group_of_vectors_is_one_component(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=8) + rng.normal(0, 0.01, (400, 8))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = hnsw.near_duplicates(df, shard_rows=60, block_rows=50).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
+
+
 def test_hnsw_recall():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 32))
@@ -122,6 +198,36 @@ def test_archives(spark):
     assert warc.archive_pages(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["zstd", "gzip", "none"])
+def test_headers_hold_any_url(spark, tmp_path, compression):
+    urls = ["http://a/\r\n\r\nboo", "http://a/\r\nWARC-Type: revisit", "\nx\r", "  padded  ", "tab\there", "", None, "http://a/%20é\x85\x00"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], PAGES)
+    warc.write_warc(warc.page_records(pages), path := f"file://{tmp_path}/w", compression)
+    got = {r.record_id: r for r in warc.read_warc(spark, path).where("record_type <> 'warcinfo'").collect()}
+    want = ["http://a/%0D%0A%0D%0Aboo", "http://a/%0D%0AWARC-Type: revisit", "%0Ax%0D", "%20%20padded%20%20", "tab%09here", "", None, "http://a/%20é\x85%00"]
+    assert [got[f"urn:page:{k}"].target_uri for k in range(len(urls))] == want
+    assert {(r.record_type, bytes(r.payload)) for r in got.values()} == {("response", f"page {k}".encode()) for k in range(len(urls))}
+    assert warc.archive_pages(pages, compression=compression).count() == len(urls)
+
+
+def test_headers_in_any_order_and_folded():
+    block = b"HTTP/1.1 200 OK\r\n\r\nab"
+    raw = b"WARC/1.1\r\nContent-Length: %d\r\nwarc-type: response\r\nWARC-Target-URI: http://a\r\n  /b\r\nWARC-Type: revisit\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    class File:
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            return raw[self.at : self.at + n]
+
+    (record,) = warc.records(warc._Window(File(), len(raw)), "none")
+    assert record.headers["warc-type"] == "response" and record.headers["warc-target-uri"] == "http://a /b" and record.body() == block
+    with pytest.raises(ValueError, match="no length"):
+        raw = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n"
+        list(warc.records(warc._Window(File(), len(raw)), "none"))
+
+
 @pytest.mark.parametrize("compression", ["zstd", "gzip", "none"])
 def test_reading_by_headers_decodes_no_other_payload(spark, tmp_path, compression, monkeypatch):
     rows = [(k, f"http://h{k % 3}/{k}", f"page {k} " * 500) for k in range(30)]
@@ -142,21 +248,6 @@ def test_reading_by_headers_decodes_no_other_payload(spark, tmp_path, compressio
 
 
 def test_a_wrong_payload_is_found(spark, tmp_path):
-def test_embeddings_of_any_magnitude_and_label(spark):
-    base = np.random.default_rng(8).normal(size=(6, 8))
-    rows = [(10 * k + j, (v * scale).tolist(), f"label {k % 2}") for k, v in enumerate(base) for j, scale in enumerate((1.0, 1e200, 1e-200, 1e-310))]
-    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 3, i // 10 * 10) for i, *_ in rows]
-
-
-def test_a_dense_group_of_vectors_is_one_component(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=8) + rng.normal(0, 0.01, (400, 8))
-    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = hnsw.near_duplicates(df, shard_rows=60, block_rows=50).collect()
-    assert {(r.n_links, r.component_id) for r in got} == {(399, 0)}
-
-
     path = f"file://{tmp_path}/w"
     records = warc.page_records(spark.createDataFrame([(1, "u", "abc")], PAGES)).withColumn("payload", F.lit("abd").cast("binary"))
     warc.write_warc(records, path, "none")
@@ -189,7 +280,7 @@ def test_queries_and_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
