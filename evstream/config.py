@@ -128,6 +128,14 @@ class RecordingConfig:
     source: str = "event camera"
     sensor: Sensor = field(default_factory=Sensor)
 
+    @property
+    def parquet(self) -> dict[str, str]:
+        """Write options: the codec, its level, and chunk_events values a page, the unit that is compressed."""
+        level = min(9, max(0, int(self.compression_level)))
+        named = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")[level]
+        levels = {"gzip": {"zlib.compress.level": named}, "zstd": {"parquet.compression.codec.zstd.level": str(max(1, level))}}
+        return {"compression": self.codec, "parquet.page.row.count.limit": str(max(1, int(self.chunk_events)))} | levels.get(self.codec, {})
+
     @property
     def codec(self) -> str:
         """The Parquet codec: gzip, none, or snappy for lzf, which Parquet lacks; others fall back to gzip with a warning."""

@@ -153,3 +153,6 @@ ORACLES: dict[str, str] = {
     "box_blur": _blur({-1: 0.5, 0: 0.5}),
     "gaussian_blur": _blur({-1: 0.25, 0: 0.5, 1: 0.25}),
 }
+
+#: Events that went through capture files give the same tables.
+ORACLES |= {"capture_recording_events": ORACLES["recording_events"], "capture_recording_packets": ORACLES["recording_packets"], "capture_heatmap": ORACLES["pixel_heatmap"], "capture_throughput": ORACLES["throughput"]}

@@ -12,7 +12,9 @@ from .operators import frames, motion, phase, recording, signal, spectral, stats
 from .oracles import ORACLES
 from .functions.scalars import circular_distance, clamp, event_timestamp, grid_cell, phase_bin, quantize, tile_id
 from .plans.pipelines import offline, rejected
+from .scratch import scratch_path
 from .sources.adapter import camera_events, points
+from .sources.packets import explode_packets, group_packets, read_packets, write_packets
 
 W = H = 320
 FLICKER = FlickerConfig()
@@ -134,8 +136,29 @@ _BY_EVENTS: dict[str, Query] = {
 }
 
 
+def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' events, written as capture files with noise between the packets and read back through the packet source."""
+    path = scratch_path(spark, "capture")
+    packets = group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id")
+    write_packets(packets, path, noise="EVT noise")
+    return explode_packets(read_packets(spark, path))
+
+
+def _over_capture(query: Query) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(capture_events(spark, sf_dir))
+
+
+#: Over events that went through capture files: the packet source's numbers are others than the tables', what they count is not.
+_BY_CAPTURE: dict[str, Query] = {
+    "capture_recording_events": lambda ev: recording.record(ev)[0],
+    "capture_recording_packets": lambda ev: recording.record(ev)[1].drop("ros_t_ns", "monotonic_t_ns"),
+    "capture_heatmap": lambda ev: frames.pixel_heatmap(inside(ev)).select("y", "x", "n", r6("log_n")),
+    "capture_throughput": throughput,
+}
+
+
 def _over_tables(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(camera_events(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()} | {name: _over_capture(query) for name, query in _BY_CAPTURE.items()}

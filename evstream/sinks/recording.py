@@ -27,7 +27,7 @@ def open_recording(spark: SparkSession, cfg: RecordingConfig, path: str | None =
 
 def append_recording(events: DataFrame, packets: DataFrame, path: str, cfg: RecordingConfig) -> None:
     for name, df in (("events", events), ("packets", packets)):
-        df.write.mode("append").option("compression", cfg.codec).parquet(f"{path}/{name}")
+        df.write.mode("append").options(**cfg.parquet).parquet(f"{path}/{name}")
 
 
 def write_recording(events: DataFrame, cfg: RecordingConfig, path: str | None = None) -> str:

@@ -11,20 +11,25 @@ from __future__ import annotations
 import os
 import random
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 MAGIC = b"EVT1"
 HEADER = struct.Struct("<LL")
 EVENT_BYTES = 12
 MAX_EVENTS = 8192
+SPLIT_BYTES = 256 << 20
+BATCH_EVENTS = 1 << 17
 SCHEMA = "file string, packet_id long, event_count long, payload_len long, events array<struct<type:int,sec:int,ms:int,us:int,x:int,y:int>>"
 FIELDS = ("type", "sec", "ms", "us", "x", "y")
 
@@ -49,7 +54,7 @@ def decode_packets(data: bytes, mode: str = "PERMISSIVE") -> Iterator[tuple[int,
 
 
 def encode_packet(events: Iterable[tuple[int, int, int, int, int, int]]) -> bytes:
-    rows = np.asarray(list(events), "<u2").reshape(-1, 6)
+    rows = np.asarray(events if isinstance(events, np.ndarray) else list(events)).astype("<u2").reshape(-1, 6)
     return MAGIC + HEADER.pack(len(rows), len(rows) * EVENT_BYTES) + rows.tobytes()
 
 
@@ -70,24 +75,100 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme or uri.startswith("/") else os.path.abspath(uri))
 
 
-def _files(uri: str) -> list[str]:
+def _files(uri: str) -> list[tuple[str, int, int]]:
+    """Path, size and time of change of a file or of all files below a folder."""
     system, path = _open(uri)
     info = system.get_file_info(path)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
     if info.type == pafs.FileType.File:
-        return [path]
-    return sorted(i.path for i in system.get_file_info(pafs.FileSelector(path, recursive=True)) if i.type == pafs.FileType.File)
+        return [(path, info.size, info.mtime_ns or 0)]
+    infos = system.get_file_info(pafs.FileSelector(path, recursive=True))
+    return sorted((i.path, i.size, i.mtime_ns or 0) for i in infos if i.type == pafs.FileType.File and "/_temporary/" not in i.path)
+
+
+class _Bytes:
+    """Random access to a file with a bounded read-ahead."""
+
+    AHEAD = 1 << 20
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size, self.at, self.held = file, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.file.seek(at)
+            self.at, self.held = at, self.file.read(min(max(n, self.AHEAD), self.size - at))
+        return self.held[at - self.at : at - self.at + n]
+
+    def hop(self, at: int, n: int) -> bytes:
+        """A few bytes without reading ahead."""
+        if self.at <= at <= at + n <= self.at + len(self.held):
+            return self.get(at, n)
+        self.file.seek(at)
+        self.at, self.held = at, self.file.read(max(n, len(MAGIC) + HEADER.size))
+        return self.held[:n]
+
+    def find(self, mark: bytes, at: int) -> int:
+        if self.hop(at, len(mark)) == mark:
+            return at
+        while at + len(mark) <= self.size:
+            data = self.get(at, self.AHEAD)
+            if (found := data.find(mark)) >= 0:
+                return at + found
+            at += len(data) - len(mark) + 1
+        return -1
+
+
+def scan_packets(file, size: int, mode: str = "PERMISSIVE", start: int = 0, end: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, events[n, 6]) of the packets that begin in a range of a file, numbered within the file.
+
+    Packets before the range are hopped over by their lengths, so that every range finds the packets and the numbers
+    that a scan of the whole file finds. Memory is a packet and the read-ahead.
+    """
+    data, pos, number, head = _Bytes(file, size), 0, 0, len(MAGIC) + HEADER.size
+    while (at := data.find(MAGIC, pos)) >= 0 and (end is None or at < end):
+        body = at + head
+        if body > size:
+            return
+        count, length = HEADER.unpack(data.hop(at, head)[len(MAGIC) :])
+        if length != count * EVENT_BYTES:
+            if mode.upper() == "FAILFAST":
+                raise ValueError(f"packet at byte {at}: {length} payload bytes for {count} events")
+            pos = body
+            continue
+        if body + length > size:
+            return
+        if at >= start:
+            yield number, np.frombuffer(data.get(body, length), "<u2", count * 6).reshape(count, 6)
+        number += 1
+        pos = body + length
+
 
+EVENT = pa.struct([(f, pa.int32()) for f in FIELDS])
+ARROW = pa.schema([("file", pa.string()), ("packet_id", pa.int64()), ("event_count", pa.int64()), ("payload_len", pa.int64()), ("events", pa.list_(EVENT))])
 
-def _read(uri: str, path: str, mode: str, packet_id: int) -> list[tuple]:
+
+def _batches(uri: str, mode: str, path: str, number: int, size: int, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """The packets of a range of a capture file, some hundred thousand events a batch."""
     with _open(uri)[0].open_input_file(path) as file:
-        data = file.read()
-    out = []
-    for k, (_, events) in enumerate(decode_packets(data, mode)):
-        kind = [dict(zip(FIELDS, row)) for row in events.tolist()]
-        out.append((path, packet_id + k, len(events), len(events) * EVENT_BYTES, kind))
-    return out
+        ids, parts, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            sizes = np.array([len(p) for p in parts], np.int64)
+            events = np.concatenate([np.empty((0, 6), "<u2"), *parts]).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(events[:, c])) for c in range(6)], FIELDS))
+            return pa.RecordBatch.from_arrays([pa.array([path] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sizes * EVENT_BYTES), rows.cast(ARROW.field("events").type)], schema=ARROW)
+
+        for k, events in scan_packets(file, size, mode, start, end):
+            ids.append((number << 32) + k)
+            parts.append(events)
+            held += len(events)
+            if held >= BATCH_EVENTS or len(ids) >= 10_000:
+                yield batch()
+                ids, parts, held = [], [], 0
+        yield batch()
 
 
 class PacketSource(DataSource):
@@ -101,67 +182,144 @@ class PacketSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PacketReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return PacketStream(self.options)
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return PacketWriter(self.options)
 
 
-class CaptureFile(InputPartition):
-    def __init__(self, path: str, number: int) -> None:
+class CaptureRange(InputPartition):
+    def __init__(self, path: str, number: int, size: int, start: int, end: int) -> None:
         super().__init__(path)
-        self.path, self.number = path, number
+        self.range = path, number, size, start, end
+
+
+def _ranges(path: str, number: int, size: int, split: int) -> list[tuple]:
+    return [(path, number, size, k, min(size, k + split)) for k in range(0, max(1, size), split)]
 
 
 class PacketReader(DataSourceReader):
-    """One partition a capture file; ids count packets within a file, files being 2^32 apart."""
+    """A partition for each range of splitBytes bytes of each capture file; ids count packets within a file, files being 2^32 apart."""
 
     def __init__(self, options) -> None:
-        self.uri, self.mode = options["path"], options.get("mode", "PERMISSIVE")
+        self.uri, self.mode, self.split = options["path"], options.get("mode", "PERMISSIVE"), int(options.get("splitBytes", str(SPLIT_BYTES)))
 
     def partitions(self) -> list[InputPartition]:
-        return [CaptureFile(path, k) for k, path in enumerate(_files(self.uri))]
+        return [CaptureRange(*r) for k, (path, size, _) in enumerate(_files(self.uri)) for r in _ranges(path, k, size, self.split)]
+
+    def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
+        return _batches(self.uri, self.mode, *partition.range)
+
+
+EVENT_ROWS = pa.array([], EVENT)
 
-    def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
-        event = pa.struct([(f, pa.int32()) for f in FIELDS])
-        schema = pa.schema([("file", pa.string()), ("packet_id", pa.int64()), ("event_count", pa.int64()), ("payload_len", pa.int64()), ("events", pa.list_(event))])
-        with _open(self.uri)[0].open_input_file(partition.path) as file:
-            data = file.read()
-        for k, (_, events) in enumerate(decode_packets(data, self.mode)):
-            columns = [pa.array(np.ascontiguousarray(events[:, c]).astype(np.int32)) for c in range(6)]
-            rows = pa.ListArray.from_arrays(pa.array([0, len(events)], pa.int32()), pa.StructArray.from_arrays(columns, FIELDS))
-            meta = [[partition.path], [(partition.number << 32) + k], [len(events)], [len(events) * EVENT_BYTES]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(m, schema.field(i).type) for i, m in enumerate(meta)), rows.cast(schema.field("events").type)], schema=schema)
 
+@dataclass
+class CaptureWritten(WriterCommitMessage):
+    temporary: str
+    final: str
 
-class PacketStream(SimpleDataSourceStreamReader):
-    """New capture files of a folder, some a micro-batch; the offset is the number of files taken."""
+
+class PacketWriter(DataSourceArrowWriter):
+    """A capture file a task, named by its partition; input: rows of packet_id and events. Option noise: what stands before each packet."""
+
+    def __init__(self, options) -> None:
+        self.path, self.noise = options["path"], options.get("noise", "").encode()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> CaptureWritten:
+        system, path = _open(self.path)
+        part = TaskContext.get().partitionId()
+        name = f"{path}/_temporary/{uuid.uuid4().hex}"
+        system.create_dir(f"{path}/_temporary", recursive=True)
+        with system.open_output_stream(name, compression=None, buffer_size=1 << 20) as out:
+            for batch in iterator:
+                for events in batch.column("events"):
+                    rows = events.values if events.is_valid else EVENT_ROWS
+                    fields = [rows.field(f).to_numpy(zero_copy_only=False) for f in FIELDS]
+                    out.write(self.noise + encode_packet(np.stack(fields, 1)))
+        return CaptureWritten(name, f"{path}/part-{part:06d}.bin")
+
+    def commit(self, messages: list[CaptureWritten | None]) -> None:
+        system, path = _open(self.path)
+        for m in messages:
+            if m:
+                system.move(m.temporary, m.final)
+        system.delete_dir(f"{path}/_temporary")
+
+    def abort(self, messages: list[CaptureWritten | None]) -> None:
+        system, _ = _open(self.path)
+        for m in messages:
+            if m:
+                system.delete_file(m.temporary)
+
+
+class CaptureSource(DataSource):
+    """Ranges of new capture files as a stream; their bytes are read where the ranges are sent."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "event_captures"
+
+    def schema(self) -> str:
+        return "path string, number long, size long, start long, end long"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return CaptureStream(self.options)
+
+
+class CaptureStream(SimpleDataSourceStreamReader):
+    """New capture files of a folder, some a micro-batch, by time of change and name.
+
+    The offset names the files taken, with their numbers, so a file is taken once whatever order files come in. As in Spark's
+    own file source, a file whose time is maxFileAgeDays before the newest taken counts as taken, and names that old are let go.
+    """
 
     def __init__(self, options) -> None:
-        self.uri, self.mode, self.most = options["path"], options.get("mode", "PERMISSIVE"), int(options.get("maxFilesPerTrigger", "1"))
+        self.uri, self.most, self.age = options["path"], int(options.get("maxFilesPerTrigger", "1")), int(float(options.get("maxFileAgeDays", "7")) * 86_400e9)
+        self.split = int(options.get("splitBytes", str(SPLIT_BYTES)))
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"files": 0, "newest": 0, "taken": {}}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = _files(self.uri)
-        end = min(len(files), start["files"] + self.most)
-        return self.readBetweenOffsets(start, {"files": end}), {"files": end}
+        oldest = start["newest"] - self.age
+        new = sorted((changed, path, size) for path, size, changed in _files(self.uri) if path not in start["taken"] and changed >= oldest)[: self.most]
+        if not new:
+            return iter([]), start
+        newest = max(start["newest"], new[-1][0])
+        taken = {path: own for path, own in start["taken"].items() if own["changed"] >= newest - self.age}
+        taken |= {path: {"number": start["files"] + k, "size": size, "changed": changed} for k, (changed, path, size) in enumerate(new)}
+        end = {"files": start["files"] + len(new), "newest": newest, "taken": taken}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        files = _files(self.uri)
-        return iter([row for k in range(start["files"], end["files"]) for row in _read(self.uri, files[k], self.mode, k << 32)])
+        own = sorted((f["number"], path, f["size"]) for path, f in end["taken"].items() if start["files"] <= f["number"] < end["files"])
+        return iter([r for number, path, size in own for r in _ranges(path, number, size, self.split)])
 
     def commit(self, end: dict) -> None:
         pass
 
 
-def read_packets(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_packets(spark: SparkSession, path: str, mode: str = "PERMISSIVE", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(PacketSource)
-    return spark.read.format("event_packets").option("mode", mode).load(path)
+    return spark.read.format("event_packets").option("mode", mode).option("splitBytes", str(split_bytes)).load(path)
+
+
+def write_packets(packets: DataFrame, path: str, noise: str = "") -> None:
+    """Capture files of packets (packet_id, events), a file a partition: in the order of the partitions' packets."""
+    packets.sparkSession.dataSource.register(PacketSource)
+    packets.write.format("event_packets").option("noise", noise).mode("append").save(path)
 
 
 def stream_packets(spark: SparkSession, path: str, mode: str = "PERMISSIVE", files_per_trigger: int = 1) -> DataFrame:
-    spark.dataSource.register(PacketSource)
-    return spark.readStream.format("event_packets").option("mode", mode).option("maxFilesPerTrigger", str(files_per_trigger)).load(path)
+    """Packets of a folder's capture files as they come, numbered as read_packets does by the order in which files were taken."""
+    spark.dataSource.register(CaptureSource)
+    found = spark.readStream.format("event_captures").option("maxFilesPerTrigger", str(files_per_trigger)).load(path)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _batches(path, mode, *row.values())
+
+    return found.repartition("number", "start").mapInArrow(decode, SCHEMA)
 
 
 def explode_packets(packets: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Captures, point files, recordings and frames on disk."""
 
+import io
+import os
 import struct
 import zlib
 
@@ -12,7 +14,8 @@ from evstream.config import RecordingConfig
 from evstream.operators import frames
 from evstream.sinks import frames as frame_sink
 from evstream.sinks.recording import read_recording, recording_path, write_recording
-from evstream.sources.packets import HEADER, MAGIC, decode_packets, encode_packet, explode_packets, generate_capture, group_packets, read_packets
+from evstream.sources import packets as source
+from evstream.sources.packets import HEADER, MAGIC, CaptureStream, decode_packets, encode_packet, explode_packets, generate_capture, group_packets, read_packets, scan_packets, write_packets
 from evstream.sources.xyt import read_points
 
 A = [(1, 0, 1, 2, 3, 4), (0, 0, 1, 3, 319, 65535)]
@@ -46,6 +49,77 @@ def test_packet_source(spark, tmp_path):
         read_packets(spark, str(tmp_path / "none")).collect()
 
 
+@pytest.mark.parametrize("step", [7, 64, 1 << 20])
+def test_ranges_of_a_file_have_its_packets_and_numbers(step):
+    bad = MAGIC + HEADER.pack(1, 13)
+    hidden = [(0x5645, 0x3154, 0, 0, 0, 0)]  # a magic inside a payload
+    data = b"junk" + encode_packet(A) + b"EVT" + bad + encode_packet(hidden * 3) + encode_packet([]) + b"x" * 99 + encode_packet(B * 40) + encode_packet(A)[:-1]
+    want = [(k, e.tolist()) for k, (_, e) in enumerate(decode_packets(data))]
+    got = [(k, e.tolist()) for at in range(0, len(data), step) for k, e in scan_packets(io.BytesIO(data), len(data), "PERMISSIVE", at, at + step)]
+    assert got == want and len(want) == 4
+    with pytest.raises(ValueError):
+        list(scan_packets(io.BytesIO(data), len(data), "FAILFAST"))
+
+
+def test_scanning_holds_no_more_than_its_read_ahead(monkeypatch):
+    monkeypatch.setattr(source._Bytes, "AHEAD", 64)
+    data = (b"y" * 200 + encode_packet(A) + MAGIC[:3]) * 30
+    reads = []
+
+    class File(io.BytesIO):
+        def read(self, n=-1):
+            reads.append(n)
+            return super().read(n)
+
+    assert len(list(scan_packets(File(data), len(data)))) == 30 and max(reads) <= 64
+
+
+def test_split_captures_and_writing_them(spark, tmp_path):
+    capture, out = tmp_path / "c.bin", f"file://{tmp_path}/out"
+    generate_capture(str(capture), packets=9, events=5)
+    packets = read_packets(spark, str(capture), split_bytes=100)
+    assert packets.rdd.getNumPartitions() > 3
+    rows = sorted(map(str, packets.drop("file").collect()))
+    assert len(rows) == 9
+    write_packets(packets.repartitionByRange(3, "packet_id").sortWithinPartitions("packet_id"), out, noise="EVT")
+    again = read_packets(spark, out)
+    assert sorted(map(str, again.select("event_count", "payload_len", "events").collect())) == sorted(map(str, packets.select("event_count", "payload_len", "events").collect()))
+    assert os.listdir(tmp_path / "out") and not (tmp_path / "out/_temporary").exists()
+
+
+def test_files_are_taken_once_in_any_order(tmp_path):
+    def put(name, age):
+        (tmp_path / name).write_bytes(encode_packet(A))
+        os.utime(tmp_path / name, ns=(0, 2_000_000_000_000_000_000 - age))
+
+    def take(offset):
+        rows, end = CaptureStream({"path": str(tmp_path), "maxFilesPerTrigger": "5"}).read(offset)  # a new reader, as after a restart
+        return [(os.path.basename(path), number) for path, number, *_ in rows], end
+
+    put("b.bin", 0)
+    got, one = take(CaptureStream({"path": str(tmp_path)}).initialOffset())
+    assert got == [("b.bin", 0)]
+    put("a.bin", 10**9)  # comes late, with an older time
+    put("c.bin", 0)
+    got, two = take(one)
+    assert got == [("a.bin", 1), ("c.bin", 2)] and take(two) == ([], two)
+    assert [r[1] for r in CaptureStream({"path": str(tmp_path)}).readBetweenOffsets(one, two)] == [1, 2]
+    put("old.bin", 30 * 86_400 * 10**9)  # beyond the age at which names are let go
+    assert take(two) == ([], two)
+
+
+def test_recordings_take_level_and_chunk(spark, tmp_path):
+    capture = tmp_path / "c.bin"
+    generate_capture(str(capture), packets=40, events=500)
+    events, sizes = explode_packets(read_packets(spark, str(capture))), []
+    for level, chunk in ((1, 100_000), (9, 100_000), (9, 1000)):
+        path = tmp_path / f"rec-{level}-{chunk}"
+        write_recording(events.coalesce(1), RecordingConfig(path=str(path), compression_level=level, chunk_events=chunk))
+        sizes.append(sum(f.stat().st_size for f in path.glob("events/*.parquet")))
+    assert sizes[1] < sizes[0] and sizes[2] > sizes[1]
+    assert RecordingConfig(compression="none").parquet["compression"] == "none"
+
+
 def test_point_files(spark, tmp_path):
     good, empty, bad = tmp_path / "g.tsv", tmp_path / "e.tsv", tmp_path / "b.tsv"
     good.write_text("# x y t\n1\t2\t30\n\n4\t5\t6 # last\n")
