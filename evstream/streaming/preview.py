@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,13 @@ class DecayingPixel(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tick, acc = self.state.get() if self.state.exists() else (None, 0.0)
-        for r in pd.concat(list(rows)).sort_values("tick", kind="stable").itertuples(index=False):
-            if r.reset:
-                acc = 0.0
-            elif tick is not None:
-                acc *= self.decay ** (int(r.tick) - tick)
-            tick, acc = int(r.tick), acc + float(r.delta)
+        new = pd.concat(list(rows)).sort_values("tick", kind="stable")
+        if len(cleared := np.flatnonzero(new["reset"].to_numpy(bool))):  # what was before the last reset is gone
+            new, acc, tick = new.iloc[cleared[-1] :], 0.0, None
+        ticks, last = new["tick"].to_numpy(np.int64), int(new["tick"].iloc[-1])
+        if tick is not None:
+            acc *= self.decay ** (last - tick)
+        tick, acc = last, acc + float((new["delta"].to_numpy(float) * self.decay ** (last - ticks)).sum())
         self.state.update((tick, acc))
         level = int(min(255.0, max(0.0, 128.0 + acc * self.contrast)))
         yield pd.DataFrame([{"y": key[0], "x": key[1], "tick": tick, "acc": acc, "level": level}])
@@ -41,9 +43,16 @@ class DecayingPixel(StatefulProcessor):
 
 
 def tick_deltas(events: DataFrame, cfg: PreviewConfig = PreviewConfig(), sensor: Sensor = Sensor()) -> DataFrame:
-    """y, x, tick, delta, reset: what each packet adds at every tick whose buffer has it, a tick a packet."""
-    rows = events.where(in_bounds(sensor.width, sensor.height)).withColumn("tick", F.explode(F.sequence(F.col("packet_id"), F.col("packet_id") + cfg.max_packets - 1)))
-    return rows.select("y", "x", "tick", polarity(cfg.step).alias("delta"), F.lit(False).alias("reset"))
+    """y, x, tick, delta, reset: what each packet adds at every tick whose buffer has it, a tick a packet.
+
+    Of a table, a pixel's events of one packet are added up before they are given to its ticks; of a stream, where adding up
+    would be state of its own, every event is given to them.
+    """
+    rows = events.where(in_bounds(sensor.width, sensor.height)).select("y", "x", "packet_id", polarity(cfg.step).alias("delta"))
+    if not events.isStreaming:
+        rows = rows.groupBy("y", "x", "packet_id").agg(F.sum("delta").alias("delta"))
+    rows = rows.withColumn("tick", F.explode(F.sequence(F.col("packet_id"), F.col("packet_id") + cfg.max_packets - 1)))
+    return rows.select("y", "x", "tick", "delta", F.lit(False).alias("reset"))
 
 
 def decaying_preview(deltas: DataFrame, cfg: PreviewConfig = PreviewConfig()) -> DataFrame:

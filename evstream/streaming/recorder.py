@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +13,10 @@ from ..config import RecordingConfig
 from ..operators.recording import recording_events, recording_packets
 from ..sinks.recording import open_recording
 from ..sources.packets import explode_packets
+from .window import TrailingWindow
+
+
+TOTALS = "packets long, events long, batch long"
 
 
 class Recorder:
@@ -21,19 +28,30 @@ class Recorder:
 
     def __init__(self, spark: SparkSession, path: str, cfg: RecordingConfig) -> None:
         self.spark, self.path, self.cfg = spark, path, cfg
+        self.last = (-1, 0, 0)  # batch, packets and events up to its end
 
     def _before(self, batch: int) -> tuple[int, int]:
-        try:
-            done = self.spark.read.parquet(f"{self.path}/packets").where(F.col("batch") < batch)
-        except Exception as e:  # nothing is recorded yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0, 0
-        row = done.agg(F.max("packet_idx"), F.max("end_event_idx")).first()
-        return (0 if row[0] is None else row[0] + 1), (row[1] or 0)
+        """Packets and events recorded before a batch: remembered, or after a restart from the totals, a row a batch."""
+        if not 0 <= self.last[0] < batch:
+            try:
+                done = self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals").where(F.col("batch") < batch)
+                row = done.agg(F.max("batch"), F.max("packets"), F.max("events")).first()
+            except Exception as e:  # nothing is recorded yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                row = (None, None, None)
+            self.last = (-1, 0, 0) if row[0] is None else tuple(row)
+        return self.last[1:]
 
     def write(self, packets: DataFrame, batch: int) -> None:
         first_packet, first_event = self._before(batch)
+        packets = packets.persist()  # decoded once for both tables
+        try:
+            self._write(packets, batch, first_packet, first_event)
+        finally:
+            packets.unpersist()
+
+    def _write(self, packets: DataFrame, batch: int, first_packet: int, first_event: int) -> None:
         events = explode_packets(packets)
         time = lambda e: e["sec"].cast("long") * 1_000_000 + e["ms"] * 1000 + e["us"]
         some = F.col("event_count") > 0
@@ -42,7 +60,11 @@ class Recorder:
         rows = recording_packets(heads, first_packet, first_event)
         tables = {"events": recording_events(events, rows), "packets": rows.drop("packet_id")}
         for name, df in tables.items():
-            df.write.mode("overwrite").option("compression", self.cfg.codec).parquet(f"{self.path}/{name}/batch={batch}")
+            df.write.mode("overwrite").options(**self.cfg.parquet).parquet(f"{self.path}/{name}/batch={batch}")
+        row = packets.agg(F.count("*"), F.coalesce(F.sum("event_count"), F.lit(0))).first()
+        total = (first_packet + row[0], first_event + row[1])
+        self.spark.createDataFrame([total], "packets long, events long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
+        self.last = (batch, *total)
 
 
 class Service:
@@ -86,12 +108,32 @@ class RecordingService(Service):
         return self.start(begin)
 
 
+class Pace:
+    """At most a frame a period. The next period begins when a frame is due, not where the last would have ended, so that a late
+    one is not followed by a burst of those it missed."""
+
+    def __init__(self, fps: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.period, self.clock, self.last = 1.0 / fps, clock, float("-inf")
+
+    def due(self) -> bool:
+        now = self.clock()
+        if now - self.last < self.period:
+            return False
+        self.last = now
+        return True
+
+
 class PublishingService(Service):
-    """Frames of each micro-batch's packets to a sink function (frame, batch)."""
+    """Frames to a sink function (frame, batch), of each micro-batch's packets or, with a window, of the latest events up to it."""
+
+    def start_publishing(self, packets: DataFrame, render, sink, checkpoint: str, fps: float = 30.0, window: TrailingWindow | None = None, pace: Pace | None = None, **trigger) -> bool:
+        pace = pace or Pace(fps)
 
-    def start_publishing(self, packets: DataFrame, render, sink, checkpoint: str, fps: float = 30.0, **trigger) -> bool:
         def publish(batch: DataFrame, number: int) -> None:
-            sink(render(explode_packets(batch)), number)
+            events = explode_packets(batch)
+            events = window.advance(events, number) if window else events
+            if pace.due():
+                sink(render(events), number)
 
         def begin() -> StreamingQuery:
             return packets.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": f"{int(1000 / fps)} milliseconds"}).start()

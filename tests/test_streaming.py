@@ -2,8 +2,11 @@
 
 import os
 import socket
+import termios
 import threading
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,8 +16,9 @@ from evstream.operators import frames, recording
 from evstream.sources.live import ByteSource, LiveReader, stream_live
 from evstream.sources.packets import encode_packet, explode_packets, generate_capture, read_packets, stream_packets
 from evstream.streaming.buffer import PacketBuffer, buffered
-from evstream.streaming.preview import decaying_preview, tick_deltas
-from evstream.streaming.recorder import PublishingService, RecordingService
+from evstream.streaming.preview import DecayingPixel, decaying_preview, tick_deltas
+from evstream.streaming.recorder import Pace, PublishingService, Recorder, RecordingService
+from evstream.streaming.window import TrailingWindow
 
 
 @pytest.fixture
@@ -107,6 +111,101 @@ def test_live_reader_replays_until_committed(tmp_path):
         assert reader.read(end)[1] == end  # a timeout
 
 
+def test_live_numbers_go_on_after_a_restart(tmp_path):
+    pipe = str(tmp_path / "pipe")
+    os.mkfifo(pipe)
+    reader = LiveReader({"path": pipe, "timeout": "0.5", "maxPackets": "50"})
+    reader.source = ByteSource(pipe)
+    with open(pipe, "wb", buffering=0) as out:
+        out.write(encode_packet([(1, 0, 0, 1, 2, 3)]) * 4)
+        assert list(reader.readBetweenOffsets({"packets": 3}, {"packets": 5})) == []  # read before the restart
+        rows, end = reader.read({"packets": 5})
+        assert end == {"packets": 9} and [r[1] for r in rows] == [5, 6, 7, 8]
+
+
+def test_a_serial_port_is_set_and_flushed():
+    main, port = os.openpty()
+    name = os.ttyname(port)
+    os.write(main, b"stale")
+    source = ByteSource(name, 57_600)
+    iflag, _, cflag, lflag, ispeed, ospeed, _ = termios.tcgetattr(source.fd)
+    assert cflag & termios.CSIZE == termios.CS8 and not cflag & (termios.PARENB | termios.CSTOPB | termios.CRTSCTS)
+    assert not iflag & (termios.IXON | termios.IXOFF) and not lflag & (termios.ICANON | termios.ECHO) and ospeed == termios.B57600
+    os.write(main, b"EVT1\x00")
+    assert source.read(2.0) == b"EVT1\x00"
+    with pytest.raises(ValueError, match="baud"):
+        ByteSource(name, 12_345)
+
+
+def test_a_recorder_goes_on_from_its_totals(spark, captures, tmp_path):
+    path, cfg = str(tmp_path / "rec"), RecordingConfig()
+    files = sorted(os.listdir(captures))
+    batches = [read_packets(spark, f"{captures}/{f}") for f in files]
+    recorder = Recorder(spark, path, cfg)
+    for k in (0, 1, 1):  # a batch that runs again replaces itself
+        recorder.write(batches[k], k)
+    Recorder(spark, path, cfg).write(batches[1], 1)
+    again = Recorder(spark, path, cfg)
+    assert again._before(2) == (4, 24) and again._before(1) == (2, 12) and again._before(0) == (0, 0)
+    again.write(batches[2], 2)
+    rows = spark.read.parquet(f"{path}/packets").orderBy("packet_idx").collect()
+    assert [(r.packet_idx, r.start_event_idx) for r in rows] == [(k, 6 * k) for k in range(6)]
+    assert spark.read.parquet(f"{path}/events").select("event_idx").distinct().count() == 36
+
+
+def test_trailing_window_over_micro_batches(spark, tmp_path):
+    rows = [(k, k * 10_000) for k in range(60)]
+    events = spark.createDataFrame(rows, "ord long, t_us long")
+    window = TrailingWindow(f"file://{tmp_path}/w", 100.0)
+    for n, (a, b) in enumerate([(0, 5), (5, 30), (30, 30), (30, 60), (30, 60)]):
+        number = min(n, 3)  # the last runs again
+        got = window.advance(events.where(F.col("ord").between(a, b - 1)), number).collect()
+        upto = [t for k, t in rows if k < b]
+        assert sorted(r.t_us for r in got) == [t for t in upto if t >= max(upto) - 100_000]
+    assert sorted(p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("batch")) == ["batch-2", "batch-3"]
+
+
+def test_pace_is_anchored_where_a_frame_was_due():
+    now = [0.0]
+    pace, due = Pace(10.0, lambda: now[0]), []
+    for t in (0.0, 0.05, 0.1, 0.35, 0.4, 0.44, 0.46):  # late by 0.15 at 0.35: no frames are made up for
+        now[0] = t
+        due.append(pace.due())
+    assert due == [True, False, True, True, False, False, True]
+
+
+def test_preview_state_with_resets():
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    pixel, handle = DecayingPixel(0.9, 10.0), Handle()
+    pixel.init(handle)
+    rng, tick, acc = np.random.default_rng(0), None, 0.0
+    for start in (0, 10, 20, 30):
+        batch = pd.DataFrame([(1, 2, start + int(rng.integers(0, 9)), float(rng.normal()), bool(rng.random() < 0.1)) for _ in range(12)], columns=["y", "x", "tick", "delta", "reset"])
+        for r in batch.sort_values("tick", kind="stable").itertuples(index=False):  # a row at a time
+            acc = 0.0 if r.reset else acc * 0.9 ** (r.tick - tick) if tick is not None else acc
+            tick, acc = r.tick, acc + r.delta
+        (out,) = pixel.handleInputRows((1, 2), iter([batch]), None)
+        assert out.tick[0] == tick and abs(out.acc[0] - acc) < 1e-9
+
+
+def test_publishing_a_trailing_window(spark, captures, tmp_path):
+    seen, service = [], PublishingService()
+    window = TrailingWindow(f"file://{tmp_path}/w", 10_000.0)
+    assert service.start_publishing(stream_packets(spark, captures), lambda ev: ev, lambda frame, n: seen.append(frame.count()), str(tmp_path / "cp"), window=window, pace=Pace(1e6))
+    service.query.processAllAvailable()
+    assert service.stop() and seen == [12, 24, 36, 36]  # the window reaches over all batches
+
+
 def test_publishing(spark, captures, tmp_path):
     seen, service = [], PublishingService()
     assert service.start_publishing(stream_packets(spark, captures), frames.mono_frame, lambda frame, n: seen.append((n, frame.count())), str(tmp_path / "cp"))
