@@ -1,8 +1,10 @@
 """The motion filter: a spatio-temporal range self-join, support counts and coherence.
 
-Every event is compared with earlier ones within a radius and a time window. Both become an equi-join: an
-event lies in one grid cell of the radius's size and one time bucket of the window's length, and looks into
-the nine cells around and the two buckets its window can reach, so each pair meets exactly once.
+Every event is compared with earlier ones within a radius and a time window. Both become an equi-join: cells are
+CELL radii wide and time buckets CELL windows long, and an event looks into its own and, as far as its radius or
+window passes their edges, into those beside and before it. So each pair meets exactly once, and an event is sent
+to six cells on average. Wider cells would send fewer copies (2.3 at 4 times the radius and window) and compare far
+more pairs (108 instead of 48 in units of a radius squared by a window).
 """
 
 from __future__ import annotations
@@ -13,20 +15,25 @@ from pyspark.sql import functions as F
 from ..config import MotionConfig
 from ..functions.scalars import int_div
 
+CELL = 2  # cells in radii, time buckets in windows
+
 
 def neighbor_stats(points: DataFrame, cfg: MotionConfig = MotionConfig()) -> DataFrame:
     """ord, n, and sums of neighbour offsets for events with at least one neighbour; points have x, y >= 0, t >= 0 and a unique ord."""
     r, w = cfg.radius_px, cfg.window_us
-    cell = lambda c: int_div(F.col(c), max(1, r))
-    at = points.select("ord", "x", "y", "t", cell("x").alias("cx"), cell("y").alias("cy"), int_div(F.col("t"), w).alias("tb"))
-    # the events that look are spread (over all cores first, then over cells); those looked for stay one row each, the side to hash or broadcast
-    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1)))
-    late = at.repartition("ord").withColumn("o", F.explode(around))
-    late = late.select(*(F.col(c).alias(f"i_{c}") for c in ("ord", "x", "y", "t")), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), (F.col("tb") - F.col("o.c")).alias("tb"))
+    wide, long = CELL * r, CELL * w
+    cell = lambda c: int_div(F.col(c), wide)
+    at = points.select("ord", "x", "y", "t", cell("x").alias("cx"), cell("y").alias("cy"), int_div(F.col("t"), long).alias("tb"))
+    reach = lambda c: F.sequence(int_div(F.col(c) - r + wide, wide) - 1, int_div(F.col(c) + r, wide))
+    # the events that look are sent to the cells they reach; those looked for stay one row each, the side to hash or broadcast
+    late = at.select(*(F.col(c).alias(f"i_{c}") for c in ("ord", "x", "y", "t")))
+    late = late.withColumn("cx", F.explode(reach("i_x"))).withColumn("cy", F.explode(reach("i_y")))
+    late = late.withColumn("tb", F.explode(F.sequence(int_div(F.col("i_t") - w + long, long) - 1, int_div(F.col("i_t"), long))))
     early = at.select("x", "y", "t", "cx", "cy", "tb")
     dx, dy, dt = F.col("i_x") - F.col("x"), F.col("i_y") - F.col("y"), F.col("i_t") - F.col("t")
-    # speed without a root: the squares are compared
+    # speed without a root: the squares are compared; no speed is below 0
     fast = (dx * dx + dy * dy) * F.lit(1_000_000.0) > F.lit(float(cfg.max_speed)) * F.lit(float(cfg.max_speed)) * dt * dt
+    fast = fast if cfg.max_speed >= 0 else F.lit(True)
     pairs = late.join(early, ["cx", "cy", "tb"]).where((dt > 0) & (dt <= w) & (dx * dx + dy * dy <= r * r) & ~fast)
     sums = {"n": F.count("*"), "sx": F.sum(dx), "sy": F.sum(dy), "sxx": F.sum(dx * dx), "syy": F.sum(dy * dy), "sxy": F.sum(dx * dy)}
     return pairs.groupBy(F.col("i_ord").alias("ord")).agg(*(v.alias(k) for k, v in sums.items()))

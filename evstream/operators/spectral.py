@@ -15,6 +15,7 @@ from .signal import burst_clip, count_signal, rate_histogram
 
 FLAT = 1e-8  # deviations up to this count as none
 SHORTEST = 16  # bins
+ONE_ARRAY = 1 << 24  # bins of a signal that one task takes: 134 MB, and as much for its transform
 
 
 def band_bins(n: int, bin_us: int, low_hz: float, high_hz: float) -> tuple[int, int]:
@@ -95,20 +96,34 @@ def grid_flicker(events: DataFrame, cfg: FlickerConfig = FlickerConfig(), sensor
     return cells.join(F.broadcast(ratio), ["gy", "gx"], "left").select("gy", "gx", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0) -> DataFrame:
-    """k, freq_hz, magnitude from 1 Hz to max_hz of the mean-free rate, without a window. No rows without a duration."""
+def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0, one_array: int = ONE_ARRAY) -> DataFrame:
+    """k, freq_hz, magnitude from 1 Hz to max_hz of the mean-free rate, without a window. No rows without a duration.
+
+    A signal of up to one_array bins (4.6 hours of milliseconds) is one array for numpy's transform, which costs n log n.
+    A longer one, which a task should not hold, is joined with its frequencies; which of the two has rows is found in the run.
+    """
     bin_s = bin_ms * 1e-3
     rate = rate_histogram(points, bin_ms)
-    size = rate.agg(F.nullif(F.count("*"), F.lit(0)).alias("__n"), F.avg("rate").alias("__mean"))
-    rows = rate.crossJoin(F.broadcast(size)).where("rate <> 0").select("bin", (F.col("rate")).alias("v"), "__n")
+    size = rate.agg(F.nullif(F.count("*"), F.lit(0)).alias("__n"))
+    # the mean adds nothing at any k over 0, so bins without events need not be sent
+    rows = rate.where("rate <> 0").crossJoin(F.broadcast(size)).select("bin", F.col("rate").alias("v"), "__n")
     hz = 1.0 / (F.col("__n") * F.lit(bin_s))
-    # the mean adds nothing at any k over 0, so bins without events need not be joined
     last = F.least(F.col("__n").cast("double") / 2, F.floor(F.lit(float(max_hz)) / hz + 1e-9)).cast("long")
     first = F.greatest(F.lit(1), F.ceil(1.0 / hz - 1e-9)).cast("long")
-    rows = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    rows = rows.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+
+    def transform(table: pa.Table) -> pa.Table:
+        v = np.zeros(table["__n"][0].as_py())
+        v[table["bin"].to_numpy()] = table["v"].to_numpy()
+        k = np.arange(table["__first"][0].as_py(), table["__last"][0].as_py() + 1)
+        return pa.table({"k": k, "__n": np.full(len(k), len(v)), "magnitude": np.abs(np.fft.rfft(v)[k])})
+
+    whole = rows.where(F.col("__n") <= one_array).groupBy("__n").applyInArrow(transform, "k long, __n long, magnitude double")
+    long = rows.where(F.col("__n") > one_array).withColumn("k", F.explode(F.sequence("__first", "__last")))
     turn = F.lit(2 * math.pi) * ((F.col("k") * F.col("bin")) % F.col("__n")) / F.col("__n")
-    sums = rows.groupBy("k", "__n").agg(F.sum(F.col("v") * F.cos(turn)).alias("re"), F.sum(F.col("v") * F.sin(turn)).alias("im"))
-    return sums.select("k", (F.col("k") / (F.col("__n") * F.lit(bin_s))).alias("freq_hz"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
+    long = long.groupBy("k", "__n").agg(F.sum(F.col("v") * F.cos(turn)).alias("re"), F.sum(F.col("v") * F.sin(turn)).alias("im"))
+    both = whole.unionByName(long.select("k", "__n", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude")))
+    return both.select("k", (F.col("k") / (F.col("__n") * F.lit(bin_s))).alias("freq_hz"), "magnitude")
 
 
 def dominant_frequency(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0) -> DataFrame:

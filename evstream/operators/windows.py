@@ -112,6 +112,6 @@ def running_offsets(packets: DataFrame, order: str, value: str) -> DataFrame:
     shift = totals.select("__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy("__bucket").orderBy(order)
     rows = rows.withColumns({"__end": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__at": F.row_number().over(inside) - 1})
-    rows = rows.join(F.broadcast(shift), "__bucket")
+    rows = rows.join(shift, "__bucket")  # dealt by bucket already
     end = F.col("__base") + F.col("__end")
     return rows.withColumns({"start_event_idx": end - F.col(value), "end_event_idx": end, "packet_idx": F.col("__first") + F.col("__at")}).drop("__bucket", "__base", "__first", "__end", "__at")

@@ -43,6 +43,27 @@ def test_motion_filter_is_the_brute_force_join(spark, rows):
         assert [got[k] for k in range(len(rows))] == motion_model(rows, cfg)
 
 
+@pytest.mark.parametrize("radius, window_ms", [(1, 0.003), (5, 0.1), (6, 12.0)])
+def test_motion_pairs_meet_once_across_cell_edges(spark, radius, window_ms):
+    rng = np.random.default_rng(radius)
+    rows = list(zip(rng.integers(0, 40, 300).tolist(), rng.integers(0, 40, 300).tolist(), rng.integers(0, 400, 300).tolist()))
+    cfg = MotionConfig(radius_px=radius, window_ms=window_ms, max_speed=1e9, support_only=True)
+    got = {r.ord: (r.neighbors, r.keep) for r in motion.motion_filter(points(spark, rows), cfg).collect()}
+    assert [got[k] for k in range(len(rows))] == motion_model(rows, cfg)
+
+
+def test_no_pair_is_slower_than_a_negative_speed(spark):
+    rows = [(k, 5, 1000 * k) for k in range(9)]
+    assert motion.motion_filter(points(spark, rows), MotionConfig(max_speed=-50.0)).where("neighbors > 0 or keep").count() == 0
+
+
+def test_one_array_and_the_join_transform_alike(spark):
+    rng = np.random.default_rng(1)
+    pts = points(spark, [(1, 1, t) for t in sorted(rng.integers(0, 300_000, 400).tolist())])
+    both = [sorted((r.k, round(r.freq_hz, 6), round(r.magnitude, 6)) for r in spectral.fft_magnitude(pts, one_array=n).collect()) for n in (1 << 24, 0)]
+    assert both[0] == both[1] and len(both[0]) > 50
+
+
 def test_motion_filter_without_radius_keeps_nothing(spark):
     got = motion.motion_filter(points(spark, [(1, 1, 0), (1, 1, 5)]), MotionConfig(radius_px=0)).collect()
     assert [(r.neighbors, r.keep) for r in got] == [(0, False)] * 2
