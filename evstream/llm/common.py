@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..scratch import delete, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets one of
-    its own; on a cluster that is an error."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="evstream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark).rstrip('/')}/evstream/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -62,22 +40,7 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         if named := getattr(table, "_named", None):
             table.sparkSession.sql(f"DROP TABLE IF EXISTS {named}")
-        _delete(table.sparkSession, table._scratch)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written.remove((spark, path))
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in list(_written):
-        try:
-            _delete(spark, path)
-        except Exception:
-            return  # the session has ended; its folder goes with the cluster's own cleaning
+        delete(table.sparkSession, table._scratch)
 
 
 def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
