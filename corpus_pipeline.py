@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evstream.llm import exact_dedup, packing, simhash, toxicity
-from evstream.llm.common import materialize, table
+from evstream.llm.common import discard, materialize, table
 
 #: The stages are a trained model, hashes of shingles and a tokenizer's ids: no SQL can state their rows.
 ORACLE_SQL = None
@@ -31,7 +31,11 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_duplicates), ("si
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*held)  # nothing reads the stage before any more
+        held = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*held)  # packing reads the pieces that it has written
+    return packed
