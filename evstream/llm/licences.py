@@ -1,11 +1,12 @@
 """Licence scan: a trained paragraph classifier on sparse word n-grams, confirmed by templates.
 
-A paragraph is a line. Its word n-grams (one to three words) weigh on the licence families and on the
-class "none"; weights come from a softmax regression with an L1 penalty, trained on the templates below
-(whole, with words lost, inside other words) against look-alikes, and its temperature is fitted on
-held-out variants, so probabilities are calibrated. A paragraph whose best family is probable is compared
-with that family's templates; if no template is contained in it well enough, or no single family is
-probable, while "none" is improbable, its family is "unknown".
+A paragraph is a line. Its word n-grams (one to three words) weigh on the licence families, on the class
+"unknown" (notices of licences of no family here) and on the class "none"; weights come from a softmax regression
+with an L1 penalty, trained on the templates below (whole, with words lost, inside other words) and on others'
+notices against look-alikes, and its temperature is fitted on held-out variants, so probabilities are calibrated.
+A paragraph whose best family is probable is compared with that family's templates. It is "unknown" if it is
+probably a notice (1 less the probability of "none", which then is the probability reported) but no family is
+probable and confirmed.
 
 Notices are often wrapped. So runs of consecutive lines with words are scored too, as far as a template can
 reach: no more words than the longest template has of each line, and no more between the first line and the
@@ -37,21 +38,28 @@ SURE = 0.5
 CONTAINED = 0.75
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
-#: What the licences' own notices say, by family.
+#: What the licences' own texts, notices and tags say, by family.
 TEMPLATES: dict[str, list[str]] = {
-    "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License as published by the Free Software Foundation", "Released under the AGPL-3.0 license."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "Released under the Apache-2.0 license.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under CC0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License, version 2.", "Released under the GPL-3.0 license.", "either version 3 of the License, or at your option any later version"],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License as published by the Free Software Foundation", "Released under the LGPL-3.0 license."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT License.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License as published by the Free Software Foundation", "Released under the AGPL-3.0 license.", "You should have received a copy of the GNU Affero General Public License along with this program", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "Released under the Apache-2.0 license.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "See the License for the specific language governing permissions and limitations under the License", "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License, version 2.", "Released under the GPL-3.0 license.", "either version 3 of the License, or at your option any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE", "SPDX-License-Identifier: ISC"],
+    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License as published by the Free Software Foundation", "Released under the LGPL-3.0 license.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "You should have received a copy of the GNU Lesser General Public License along with this library", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT License.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", "SPDX-License-Identifier: MIT"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0", "SPDX-License-Identifier: MPL-2.0"],
 }
+#: Notices of licences of no family above, from which the class "unknown" is learned.
+OTHERS = [
+    "This software is provided as-is, without any express or implied warranty, and the authors are not liable for damages arising from its use.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document.", "This is free and unencumbered software released into the public domain.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the European Union Public Licence, version 1.2.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the Artistic License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib",
+    "Licensed under the Acme Commercial License, version 1.", "This software is proprietary and may only be used under a commercial license agreement.", "Released under the Blue Oak Model License.", "Licensed under the Open Software License, version 3.0.", "Use of this program is subject to the terms of the End User License Agreement.", "Licensed under the Example Public License, version 7.", "Released under the Vendor Source License.",
+]
 #: Sentences that share words with licences and are none.
 LOOK_ALIKES = [
     "He renewed his driving license at the public office.", "The software was released in version 3.", "Permission was granted to enter the building.", "All rights reserved.", "The general public was invited to the foundation.",
@@ -77,7 +85,7 @@ def grams_of(words: list[str]) -> set[str]:
 
 @dataclass
 class LicenceModel:
-    families: list[str]  # the last class is none
+    families: list[str]  # unknown among them; one class more is none
     features: list[str]
     weights: np.ndarray  # features x classes, over the temperature
     bias: np.ndarray
@@ -116,13 +124,13 @@ def _variants(rng: random.Random, text: str, label: int, fillers: list[str], tim
 @lru_cache(maxsize=1)
 def train(seed: int = 11, steps: int = 150, rate: float = 4.0, shrink: float = 2e-4) -> LicenceModel:
     """Softmax regression by proximal descent; every third variant is held out to fit the temperature."""
-    rng, families = random.Random(seed), sorted(TEMPLATES)
+    rng, families = random.Random(seed), [*sorted(TEMPLATES), "unknown"]
     none = len(families)
     fillers = sorted({w for s in LOOK_ALIKES for w in words_of(s)} | STOP)
-    rows = [v for k, f in enumerate(families) for t in TEMPLATES[f] for v in _variants(rng, t, k, fillers, 12)]
+    rows = [v for k, f in enumerate(families) for t in TEMPLATES.get(f, OTHERS) for v in _variants(rng, t, k, fillers, 12)]
     for s in LOOK_ALIKES:
         rows += _variants(rng, s, none, fillers, 12)
-    pool = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    pool = sorted({w for ts in (*TEMPLATES.values(), OTHERS) for t in ts for w in words_of(t)})
     rows += [(rng.sample(pool, rng.randint(1, 6)), none) for _ in range(600)] + [([], none)] * 30
     grams = [grams_of(w) for w, _ in rows]
     labels = np.array([y for _, y in rows])
@@ -152,6 +160,15 @@ def train(seed: int = 11, steps: int = 150, rate: float = 4.0, shrink: float = 2
     return LicenceModel(families, [f for f, keep in zip(features, live) if keep], w[live] / t, b / t)
 
 
+def reliability(model: LicenceModel, texts: list[tuple[str, bool]], bins: int = 5) -> tuple[float, float]:
+    """How well "is a licence notice" is calibrated: the mean gap between probability and share by bin, and the share decided rightly at SURE."""
+    p = np.array([1 - model.probabilities(t)[-1] for t, _ in texts])
+    y = np.array([is_notice for _, is_notice in texts], float)
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    gap = sum(abs(p[at == k].sum() - y[at == k].sum()) for k in range(bins)) / len(p)
+    return float(gap), float(((p >= SURE) == (y > 0)).mean())
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -245,14 +262,14 @@ def scan_paragraphs(docs: DataFrame, text: str = "text", model: LicenceModel | N
     best = F.greatest(*(F.struct(v.alias("z"), F.lit(c).alias("family")) for v, c in zip(z, classes)))
     scored = scored.withColumn("best", best).withColumn("total", sum((F.exp(v - F.col("best.z")) for v in z), F.lit(0.0)))
     scored = scored.withColumns({"probability": 1 / F.col("total"), "none": F.exp(z[-1] - F.col("best.z")) / F.col("total"), "family": F.col("best.family")})
-    shapes = [{"family": f, "templates": [bits(sorted(set(words_of(t)) - STOP)) for t in TEMPLATES[f]]} for f in model.families]
+    shapes = [{"family": f, "templates": [bits(sorted(set(words_of(t)) - STOP)) for t in TEMPLATES[f]]} for f in sorted(TEMPLATES)]
     scored = scored.join(F.broadcast(_constant(spark, shapes, "family string, templates array<array<bigint>>")), "family", "left")  # a row a family
     ones = lambda t, mask: sum((F.bit_count(mask(t, m)) for m in masks), F.lit(0))
     overlap = F.array_max(F.transform("templates", lambda t: ones(t, lambda t, m: t[m].bitwiseAND(F.col(f"b{m}"))) / ones(t, lambda t, m: t[m])))
     scored = scored.withColumn("overlap", F.coalesce(overlap, F.lit(0.0)))
-    sure = (F.col("family") != "none") & (F.col("probability") >= SURE) & (F.col("overlap") >= CONTAINED)
+    sure = ~F.col("family").isin("none", "unknown") & (F.col("probability") >= SURE) & (F.col("overlap") >= CONTAINED)
     named = F.when(F.col("paragraph").isNotNull() & (F.col("none") < SURE), F.when(sure, F.col("family")).when(F.col("lines") == 1, "unknown"))
-    return scored.select("__row", "doc_id", "n_paragraphs", F.when(named.isNotNull(), F.col("paragraph")).alias("paragraph"), "lines", "length", named.alias("family"), "probability", "overlap")
+    return scored.select("__row", "doc_id", "n_paragraphs", F.when(named.isNotNull(), F.col("paragraph")).alias("paragraph"), "lines", "length", named.alias("family"), F.when(named == "unknown", 1 - F.col("none")).otherwise(F.col("probability")).alias("probability"), "overlap")
 
 
 def scan_licences(docs: DataFrame, text: str = "text", model: LicenceModel | None = None) -> DataFrame:

@@ -328,6 +328,35 @@ def test_licences(spark):
     assert licences.scan_licences(no_documents(spark)).count() == 0
 
 
+NOTICES = [  # of licences that no training text names
+    "Licensed under the Common Development and Distribution License, version 1.1.", "Released under the PostgreSQL License.", "SPDX-License-Identifier: CDDL-1.0", "This work is licensed under the Open Data Commons Attribution License, version 1.0.",
+    "Distributed under the terms of the Python Software Foundation License.", "Licensed under the Microsoft Public License.", "Distributed under the Academic Free License, version 3.0.", "This file is licensed under the Zope Public License, version 2.1.",
+    "This software is released under the Ruby License.", "Use of this software is governed by the Business Source License.",
+]
+NO_NOTICES = [
+    "The license of the pub was taken away.", "He gave permission to copy the notes.", "A public library was opened in the region.", "The software company was founded in 1998.", "Version 4 of the song was released.",
+    "The work was distributed among the children.", "The terms of the contract were clear.", "The source of the river is in the hills.", "All copies of the book were sold.", "The foundation published a report.",
+]
+
+
+def test_notices_of_families_never_seen_are_unknown(spark):
+    seen = {t for ts in licences.TEMPLATES.values() for t in ts} | {*licences.OTHERS, *licences.LOOK_ALIKES}
+    assert not seen & {*NOTICES, *NO_NOTICES}
+    gap, right = licences.reliability(licences.train(), [(t, True) for t in NOTICES] + [(t, False) for t in NO_NOTICES])
+    assert right == 1.0 and gap < 0.1
+    docs = spark.createDataFrame(list(enumerate([*NOTICES, *NO_NOTICES])), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan_licences(docs).collect()}
+    assert [got[k] for k in range(len(got))] == [["unknown"]] * len(NOTICES) + [[]] * len(NO_NOTICES)
+
+
+def test_tags_and_clauses_name_their_family(spark):
+    texts = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ("\n".join(f"  {x}" for x in ts), f"// {ts[-1]}")]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in texts)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan_licences(docs).collect()}
+    assert all(f in got[k] for k, (f, _) in enumerate(texts))
+    assert all(got[k] == [f] for k, (f, t) in enumerate(texts) if t.startswith("//"))
+
+
 WRAPPED = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
