@@ -62,6 +62,18 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_alone(name: str, make: Callable = lambda: None):
+    """What a Python worker keeps from task to task, made when it is first asked for. Workers outlive their stages, so what
+    another operator kept in this one goes first: no worker holds the memory of two."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordMemo:
     """Values by white-space-delimited chunk, kept between batches in two generations of bounded size.
 

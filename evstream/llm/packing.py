@@ -16,7 +16,6 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, materialize, small_batches, text_bytes
+from .common import WordMemo, kept_alone, materialize, small_batches, text_bytes
 from .words import chunk_ids, chunks_of, word_bpe_path
 
 CAPACITY = 2048
@@ -32,9 +31,8 @@ END_ID = 0
 BROADCAST_ROWS = 500_000
 
 
-@lru_cache(maxsize=1)
 def _memo(path: str) -> WordMemo:
-    return WordMemo(chunk_ids(path), bound=250_000)
+    return kept_alone(f"ids {path}", lambda: WordMemo(chunk_ids(path), bound=250_000))
 
 
 def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -187,6 +185,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_alone("places")
         runs = places.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

@@ -27,7 +27,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, materialize, small_batches, text_bytes
+from .common import WordMemo, kept_alone, materialize, small_batches, text_bytes
 from .words import core_of
 
 CHUNK_CHARS = 32_768
@@ -254,10 +253,12 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-@lru_cache(maxsize=1)
 def _model(path: str) -> tuple[PieceModel, WordMemo]:
-    model = PieceModel(path)
-    return model, WordMemo(model.compute)
+    def make() -> tuple[PieceModel, WordMemo]:
+        model = PieceModel(path)
+        return model, WordMemo(model.compute)
+
+    return kept_alone(f"pieces {path}", make)
 
 
 _MARK = SPACE.encode()

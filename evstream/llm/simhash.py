@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import UnionFind, connected_components, discard, materialize, small_batches, text_bytes
+from .common import UnionFind, connected_components, discard, kept_alone, materialize, small_batches, text_bytes
 from .keep import keep_rows, row_key
 
 SHINGLE_WORDS = 3
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS)
     rows = docs.select("doc_id", row_key(text).alias("key"), text_bytes(text).alias("__text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_alone("simhash")
         for batch in batches:
             fp = pa.array([simhash(t.as_py(), size) for t in batch.column("__text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), fp], names=["doc_id", "key", "fp"])

@@ -11,7 +11,6 @@ empty table. Only the columns named in keep are carried over, so other columns c
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordMemo, small_batches, text_bytes
+from .common import WordMemo, kept_alone, small_batches, text_bytes
 from .words import PrefixCounter, chunks_of, last_count, word_bpe_path
 
-@lru_cache(maxsize=1)
+
 def _memo(path: str) -> WordMemo:
-    return WordMemo(PrefixCounter(path).compute, bound=600_000)
+    return kept_alone(f"prefixes {path}", lambda: WordMemo(PrefixCounter(path).compute, bound=600_000))
 
 
 def prefix_array(text: bytes, chunks: list[bytes], counts) -> np.ndarray:

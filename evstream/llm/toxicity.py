@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordMemo, small_batches, spare, text_bytes
+from .common import WordMemo, kept_alone, small_batches, spare, text_bytes
 
 MAX_ROWS = 6000
 MAX_BYTES = 64 << 20
@@ -206,6 +206,7 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text", threshold: f
     rows = docs.select("doc_id", text_bytes(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_alone("toxicity")
         memo = WordMemo(shared.value.word_gains, MEMO_WORDS)
         for batch in batches:
             p = _scores(batch, shared.value, memo)
@@ -222,6 +223,7 @@ def drop_toxic(docs: DataFrame, model: SubwordModel, text: str = "text", thresho
     rows = docs.withColumn(body, text_bytes(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_alone("toxicity")
         memo = WordMemo(shared.value.word_gains, MEMO_WORDS)
         for batch in batches:
             clean = pa.array(_scores(batch, shared.value, memo, body) < threshold)

@@ -461,3 +461,11 @@ def test_token_query_answers_from_prefixes(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     want = sorted((r.doc_id, len((r.text or "").encode()), n := len(ids(r.text)), n > queries.TOKEN_LIMIT) for r in docs)
     assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_a_worker_keeps_one_operators_memory():
+    from evstream.llm.common import kept_alone
+
+    first = kept_alone("one", lambda: [1])
+    assert kept_alone("one", lambda: [2]) is first
+    assert kept_alone("two", lambda: [3]) == [3] and kept_alone("one", lambda: [4]) == [4]
