@@ -111,12 +111,10 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
-            sizes = np.array([len(docs[r][0]) for r in rows])
-            bucket, weight = (np.concatenate([docs[r][c] for r in rows]) for c in (0, 1))
-            doc, lit = np.repeat(np.arange(len(rows)), sizes), sizes > 0
-            mean = np.zeros((len(rows), DIMENSIONS), np.float32)
-            if lit.any():
-                mean[lit] = SCALE * np.add.reduceat((embed * lift[:, None])[bucket] * weight[:, None], (np.cumsum(sizes) - sizes)[lit])
+            bags = np.zeros((len(rows), len(live)), np.float32)
+            for own, r in zip(bags, rows):
+                own[docs[r][0]] = docs[r][1]
+            mean = SCALE * (bags @ (embed * lift[:, None]))
             logits = mean @ top + base
             logits -= logits.max(1, keepdims=True)
             soft = np.exp(logits)
@@ -124,7 +122,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
             soft[np.arange(len(rows)), target[rows]] -= 1
             soft /= len(rows)
             back = SCALE * (soft @ top.T)
-            by_bucket = np.stack([np.bincount(bucket, back[doc, d] * weight, len(live)) for d in range(DIMENSIONS)], 1) * lift[:, None]
+            by_bucket = (bags.T @ back) * lift[:, None]
             step += 1
             rate = RATE * (1 - (step - 1) / total)
             for param, pace, grad in zip(params, speed, (by_bucket, mean.T @ soft, soft.sum(0))):
