@@ -16,6 +16,8 @@ from .signal import burst_clip, count_signal, rate_histogram
 FLAT = 1e-8  # deviations up to this count as none
 SHORTEST = 16  # bins
 ONE_ARRAY = 1 << 24  # bins of a signal that one task takes: 134 MB, and as much for its transform
+BLOCK = 1 << 20  # complex numbers of each of two matrices that a task of a longer transform holds
+LONGEST = 3_000_000_000  # bins: squares of places fit 63 bits
 
 
 def band_bins(n: int, bin_us: int, low_hz: float, high_hz: float) -> tuple[int, int]:
@@ -96,21 +98,21 @@ def grid_flicker(events: DataFrame, cfg: FlickerConfig = FlickerConfig(), sensor
     return cells.join(F.broadcast(ratio), ["gy", "gx"], "left").select("gy", "gx", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0, one_array: int = ONE_ARRAY) -> DataFrame:
+def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0, one_array: int = ONE_ARRAY, block: int = BLOCK) -> DataFrame:
     """k, freq_hz, magnitude from 1 Hz to max_hz of the mean-free rate, without a window. No rows without a duration.
 
-    A signal of up to one_array bins (4.6 hours of milliseconds) is one array for numpy's transform, which costs n log n.
-    A longer one, which a task should not hold, is joined with its frequencies; which of the two has rows is found in the run.
+    A signal of up to one_array bins (4.6 hours of milliseconds) is one array for numpy's transform. A longer one, which a
+    task should not hold, is a matrix that three shuffles turn; which of the two has rows is found in the run.
     """
     bin_s = bin_ms * 1e-3
     rate = rate_histogram(points, bin_ms)
     size = rate.agg(F.nullif(F.count("*"), F.lit(0)).alias("__n"))
     # the mean adds nothing at any k over 0, so bins without events need not be sent
-    rows = rate.where("rate <> 0").crossJoin(F.broadcast(size)).select("bin", F.col("rate").alias("v"), "__n")
     hz = 1.0 / (F.col("__n") * F.lit(bin_s))
     last = F.least(F.col("__n").cast("double") / 2, F.floor(F.lit(float(max_hz)) / hz + 1e-9)).cast("long")
     first = F.greatest(F.lit(1), F.ceil(1.0 / hz - 1e-9)).cast("long")
-    rows = rows.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+    size = size.withColumns({"__first": first, "__last": last}).where("__first <= __last")
+    rows = rate.where("rate <> 0").crossJoin(F.broadcast(size)).select("bin", F.col("rate").alias("v"), "__n", "__first", "__last")
 
     def transform(table: pa.Table) -> pa.Table:
         v = np.zeros(table["__n"][0].as_py())
@@ -119,11 +121,90 @@ def fft_magnitude(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0,
         return pa.table({"k": k, "__n": np.full(len(k), len(v)), "magnitude": np.abs(np.fft.rfft(v)[k])})
 
     whole = rows.where(F.col("__n") <= one_array).groupBy("__n").applyInArrow(transform, "k long, __n long, magnitude double")
-    long = rows.where(F.col("__n") > one_array).withColumn("k", F.explode(F.sequence("__first", "__last")))
-    turn = F.lit(2 * math.pi) * ((F.col("k") * F.col("bin")) % F.col("__n")) / F.col("__n")
-    long = long.groupBy("k", "__n").agg(F.sum(F.col("v") * F.cos(turn)).alias("re"), F.sum(F.col("v") * F.sin(turn)).alias("im"))
-    both = whole.unionByName(long.select("k", "__n", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude")))
-    return both.select("k", (F.col("k") / (F.col("__n") * F.lit(bin_s))).alias("freq_hz"), "magnitude")
+    long = _long_magnitude(rows.where(F.col("__n") > one_array), size.where(F.col("__n") > one_array), block)
+    return whole.unionByName(long).select("k", (F.col("k") / (F.col("__n") * F.lit(bin_s))).alias("freq_hz"), "magnitude")
+
+
+class _Turned:
+    """A circular convolution of 2^bits >= 2 n numbers as a matrix of high x wide, and the chirp that makes of it a transform of any n.
+
+    X[k] = chirp(k) sum of v[j] chirp(j) / chirp(k - j), with chirp(j) = exp(-i pi j^2 / n). Place j stands in row j div wide and
+    column j mod wide. Columns are transformed, turned by twiddles, rows are transformed, multiplied and transformed back, and so are columns.
+    """
+
+    def __init__(self, n: int, block: int) -> None:
+        if n > LONGEST:
+            raise ValueError(f"a signal of {n} bins; at most {LONGEST}")
+        bits = (2 * n - 1).bit_length()
+        self.n, self.size, self.high, self.wide = n, 1 << bits, 1 << (bits + 1) // 2, 1 << bits // 2
+        self.columns, self.rows = (max(1, min(side, block // other)) for side, other in ((self.wide, self.high), (self.high, self.wide)))
+
+    def chirp(self, j: np.ndarray, sign: float) -> np.ndarray:
+        return np.exp(sign * 1j * np.pi * ((j * j) % (2 * self.n)) / self.n)
+
+    def places(self, column_block: int) -> np.ndarray:
+        """Place of each entry of a block of columns."""
+        return np.arange(self.high)[:, None] * self.wide + column_block * self.columns + np.arange(self.columns)
+
+    def twiddles(self, row_block: int, sign: float) -> np.ndarray:
+        """Of a block of whole rows."""
+        turns = (row_block * self.rows + np.arange(self.rows))[:, None] * np.arange(self.wide)
+        return np.exp(sign * 2j * np.pi * turns / self.size)
+
+    def kernel(self, at: np.ndarray) -> np.ndarray:
+        """1 / chirp of the distance, which runs backwards from the end."""
+        j = np.minimum(at, self.size - at)
+        return np.where(j < self.n, self.chirp(j, 1.0), 0)
+
+
+def _long_magnitude(rows: DataFrame, size: DataFrame, block: int) -> DataFrame:
+    """k, __n, magnitude of rows (bin, v, __n, __first, __last); size has the last three in one row, or none if there is no long signal."""
+    bits = F.length(F.bin(F.col("__n") * 2 - 1))
+    wide, high = F.expr("shiftleft(1L, cast(__bits div 2 as int))"), F.expr("shiftleft(1L, cast((__bits + 1) div 2 as int))")
+    shaped = lambda df: df.withColumn("__bits", bits).withColumn("__wide", wide).withColumn("__columns", F.greatest(F.lit(1), F.least(wide, F.lit(block) / high)).cast("long"))
+    keys = "__n long, __first long, __last long"
+    every = shaped(size).withColumn("__j", F.explode(F.expr("sequence(0L, __wide div __columns - 1)"))).select("__n", "__first", "__last", "__j", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("double").alias("v"))
+    placed = shaped(rows).withColumn("__j", F.expr("(bin % __wide) div __columns")).select("__n", "__first", "__last", "__j", "bin", "v")
+    pieces = f"{keys}, __j long, __k long, piece binary"
+    head = lambda table: [table[c][0].as_py() for c in ("__n", "__first", "__last")]
+
+    def cut(own: list, js: list[int], ks: list[int], parts: list[np.ndarray]) -> pa.Table:
+        fixed = {c: pa.array([v] * len(parts), pa.int64()) for c, v in zip(("__n", "__first", "__last"), own)}
+        return pa.table(fixed | {"__j": pa.array(js, pa.int64()), "__k": pa.array(ks, pa.int64()), "piece": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def down(table: pa.Table) -> pa.Table:
+        own, j = head(table), table["__j"][0].as_py()
+        m = _Turned(own[0], block)
+        held = table.filter(table["bin"].is_valid())
+        at, signal = held["bin"].to_numpy(), np.zeros((m.high, m.columns), complex)
+        signal[at // m.wide, at % m.wide - j * m.columns] = held["v"].to_numpy() * m.chirp(at, -1.0)
+        both = np.stack([np.fft.fft(signal, axis=0), np.fft.fft(m.kernel(m.places(j)), axis=0)])
+        blocks = range(m.high // m.rows)
+        return cut(own, [j] * len(blocks), list(blocks), [both[:, k * m.rows : (k + 1) * m.rows] for k in blocks])
+
+    def across(table: pa.Table) -> pa.Table:
+        own, k = head(table), table["__k"][0].as_py()
+        m = _Turned(own[0], block)
+        both = np.zeros((2, m.rows, m.wide), complex)
+        for j, piece in zip(table["__j"].to_pylist(), table["piece"]):
+            both[:, :, j * m.columns : (j + 1) * m.columns] = np.frombuffer(piece.as_buffer(), complex).reshape(2, m.rows, m.columns)
+        both = np.fft.fft(both * m.twiddles(k, -1.0), axis=2)
+        back = np.fft.ifft(both[0] * both[1], axis=1) * m.twiddles(k, 1.0)
+        blocks = range(m.wide // m.columns)
+        return cut(own, list(blocks), [k] * len(blocks), [back[:, j * m.columns : (j + 1) * m.columns] for j in blocks])
+
+    def up(table: pa.Table) -> pa.Table:
+        (n, first, last), j = head(table), table["__j"][0].as_py()
+        m = _Turned(n, block)
+        whole = np.zeros((m.high, m.columns), complex)
+        for k, piece in zip(table["__k"].to_pylist(), table["piece"]):
+            whole[k * m.rows : (k + 1) * m.rows] = np.frombuffer(piece.as_buffer(), complex).reshape(m.rows, m.columns)
+        at = m.places(j)
+        wanted = (at >= first) & (at <= last)
+        return pa.table({"k": at[wanted], "__n": np.full(wanted.sum(), n), "magnitude": np.abs(np.fft.ifft(whole, axis=0)[wanted])})
+
+    turned = placed.unionByName(every).groupBy("__n", "__j").applyInArrow(down, pieces).groupBy("__n", "__k").applyInArrow(across, pieces)
+    return turned.groupBy("__n", "__j").applyInArrow(up, "k long, __n long, magnitude double")
 
 
 def dominant_frequency(points: DataFrame, bin_ms: float = 1.0, max_hz: float = 300.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import in_bounds, int_div
 
 PACKETS_PER_BUCKET = 65_536
+BUCKETS_PER_BLOCK = 1 << 21
 
 
 def with_scalar(df: DataFrame, **aggregates) -> DataFrame:
@@ -103,15 +104,24 @@ def evict_packets(events: DataFrame, window_s: float, at_packet: int | None = No
 def running_offsets(packets: DataFrame, order: str, value: str) -> DataFrame:
     """packets with start_event_idx, end_event_idx and packet_idx: running sums and counts in the order of packets.
 
-    Sums run inside buckets of packet ids, which are then shifted by the buckets before them, so that only one row
-    a bucket meets in one place.
+    Sums run inside buckets of PACKETS_PER_BUCKET ids, whose totals run inside blocks of BUCKETS_PER_BLOCK buckets, whose totals
+    run in one place: a row for 2^37 ids, or for 32 capture files. No other window meets more than a block's rows.
     """
     rows = packets.withColumn("__bucket", int_div(F.col(order), PACKETS_PER_BUCKET))
     totals = rows.groupBy("__bucket").agg(F.sum(value).alias("__sum"), F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select("__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    totals = totals.withColumn("__block", int_div(F.col("__bucket"), BUCKETS_PER_BLOCK))
+    blocks = totals.groupBy("__block").agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+
+    def before(df: DataFrame, key: str, *within: str) -> DataFrame:
+        """The sums of what comes before each key."""
+        window = Window.partitionBy(*within).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*within, key, *(F.coalesce(F.sum(c).over(window), F.lit(0)).alias(f"{c}_{key}") for c in ("__sum", "__n")))
+
+    shift = before(totals, "__bucket", "__block").join(before(blocks, "__block"), "__block")
+    added = lambda c: (F.col(f"{c}___bucket") + F.col(f"{c}___block")).alias(f"{c}_before")
+    shift = shift.select("__bucket", added("__sum"), added("__n"))
     inside = Window.partitionBy("__bucket").orderBy(order)
     rows = rows.withColumns({"__end": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__at": F.row_number().over(inside) - 1})
     rows = rows.join(shift, "__bucket")  # dealt by bucket already
-    end = F.col("__base") + F.col("__end")
-    return rows.withColumns({"start_event_idx": end - F.col(value), "end_event_idx": end, "packet_idx": F.col("__first") + F.col("__at")}).drop("__bucket", "__base", "__first", "__end", "__at")
+    end = F.col("__sum_before") + F.col("__end")
+    return rows.withColumns({"start_event_idx": end - F.col(value), "end_event_idx": end, "packet_idx": F.col("__n_before") + F.col("__at")}).drop("__bucket", "__sum_before", "__n_before", "__end", "__at")

@@ -1,6 +1,7 @@
 """Operators against small models, at the boundaries the oracles do not reach."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -57,11 +58,77 @@ def test_no_pair_is_slower_than_a_negative_speed(spark):
     assert motion.motion_filter(points(spark, rows), MotionConfig(max_speed=-50.0)).where("neighbors > 0 or keep").count() == 0
 
 
-def test_one_array_and_the_join_transform_alike(spark):
-    rng = np.random.default_rng(1)
-    pts = points(spark, [(1, 1, t) for t in sorted(rng.integers(0, 300_000, 400).tolist())])
-    both = [sorted((r.k, round(r.freq_hz, 6), round(r.magnitude, 6)) for r in spectral.fft_magnitude(pts, one_array=n).collect()) for n in (1 << 24, 0)]
-    assert both[0] == both[1] and len(both[0]) > 50
+@pytest.mark.parametrize("span_ms, block", [(300, 1 << 20), (300, 64), (997, 256), (1024, 1), (2003, 512)])
+def test_one_array_and_the_turned_matrix_transform_alike(spark, span_ms, block):
+    rng = np.random.default_rng(span_ms)
+    times = sorted(rng.integers(0, span_ms * 1000, 400).tolist()) + [span_ms * 1000 - 500]
+    pts = points(spark, [(1, 1, t) for t in [0, *times]])
+    both = [sorted((r.k, r.freq_hz, r.magnitude) for r in spectral.fft_magnitude(pts, one_array=n, block=block).collect()) for n in (1 << 24, 0)]
+    assert [r[:2] for r in both[0]] == [r[:2] for r in both[1]] and len(both[0]) > 50
+    assert np.allclose([r[2] for r in both[0]], [r[2] for r in both[1]], rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 97, 1000])
+def test_the_turned_matrix_holds_every_place_once(n):
+    for block in (1, 8, 1 << 20):
+        m = spectral._Turned(n, block)
+        places = np.concatenate([m.places(j).ravel() for j in range(m.wide // m.columns)])
+        assert m.size >= 2 * n and sorted(places) == list(range(m.size)) and m.rows * m.wide <= max(block, m.wide)
+
+
+def test_offsets_run_on_over_many_files(spark):
+    files = spark.range(3000).selectExpr("id * 4294967296 AS packet_id", "id % 7 AS n").unionByName(spark.range(200_000).selectExpr("5 * 4294967296 + 1 + id AS packet_id", "id % 3 AS n"))
+    rows = windows.running_offsets(files, "packet_id", "n").toPandas().sort_values("packet_id")
+    ends = rows.n.cumsum().to_numpy()
+    assert (rows.end_event_idx.to_numpy() == ends).all() and (rows.start_event_idx.to_numpy() == ends - rows.n.to_numpy()).all()
+    assert (rows.packet_idx.to_numpy() == np.arange(len(rows))).all()
+
+
+def test_cells_are_worked_through_in_blocks():
+    rng, cfg = np.random.default_rng(3), MotionConfig(radius_px=3, window_ms=0.2, max_speed=40.0)
+    side, span, around = 12, 800, motion.offsets(cfg)
+    rows = [(int(x), int(y), int(t), int(c)) for x, y, t, c in zip(rng.integers(0, 60, 900), rng.integers(-30, 30, 900), rng.integers(-2000, 2000, 900), rng.integers(1, 4, 900))]
+    rows = list({r[:3]: r for r in rows}.values())
+    sent = sorted((cx, cy, tb, x, y, t, c) for x, y, t, c in rows for cx in range((x - 3) // side, (x + 3) // side + 1) for cy in range((y - 3) // side, (y + 3) // side + 1) for tb in range(t // span, (t + 200) // span + 1))
+    want = {}
+    for x, y, t, _ in rows:
+        near = [(x - a, y - b, c) for a, b, s, c in rows if 0 < t - s <= 200 and (x - a) ** 2 + (y - b) ** 2 <= 9 and ((x - a) ** 2 + (y - b) ** 2) * 1e6 <= 1600 * (t - s) ** 2]
+        if near:
+            want[x, y, t] = tuple(sum(f(dx, dy) * c for dx, dy, c in near) for f in (lambda a, b: 1, lambda a, b: a, lambda a, b: b, lambda a, b: a * a, lambda a, b: b * b, lambda a, b: a * b))
+    for size, block in ((10_000, 1 << 17), (7, 1), (50, 100), (1, 3)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sent[k : k + size])], names=list("abcdefg")) for k in range(0, len(sent), size)]
+        got = [tuple(r.values()) for b in motion.rank_batches(batches, cfg, around, block) for r in b.to_pylist()]
+        assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+
+
+def test_a_hot_pixel_costs_what_its_events_cost():
+    """Ten times the events on one pixel: pairs would be a hundred times as many, searches are ten times."""
+    cfg = MotionConfig()
+
+    def searches(n):
+        t = np.sort(np.random.default_rng(1).choice(40_000, n, replace=False)) + 4096
+        one, zero = np.ones(n, np.int64), np.zeros(n, np.int64)
+        calls = []
+        real = np.searchsorted
+        np.searchsorted = lambda keys, at, side="left": calls.append(len(at) * np.log2(len(keys) + 2)) or real(keys, at, side)
+        try:
+            (batch,) = motion._rank_sums([zero, zero, zero, 5 * one, 5 * one, t, one], cfg, motion.offsets(cfg))
+        finally:
+            np.searchsorted = real
+        expect = [int(((t < u) & (u - t <= 12_000)).sum()) for u in t]
+        got = dict(zip(batch.column("t").to_pylist(), batch.column("n").to_pylist()))
+        assert [got.get(int(u), 0) for u in t] == expect
+        return sum(calls), sum(expect)
+
+    (few, pairs), (many, more) = searches(800), searches(8000)
+    assert many < 15 * few and more > 60 * pairs
+
+
+def test_equal_events_and_nulls(spark):
+    rows = [(5, 5, 100)] * 50 + [(6, 5, 1100)] * 30 + [(None, 5, 100), (5, None, 100), (5, 5, None)]
+    got = motion.motion_filter(points(spark, rows).withColumns({c: F.lit("clash") for c in ("n", "a", "times", "cx", "sx")}), MotionConfig(support_only=True))
+    assert got.columns[4:9] == ["n", "a", "times", "cx", "sx"]
+    assert sorted((r.ord, r.neighbors, r.keep) for r in got.collect()) == [(k, 50 if 50 <= k < 80 else 0, 50 <= k < 80) for k in range(83)]
 
 
 def test_motion_filter_without_radius_keeps_nothing(spark):
