@@ -155,4 +155,4 @@ ORACLES: dict[str, str] = {
 }
 
 #: Events that went through capture files give the same tables.
-ORACLES |= {"capture_recording_events": ORACLES["recording_events"], "capture_recording_packets": ORACLES["recording_packets"], "capture_heatmap": ORACLES["pixel_heatmap"], "capture_throughput": ORACLES["throughput"]}
+ORACLES |= {"capture_recording_events": ORACLES["recording_events"], "capture_ranges": ORACLES["recording_events"], "capture_recording_packets": ORACLES["recording_packets"], "capture_heatmap": ORACLES["pixel_heatmap"], "capture_throughput": ORACLES["throughput"]}

@@ -14,7 +14,7 @@ from .functions.scalars import circular_distance, clamp, event_timestamp, grid_c
 from .plans.pipelines import offline, rejected
 from .scratch import scratch_path
 from .sources.adapter import camera_events, points
-from .sources.packets import explode_packets, group_packets, read_packets, write_packets
+from .sources.packets import explode_packets, group_packets, largest_file, read_packets, write_packets
 
 W = H = 320
 FLICKER = FlickerConfig()
@@ -144,6 +144,13 @@ def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_packets(read_packets(spark, path))
 
 
+def capture_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As capture_recording_events, from a capture that is read in 16 ranges a file, whose borders fall anywhere."""
+    path = scratch_path(spark, "capture")
+    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise="EVT noise")
+    return recording.record(explode_packets(read_packets(spark, path, split_bytes=max(64, largest_file(path) // 16))))[0]
+
+
 def _over_capture(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(capture_events(spark, sf_dir))
 
@@ -161,4 +168,4 @@ def _over_tables(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(camera_events(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()} | {name: _over_capture(query) for name, query in _BY_CAPTURE.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()} | {name: _over_capture(query) for name, query in _BY_CAPTURE.items()} | {"capture_ranges": capture_ranges}

@@ -3,6 +3,7 @@
 import io
 import os
 import struct
+import warnings
 import zlib
 
 import numpy as np
@@ -61,6 +62,90 @@ def test_ranges_of_a_file_have_its_packets_and_numbers(step):
         list(scan_packets(io.BytesIO(data), len(data), "FAILFAST"))
 
 
+def ranges_of(data, step):
+    """What index_packets makes of a file in memory: its ranges, settled, and how many headers were read for it."""
+    reads = []
+
+    class Counting(source._Bytes):
+        def hop(self, at, n):
+            reads.append(n > len(MAGIC))
+            return super().hop(at, n)
+
+    file = lambda: Counting(io.BytesIO(data), len(data))
+    rows = []
+    for begin in range(0, len(data), step):
+        found = source.parse_range(file(), begin, min(len(data), begin + step))
+        rows.append({"seq": 0, "before": 0, "begin": begin, "end": min(len(data), begin + step), "headers": len(found.places), "packets": int((found.counts >= 0).sum()), "exit": found.exit, "places": found.places.tolist(), "counts": found.counts.tolist()})
+    heads = [r | {c: r[c][: source.HEAD] for c in ("places", "counts")} for r in rows]
+    settled = list(source.settle(heads, file))
+    return [r | f for r, f in zip(rows, settled)], sum(reads)
+
+
+def placed(data, rows, mode="PERMISSIVE"):
+    return [(k, e.tolist()) for r in rows for k, e in source._placed(source._Bytes(io.BytesIO(data), len(data)), r, mode)]
+
+
+def whole(data):
+    return [(k, e.tolist()) for k, (_, e) in enumerate(decode_packets(data))]
+
+
+HIDDEN = tuple(int.from_bytes(MAGIC[k : k + 2], "little") for k in (0, 2))
+#: Magics inside payloads: a header that agrees (with a packet of its own), one that disagrees, one that reaches past the end.
+LURES = [[(*HIDDEN, 1, 0, 12, 0), (9, 9, 9, 9, 9, 9)], [(*HIDDEN, 1, 0, 13, 0)], [(*HIDDEN, 0, 4096, 0, 49152)], [(*HIDDEN, 0, 0, 0, 0)]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(LURES), st.just([]), st.just(A), st.just(B * 9), st.binary(max_size=9), st.just(MAGIC + HEADER.pack(1, 13)), st.just(MAGIC[:2])), max_size=14), st.integers(1, 90), st.integers(0, 30))
+def test_ranges_settle_to_the_scan_of_the_whole_file(parts, step, cut):
+    data = b"".join(p if isinstance(p, bytes) else encode_packet(p) for p in parts)
+    data = data[: len(data) - cut]
+    rows, _ = ranges_of(data, step)
+    assert placed(data, rows) == whole(data)
+
+
+def test_headers_are_read_once_at_any_number_of_ranges():
+    rng = np.random.default_rng(2)
+    data = b"".join(encode_packet(rng.integers(0, 65536, (rng.integers(0, 60), 6))) + (b"noise" if k % 7 == 0 else b"") for k in range(3000)) + encode_packet(A)[:-1]
+    _, once = ranges_of(data, len(data))
+    for n in (2, 16, 100):
+        rows, reads = ranges_of(data, -(-len(data) // n))
+        assert reads <= 1.2 * once and placed(data, rows) == whole(data)
+    lured = b"".join(encode_packet(LURES[k % 4] * 5) for k in range(3000))  # every border falls into a payload full of false magics
+    _, once = ranges_of(lured, len(lured))
+    rows, reads = ranges_of(lured, len(lured) // 16 - 1)
+    assert reads <= 1.2 * once and placed(lured, rows) == whole(lured)
+
+
+def test_a_range_that_never_joins_is_parsed_again():
+    false = encode_packet([(7, 7, 7, 7, 7, 7)])  # a train of packets inside one payload, parsed by every range but the first
+    inner = false * 400
+    data = encode_packet(np.frombuffer(inner[: len(inner) // 12 * 12], "<u2").reshape(-1, 6)) + encode_packet(B)
+    rows, _ = ranges_of(data, 1000)
+    assert placed(data, rows) == whole(data) and len(placed(data, rows)) == 2
+
+
+@pytest.mark.parametrize("split", [50, 333, 10_000])
+def test_captures_read_by_ranges(spark, tmp_path, split):
+    rng = np.random.default_rng(split)
+    for name in ("a.bin", "b.bin", "empty.bin"):
+        parts = [LURES[k % 4] if k % 3 else rng.integers(0, 65536, (rng.integers(0, 9), 6)) for k in range(60)]
+        (tmp_path / name).write_bytes(b"" if name == "empty.bin" else b"xx".join(map(encode_packet, parts)))
+    want = {(k << 32) + n: e for k, name in enumerate(("a.bin", "b.bin", "empty.bin")) for n, e in whole((tmp_path / name).read_bytes())}
+    got = read_packets(spark, str(tmp_path), split_bytes=split).collect()
+    assert {r.packet_id: [list(e) for e in r.events] for r in got} == want and len(got) == len(want) == 120
+    assert all(r.event_count == len(r.events) and r.payload_len == 12 * r.event_count for r in got)
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_bad_headers_end_the_read_only_if_asked(spark, tmp_path, split):
+    (tmp_path / "a.bin").write_bytes(encode_packet(LURES[1] * 9) + MAGIC + HEADER.pack(1, 13) + encode_packet(B))
+    assert read_packets(spark, str(tmp_path), split_bytes=split).count() == 2
+    with pytest.raises(Exception, match="13 payload bytes for 1 events"):
+        read_packets(spark, str(tmp_path), "FAILFAST", split).collect()
+    (tmp_path / "a.bin").write_bytes(encode_packet(LURES[1] * 9) + encode_packet(B))  # only a payload looks like a bad header
+    assert read_packets(spark, str(tmp_path), "FAILFAST", split).count() == 2
+
+
 def test_scanning_holds_no_more_than_its_read_ahead(monkeypatch):
     monkeypatch.setattr(source._Bytes, "AHEAD", 64)
     data = (b"y" * 200 + encode_packet(A) + MAGIC[:3]) * 30
@@ -104,8 +189,16 @@ def test_files_are_taken_once_in_any_order(tmp_path):
     got, two = take(one)
     assert got == [("a.bin", 1), ("c.bin", 2)] and take(two) == ([], two)
     assert [r[1] for r in CaptureStream({"path": str(tmp_path)}).readBetweenOffsets(one, two)] == [1, 2]
-    put("old.bin", 30 * 86_400 * 10**9)  # beyond the age at which names are let go
-    assert take(two) == ([], two)
+    put("old.bin", 30 * 86_400 * 10**9)
+    got, three = take(two)  # no age is too old, unless one is given
+    assert got == [("old.bin", 3)] and take(three) == ([], three)
+    aged = CaptureStream({"path": str(tmp_path), "maxFilesPerTrigger": "5", "maxFileAgeDays": "7"})
+    with pytest.warns(UserWarning, match="old.bin"):
+        rows, end = aged.read(two)
+    assert not list(rows) and end == two
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert aged.read(two)[1] == two  # told once
 
 
 def test_recordings_take_level_and_chunk(spark, tmp_path):
