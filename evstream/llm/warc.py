@@ -12,6 +12,10 @@ a task lost and run again leaves no half archive. Every record is a member of it
 Header values hold no control characters and no spaces at their ends: on writing, those are percent-encoded (an
 URL's line break becomes %0D%0A), and they are read back as written. A null URL has no header and is read as null.
 
+A file that ends inside a record (what a lost writer leaves elsewhere) ends the read with an error that names file and position, in
+every compression. An empty table of pages makes archives without a response. Of pages, only page_id (of any type), url and html
+are read, so that other columns cannot clash.
+
 Paths are URIs that pyarrow's file systems open (file, s3, gs, hdfs); the folder must be shared.
 """
 
@@ -43,6 +47,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
+PAGE, NO_PAGE = "urn:page:", "urn:no-page"  # record ids of pages with an id of any type, percent-encoded, and without
 _END = b"\r\n\r\n"
 _UNFIT = re.compile(r"[\x00-\x1f\x7f]|^ +| +$")
 
@@ -58,8 +63,8 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class _Window:
     """Random access with one read-ahead buffer."""
 
-    def __init__(self, file, size: int) -> None:
-        self.file, self.size, self.at, self.held = file, size, 0, b""
+    def __init__(self, file, size: int, name: str = "") -> None:
+        self.file, self.size, self.name, self.at, self.held = file, size, name, 0, b""
 
     def get(self, at: int, n: int) -> bytes:
         if not self.at <= at <= at + n <= self.at + len(self.held):
@@ -67,18 +72,27 @@ class _Window:
             self.at, self.held = at, self.file.read(min(max(n, 1 << 18), self.size - at))
         return self.held[at - self.at : at - self.at + n]
 
+    def cut(self, at: int) -> ValueError:
+        return ValueError(f"{self.name}: the archive ends inside the record at {at}")
+
 
 def zstd_frame_bytes(window: _Window, at: int) -> int:
     """Length of the zstd frame at a place, from its frame and block headers alone."""
-    head = window.get(at, min(18, window.size - at))
-    flags = head[4]
+    if window.size - at < 6:
+        raise window.cut(at)
+    flags = window.get(at, 5)[4]
     single = flags >> 5 & 1
     pos = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + ((single, 2, 4, 8)[flags >> 6])
-    while True:
+    last = 0
+    while not last:
+        if pos + 3 > window.size:
+            raise window.cut(at)
         block = int.from_bytes(window.get(pos, 3), "little")
         pos += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-        if block & 1:
-            return pos + 4 * (flags >> 2 & 1) - at
+        last = block & 1
+    if (end := pos + 4 * (flags >> 2 & 1)) > window.size:
+        raise window.cut(at)
+    return end - at
 
 
 @dataclass
@@ -103,24 +117,26 @@ def _parse(raw: bytes) -> dict[str, str]:
     return out
 
 
-def _length(headers: dict[str, str], at: int) -> int:
+def _length(headers: dict[str, str], window: _Window, at: int) -> int:
     if not headers.get("content-length", "").isdigit():
-        raise ValueError(f"the record at {at} has no length")
+        raise ValueError(f"{window.name}: the record at {at} has no length")
     return int(headers["content-length"])
 
 
 def records(window: _Window, compression: str) -> Iterator[_Record]:
-    """All records of a file in order; blocks are decoded only when asked for."""
+    """All records of a file in order; blocks are decoded only when asked for. A file that ends inside a record is an error that names it."""
     at = 0
     while at < window.size:
         if compression == "none":
             n = 1024
             while (cut := (raw := window.get(at, min(n, window.size - at))).find(_END)) < 0:
-                if n > window.size:
-                    raise ValueError(f"no end of the headers at {at}")
+                if n > window.size - at:
+                    raise window.cut(at)
                 n *= 4
             headers, first = _parse(raw[:cut]), at + cut + 4
-            length = _length(headers, at)
+            length = _length(headers, window, at)
+            if first + length + 4 > window.size:
+                raise window.cut(at)
             yield _Record(at, first + length + 4, headers, lambda a=first, n=length: window.get(a, n))
             at = first + length + 4
         elif compression == "zstd":
@@ -128,29 +144,33 @@ def records(window: _Window, compression: str) -> Iterator[_Record]:
             inflate, raw, fed = zstandard.ZstdDecompressor().decompressobj(), b"", 0
             while _END not in raw:
                 if fed >= size:
-                    raise ValueError(f"no end of the headers at {at}")
+                    raise ValueError(f"{window.name}: no end of the headers at {at}")
                 n = min(4096, size - fed)
                 raw += inflate.decompress(window.get(at + fed, n))
                 fed += n
             cut = raw.find(_END)
             headers = _parse(raw[:cut])
-            whole = lambda a=at, n=size, c=cut + 4, k=_length(headers, at): zstandard.ZstdDecompressor().decompressobj().decompress(window.get(a, n))[c : c + k]
+            whole = lambda a=at, n=size, c=cut + 4, k=_length(headers, window, at): zstandard.ZstdDecompressor().decompressobj().decompress(window.get(a, n))[c : c + k]
             yield _Record(at, at + size, headers, whole)
             at += size
         else:  # a gzip member's end is known only by inflating it, which is done piece by piece and not kept unless asked for
             inflate, raw, pos = zlib.decompressobj(31), b"", at
             while _END not in raw:
-                if inflate.eof or pos >= window.size:
-                    raise ValueError(f"no end of the headers at {at}")
+                if inflate.eof:
+                    raise ValueError(f"{window.name}: no end of the headers at {at}")
+                if pos >= window.size:
+                    raise window.cut(at)
                 piece = window.get(pos, min(4096, window.size - pos))
                 raw += inflate.decompress(piece)
                 pos += len(piece)
             headers, cut, state = _parse(raw[: raw.find(_END)]), raw.find(_END) + 4, {"raw": raw}
 
-            def rest(keep: bool, inflate=inflate, state=state, start=pos) -> int:
+            def rest(keep: bool, inflate=inflate, state=state, start=pos, at=at) -> int:
                 pos = state.setdefault("pos", start)
                 parts = [state["raw"]]
                 while not inflate.eof:
+                    if pos >= window.size:
+                        raise window.cut(at)
                     piece = window.get(pos, min(1 << 16, window.size - pos))
                     part = inflate.decompress(piece)
                     pos += len(piece)
@@ -159,7 +179,7 @@ def records(window: _Window, compression: str) -> Iterator[_Record]:
                 state.update(pos=pos, raw=b"".join(parts) if keep else state["raw"])
                 return pos - len(inflate.unused_data)
 
-            yield _Record(at, -1, headers, lambda rest=rest, state=state, c=cut, n=_length(headers, at): (rest(True), state["raw"][c : c + n])[1])
+            yield _Record(at, -1, headers, lambda rest=rest, state=state, c=cut, n=_length(headers, window, at): (rest(True), state["raw"][c : c + n])[1])
             at = rest(False)
 
 
@@ -235,7 +255,7 @@ class WarcReader(DataSourceReader):
         for path, size in partition.files if partition else []:
             compression = next(k for k, e in ENDINGS.items() if path.endswith(e))
             with system.open_input_file(path) as file:
-                for record in records(_Window(file, size), compression):
+                for record in records(_Window(file, size, path), compression):
                     row = {HEADERS[k]: v for k, v in record.headers.items() if k in HEADERS}
                     for name in ("record_id", "refers_to"):
                         if name in row:
@@ -353,7 +373,7 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     groups = materialize(groups.where("n > 1 and first is not null").select("sha", "first"), "equal-payloads")
     rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "sha", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    urn = lambda c: F.coalesce(F.concat(F.lit(PAGE), F.url_encode(F.col(c).cast("string"))), F.lit(NO_PAGE))
     return rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), urn("page_id").alias("record_id"), "target_uri", F.lit("1970-01-01T00:00:00Z").alias("record_date"),
         base32_of_hex(F.col("payload_digest")).alias("payload_digest"), "payload_bytes", F.when(again, urn("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"),
@@ -376,5 +396,5 @@ def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, compression: str
     path = scratch_path(pages.sparkSession, "warc")
     write_warc(page_records(pages, min_revisit_bytes), path, compression)
     read = read_warc(pages.sparkSession, path, "verify").where(F.col("record_type").isin("response", "revisit"))
-    page = lambda c: F.nullif(F.replace(F.col(c), F.lit("urn:page:"), F.lit("")), F.lit("")).cast("long")
+    page = lambda c: F.when(F.startswith(F.col(c), F.lit(PAGE)), F.url_decode(F.substr(F.col(c), F.lit(len(PAGE) + 1)))).cast(pages.schema["page_id"].dataType)
     return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
