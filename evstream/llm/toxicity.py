@@ -10,13 +10,14 @@ Training takes a bounded number of labelled rows (`max_rows` and `max_bytes`, th
 doc_id, so that the choice depends on no order; a text that would pass the bound on bytes is left out whole); scoring takes every row and whole text. Null or empty text
 gets the score of no evidence. Null labels and labels without a document are not learned from; repeated
 labels count as often as they stand. Without any usable label every score is 0.5. Nothing but text
-enters a score. An empty table gives an empty table.
+enters a score. Rows that repeat, or whose scores are equal, are scored alike. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +32,15 @@ MAX_ROWS = 6000
 MAX_BYTES = 64 << 20
 MEMO_WORDS = 200_000
 BUCKETS = 1 << 18
-DIMENSIONS = 8
+DIMENSIONS = 4
 GRAMS = (3, 4, 5)
 SCALE = 10.0
-STEPS = 600
-RATE = 1.0
-SHRINK = 0.25
+MODELS = 3
+STEPS = 300
+AVERAGED = 0.5  # the share of the last steps whose models are averaged
+RATE = 0.1
+FLOOR = 0.02  # added to the size of a gradient, so that noise in small ones is not made large
+SHRINK = 4.0
 COMMON = 0.005
 BATCH = 200
 THRESHOLD = 0.7
@@ -89,26 +93,36 @@ class SubwordModel:
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = BUCKETS) -> SubwordModel:
-    """Embeddings (buckets x dimensions) and softmax at once: minibatch descent with momentum on the cross entropy.
+    """The mean of MODELS models, which differ in where they begin and in the order of the texts: less depends on either, or on the order of sums."""
+    if not texts:
+        return SubwordModel(np.zeros(buckets), 0.0)
+    live, share, docs = _live_bags(texts, buckets)
+    with ThreadPoolExecutor(MODELS) as pool:
+        found = list(pool.map(lambda k: _descend(docs, share, np.asarray(labels, np.int64), np.random.default_rng(seed + k)), range(MODELS)))
+    gains = np.zeros(buckets)
+    gains[live] = np.mean([f[0] for f in found], 0)
+    return SubwordModel(gains, float(np.mean([f[1] for f in found])))
+
+
+def _descend(docs: list[tuple[np.ndarray, np.ndarray]], share: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Gains of the live buckets and bias. Embeddings (buckets x dimensions) and softmax at once: minibatch descent on the cross entropy,
+    in steps by the mean and the size of each gradient so far.
 
     N-grams count by the inverse root of their share, and each step shrinks all embeddings by a fixed
     length: what does not keep earning its place in many texts goes to zero, so nothing is learned by heart.
+    The models of the last steps are averaged.
     """
-    if not texts:
-        return SubwordModel(np.zeros(buckets), 0.0)
-    rng = np.random.default_rng(seed)
-    epochs = -(-STEPS // -(-len(texts) // BATCH))
-    live, share, docs = _live_bags(texts, buckets)
-    target = np.asarray(labels, np.int64)
+    epochs = -(-STEPS // -(-len(docs) // BATCH))
     lift = ((np.maximum(share, 1e-12) / len(docs)) ** -0.5).astype(np.float32)
-    embed = rng.normal(0, 0.1, (len(live), DIMENSIONS)).astype(np.float32)
+    embed = rng.normal(0, 0.1, (len(share), DIMENSIONS)).astype(np.float32)
     top = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     base = np.log(np.maximum(np.bincount(target, minlength=2), 1) / len(target)).astype(np.float32)
     params = [embed, top, base]
-    speed = [np.zeros_like(p) for p in params]
-    step, total = 0, epochs * -(-len(texts) // BATCH)
+    speed, size = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    step, total = 0, epochs * -(-len(docs) // BATCH)
+    gains, bias, averaged = np.zeros(len(share)), 0.0, 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(docs))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
             sizes = np.array([len(docs[r][0]) for r in rows])
@@ -124,18 +138,20 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, buckets: int = B
             soft[np.arange(len(rows)), target[rows]] -= 1
             soft /= len(rows)
             back = SCALE * (soft @ top.T)
-            by_bucket = np.stack([np.bincount(bucket, back[doc, d] * weight, len(live)) for d in range(DIMENSIONS)], 1) * lift[:, None]
+            by_bucket = np.stack([np.bincount(bucket, back[doc, d] * weight, len(share)) for d in range(DIMENSIONS)], 1) * lift[:, None]
             step += 1
             rate = RATE * (1 - (step - 1) / total)
-            for param, pace, grad in zip(params, speed, (by_bucket, mean.T @ soft, soft.sum(0))):
-                pace *= 0.9
-                pace += 0.1 * grad
-                param -= rate * pace
+            for param, pace, square, grad in zip(params, speed, size, (by_bucket, mean.T @ soft, soft.sum(0))):
+                pace += 0.1 * (grad - pace)
+                square += 0.01 * (grad * grad - square)
+                param -= rate * (pace / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + FLOOR)
             norm = np.sqrt((embed**2).sum(1, keepdims=True)) + 1e-12
-            embed *= np.maximum(0, 1 - rate * SHRINK / np.sqrt(len(texts)) / norm)
-    gains = np.zeros(buckets)
-    gains[live] = SCALE * lift * (embed.astype(np.float64) @ (top[:, 1] - top[:, 0]).astype(np.float64))
-    return SubwordModel(gains, float(base[1] - base[0]))
+            embed *= np.maximum(0, 1 - rate * SHRINK / np.sqrt(len(docs)) / norm)
+            if step > total * (1 - AVERAGED):
+                gains += embed.astype(np.float64) @ (top[:, 1] - top[:, 0]).astype(np.float64)
+                bias += float(base[1] - base[0])
+                averaged += 1
+    return SCALE * lift * gains / averaged, bias / averaged
 
 
 def _live_bags(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import re
 import zlib
 
@@ -36,6 +37,28 @@ def test_held_out_accuracy(spark, model):
     assert all((r.score >= 0.7) == bool(r.predicted) and 0 <= r.score <= 1 for r in scored)
 
 
+def test_training_hangs_on_no_order_of_sums(spark):
+    """Batches whose texts stand in another order: the same steps but for rounding."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").where("toxic is not null")
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    texts, marks = [r.text.encode() for r in rows], [r.toxic for r in rows]
+
+    class Backwards:
+        def __init__(self, seed):
+            self.rng = np.random.default_rng(seed)
+
+        def normal(self, *a):
+            return self.rng.normal(*a)
+
+        def permutation(self, n):
+            order = self.rng.permutation(n)
+            return np.concatenate([order[k : k + toxicity.BATCH][::-1] for k in range(0, n, toxicity.BATCH)])
+
+    live, share, bags = toxicity._live_bags(texts, toxicity.BUCKETS)
+    one, two = (toxicity._descend(bags, share, np.array(marks), rng)[0] for rng in (np.random.default_rng(3), Backwards(3)))
+    assert len(live) > 100 and np.corrcoef(one, two)[0, 1] > 0.99
+
+
 def plain_score(text, model):
     """The mean over the words of the mean over their buckets, one bucket after another."""
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
@@ -255,6 +278,33 @@ def test_a_wrong_payload_is_found(spark, tmp_path):
         warc.read_warc(spark, path).collect()
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip", "zstd"])
+def test_a_cut_archive_is_an_error_that_names_it(spark, tmp_path, compression):
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(k, f"u{k}", "".join(map(chr, rng.integers(40, 120, 150_000)))) for k in range(2)], PAGES)  # several blocks of zstd
+    warc.write_warc(warc.page_records(pages.coalesce(1)), f"file://{tmp_path}/w", compression)
+    (whole,) = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(warc.ENDINGS[compression])]
+    raw = whole.read_bytes()
+    starts = [r.position for r in warc.records(warc._Window(io.BytesIO(raw), len(raw)), compression)]
+    assert len(starts) == 3
+    for cut in [*range(len(raw) - 1, len(raw) - 40, -3), starts[2] + 70_000, *range(starts[2] + 1, starts[2] + 400, 13)]:
+        short = raw[:cut]
+        with pytest.raises(ValueError, match=f"a.warc: .*record at {starts[2]}"):
+            for record in warc.records(warc._Window(io.BytesIO(short), len(short), "a.warc"), compression):
+                record.body()
+    whole.write_bytes(raw[: starts[2] + 70_000])
+    for payload in ("full", "headers"):
+        with pytest.raises(Exception, match=whole.name):
+            warc.read_warc(spark, f"file://{tmp_path}/w", payload).collect()
+
+
+def test_page_ids_of_any_type(spark):
+    ids = ["a", "b c ", "urn:page:1", "é<>", " ", "", None]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids] + [("zz", "u", "own")], PAGES.replace("page_id long", "page_id string"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_pages(pages.withColumn("first", F.lit("clash"))).collect()}
+    assert got == {i: ("response", None) if i in ("", "zz") else ("revisit", "") for i in [*ids, "zz"]}
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
