@@ -185,7 +185,7 @@ def near_components(prints: DataFrame, radius: int = RADIUS, segments: int | Non
 
 def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """One row per document: doc_id, key, fingerprint (16 hex digits), component_id (smallest doc_id that links reach) and kept (the
-    row with that doc_id, of several the one with the smallest key; rows without a doc_id stay)."""
+    row with that doc_id, of several the one with the smallest key; where no row has a doc_id, the one with the smallest key)."""
     prints = materialize(fingerprints(docs, text, size), "fp")
     near = near_components(prints, radius, segments)
     lowest = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
@@ -193,7 +193,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORD
     components = materialize(rooted.groupBy("root").agg(F.min("low").alias("first")), "by-root")
     named = materialize(rooted.join(components, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")), "named")
     discard(rooted, components)
-    kept = F.col("doc_id").isNull() | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first_key")), F.lit(False))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("first_key"))
     return prints.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
 
 

@@ -326,11 +326,41 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "packing"]
 
 
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls, repeated rows, near copies without an id, clashing columns: every stage keeps one of each group, and packing holds it once."""
+    words = " ".join(f"word{k}" for k in range(400))
+    more = [(None, words, "en", "a", 1), (None, words + " end", "en", "a", 1), (70, words + " stop", "en", "a", 1), (71, words + " stop", "en", "b", 1)]
+    docs = odd_documents(spark)
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(extra, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")  # nothing to learn from: every score is 0.5
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    texts = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        texts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
+    from evstream.llm.simhash import simhash
+
+    left = list(texts.values())
+    fp = np.array([simhash((t or "").encode()) for _, t in left], np.int64).view(np.uint64)
+    forest = UnionFind()
+    for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))):
+        forest.union(int(a), int(b))
+    want = [left[k][0] for k in range(len(left)) if forest.find(k) == k]
+    assert sorted((r.doc_id for r in got if r.piece == 0), key=str) == sorted(want, key=str) and len(want) < len(left)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert len({p[:2] for p in places}) == len(places)
+    no_documents(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    table(spark, SF, "labels").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
