@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed sequences: toxic documents out, one of equal texts, one of near-duplicates, best-fit packing."""
+"""A corpus from raw documents to packed sequences: toxic documents out, one of equal texts, one of near-duplicates, best-fit packing.
+
+Null text counts as empty in every stage; an empty text has the score of no evidence, equals other empty texts, has the
+fingerprint zero and is packed as its end mark. Of equal texts and of near copies the row with the smallest doc_id stays
+(a row without one only where no other is there); of repeated rows, one. Very long texts are taken whole, and packing cuts
+them into pieces. Columns beside doc_id and text are carried along as they are, whatever their names, up to packing,
+which returns its own. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
