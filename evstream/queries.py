@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import FlickerConfig, FrameConfig, MotionConfig, PhaseConfig, PreviewConfig
+from .config import FlickerConfig, FrameConfig, MotionConfig, PhaseConfig, PreviewConfig, RecordingConfig
 from .operators import frames, motion, phase, recording, signal, spectral, stats, windows
 from .oracles import ORACLES
 from .functions.scalars import circular_distance, clamp, event_timestamp, grid_cell, phase_bin, quantize, tile_id
 from .plans.pipelines import offline, rejected
 from .scratch import scratch_path
+from .sinks.film import read_film, write_film
 from .sources.adapter import camera_events, points
-from .sources.packets import explode_packets, group_packets, largest_file, read_packets, write_packets
+from .sources.packets import capture_files, explode_packets, group_packets, read_packets, write_packets
+from .streaming import ticks
+from .streaming.buffer import buffered, packet_heads
+from .streaming.preview import decaying_preview, packet_deltas, preview_frame
+from .streaming.recorder import Recorder
+from .streaming.replay import replay, replayed_packets, run_to_end
 
 W = H = 320
 FLICKER = FlickerConfig()
@@ -136,19 +142,60 @@ _BY_EVENTS: dict[str, Query] = {
 }
 
 
-def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' events, written as capture files with noise between the packets and read back through the packet source."""
+def _capture(spark: SparkSession, sf_dir: str) -> str:
+    """The tables' events as capture files, with noise between the packets."""
     path = scratch_path(spark, "capture")
-    packets = group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id")
-    write_packets(packets, path, noise="EVT noise")
-    return explode_packets(read_packets(spark, path))
+    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise="EVT noise")
+    return path
+
+
+def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' events, written as capture files and read back through the packet source."""
+    return explode_packets(read_packets(spark, _capture(spark, sf_dir)))
 
 
 def capture_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As capture_recording_events, from a capture that is read in 16 ranges a file, whose borders fall anywhere."""
-    path = scratch_path(spark, "capture")
-    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise="EVT noise")
-    return recording.record(explode_packets(read_packets(spark, path, split_bytes=max(64, largest_file(path) // 16))))[0]
+    path = _capture(spark, sf_dir)
+    split = max(64, max(size for _, size in capture_files(path)) // 16)
+    return recording.record(explode_packets(read_packets(spark, path, split_bytes=split)))[0]
+
+
+def film_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-sided film of frame_series written as image files and read back: lit pixels and the sum of their levels, of frames that have any."""
+    path, rows = scratch_path(spark, "film"), motion_rows(camera_events(spark, sf_dir), STRICT)
+    write_film(frames.frame_series(rows), frames.frame_spine(rows), path)
+    return read_film(spark, path).groupBy("side", "frame_idx").agg(F.count("*").alias("lit"), F.sum("level").alias("total"))
+
+
+def stream_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recording_events, recorded micro-batch by micro-batch from a capture that runs as a stream."""
+    path = scratch_path(spark, "recorded")
+    recorder = Recorder(spark, path, RecordingConfig())
+    run_to_end(replayed_packets(spark, _capture(spark, sf_dir)), recorder.write)
+    return spark.read.parquet(f"{path}/events").drop("batch")
+
+
+def stream_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As decay_frame, from the pixels' states after a stream's last packet."""
+    events = explode_packets(replayed_packets(spark, _capture(spark, sf_dir)))
+    pixels = replay(decaying_preview(packet_deltas(events)), "update")
+    return preview_frame(pixels).select("y", "x", r6("acc"), "level")
+
+
+def _buffer(spark: SparkSession, sf_dir: str, history_us: int, by: str) -> DataFrame:
+    """What a buffer holds after the last packet of a stream; a packet arrives at the time of its latest event."""
+    heads = packet_heads(replayed_packets(spark, _capture(spark, sf_dir))).withColumn("arrival_us", F.col("latest"))
+    states = replay(buffered(heads, history_us, by=by), "update")
+    last = F.max_by(F.struct("packets", "events", "oldest_packet", "newest_packet", "latest"), "tick").alias("s")
+    return states.groupBy("sensor").agg(last).select("sensor", "s.*")
+
+
+def stream_tick_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tick_windows, for the ticks that the stream's clock, a second behind its latest event, has passed."""
+    events = explode_packets(replayed_packets(spark, _capture(spark, sf_dir))).select(F.lit("camera").alias("sensor"), "ord", "t_us")
+    rows = replay(ticks.tick_windows(events, 33_333, 100_000))
+    return rows.groupBy("tick").agg(F.count("*").alias("n"), F.min("t_us").alias("oldest"), F.max("t_us").alias("newest"))
 
 
 def _over_capture(query: Query) -> Callable[[SparkSession, str], DataFrame]:
@@ -164,8 +211,20 @@ _BY_CAPTURE: dict[str, Query] = {
 }
 
 
+#: Over files that are written first, and captures that run as streams to their end.
+_THROUGH_FILES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "capture_ranges": capture_ranges,
+    "film_files": film_files,
+    "stream_recording": stream_recording,
+    "stream_preview": stream_preview,
+    "stream_arrival_buffer": lambda spark, sf_dir: _buffer(spark, sf_dir, 500_000, "arrival"),
+    "stream_event_buffer": lambda spark, sf_dir: _buffer(spark, sf_dir, 500_000, "event"),
+    "stream_tick_windows": stream_tick_windows,
+}
+
+
 def _over_tables(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(camera_events(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()} | {name: _over_capture(query) for name, query in _BY_CAPTURE.items()} | {"capture_ranges": capture_ranges}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _over_tables(query) for name, query in _BY_EVENTS.items()} | {name: _over_capture(query) for name, query in _BY_CAPTURE.items()} | _THROUGH_FILES

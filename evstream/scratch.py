@@ -30,9 +30,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = store(spark, path)
+    return fs.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    fs, where = store(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = store(spark, path)
+    fs.mkdirs(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = store(spark, path)
+    fs.delete(where, True)
     if (spark, path) in _written:
         _written.remove((spark, path))
 

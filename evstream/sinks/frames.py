@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ def dense(frame: DataFrame, sensor: Sensor = Sensor(), default: int = GREY) -> n
     return out
 
 
-def write_png(image: np.ndarray, path: str, resize: int = 1) -> None:
+def encode_png(image: np.ndarray, resize: int = 1) -> bytes:
     """An 8-bit grey or RGB image, each pixel enlarged resize times."""
     if resize > 1:
         image = image.repeat(resize, 0).repeat(resize, 1)
@@ -41,8 +42,24 @@ def write_png(image: np.ndarray, path: str, resize: int = 1) -> None:
     raw = b"".join(b"\0" + image[y].tobytes() for y in range(h))
     part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def decode_png(file: BinaryIO) -> np.ndarray:
+    """A grey image that encode_png wrote: rows without a filter."""
+    raw = file.read()
+    pos, parts = 8, {}
+    while pos < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, pos)
+        parts[kind] = parts.get(kind, b"") + raw[pos + 8 : pos + 8 + size]
+        pos += 12 + size
+    w, h = struct.unpack_from(">II", parts[b"IHDR"])
+    return np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, w + 1)[:, 1:]
+
+
+def write_png(image: np.ndarray, path: str, resize: int = 1) -> None:
     with open(path, "wb") as out:
-        out.write(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
+        out.write(encode_png(image, resize))
 
 
 def snapshot(frame: DataFrame, cfg: PreviewConfig, folder: str, sensor: Sensor = Sensor()) -> str:

@@ -99,9 +99,9 @@ def _files(uri: str) -> list[tuple[str, int, int]]:
     return sorted((i.path, i.size, i.mtime_ns or 0) for i in infos if i.type == pafs.FileType.File and "/_temporary/" not in i.path)
 
 
-def largest_file(uri: str) -> int:
-    """Bytes of the largest capture file."""
-    return max((size for _, size, _ in _files(uri)), default=0)
+def capture_files(uri: str) -> list[tuple[str, int]]:
+    """Path and size of the capture files below a folder, by name."""
+    return [(path, size) for path, size, _ in _files(uri)]
 
 
 class _Bytes:
@@ -351,7 +351,7 @@ class CaptureSource(DataSource):
 
 
 class CaptureStream(SimpleDataSourceStreamReader):
-    """New capture files of a folder, some a micro-batch, by time of change and name.
+    """New capture files of a folder, some a micro-batch, by time of change and name, or with order=name by name.
 
     The offset names the files taken, with their numbers, so a file is taken once whatever order files come in. With
     maxFileAgeDays (none, unless given), names older than that against the newest file taken are let go, which keeps the
@@ -361,6 +361,7 @@ class CaptureStream(SimpleDataSourceStreamReader):
     def __init__(self, options) -> None:
         days = options.get("maxFileAgeDays", None)
         self.uri, self.most, self.age = options["path"], int(options.get("maxFilesPerTrigger", "1")), None if days is None else int(float(days) * 86_400e9)
+        self.by_name = options.get("order", "time") == "name"
         self.known: set[str] = set()  # names let go, or told of, by this reader
 
     def initialOffset(self) -> dict:
@@ -372,10 +373,10 @@ class CaptureStream(SimpleDataSourceStreamReader):
         if left := sorted(path for path, _, changed in files if changed < oldest and path not in self.known):
             self.known.update(left)
             warnings.warn(f"older than maxFileAgeDays and not among the names remembered, so not read: {', '.join(left)}", stacklevel=2)
-        new = sorted((changed, path, size) for path, size, changed in files if changed >= oldest)[: self.most]
+        new = sorted(((changed, path, size) for path, size, changed in files if changed >= oldest), key=lambda f: f[1] if self.by_name else f)[: self.most]
         if not new:
             return iter([]), start
-        newest = max(start["newest"], new[-1][0])
+        newest = max(start["newest"], *(changed for changed, _, _ in new))
         kept = {path: own for path, own in start["taken"].items() if self.age is None or own["changed"] >= newest - self.age}
         self.known.update(start["taken"].keys() - kept.keys())
         taken = kept | {path: {"number": start["files"] + k, "size": size, "changed": changed} for k, (changed, path, size) in enumerate(new)}
@@ -475,10 +476,10 @@ def write_packets(packets: DataFrame, path: str, noise: str = "") -> None:
     packets.write.format("event_packets").option("noise", noise).mode("append").save(path)
 
 
-def stream_packets(spark: SparkSession, path: str, mode: str = "PERMISSIVE", files_per_trigger: int = 1) -> DataFrame:
+def stream_packets(spark: SparkSession, path: str, mode: str = "PERMISSIVE", files_per_trigger: int = 1, order: str = "time") -> DataFrame:
     """Packets of a folder's capture files as they come, a file a task, numbered as read_packets does by the order in which files were taken."""
     spark.dataSource.register(CaptureSource)
-    found = spark.readStream.format("event_captures").option("maxFilesPerTrigger", str(files_per_trigger)).load(path)
+    found = spark.readStream.format("event_captures").option("maxFilesPerTrigger", str(files_per_trigger)).option("order", order).load(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,15 +17,18 @@ class PacketBuffer(StatefulProcessor):
     """Keeps packets by arrival time or by event time and at most max_packets; reports what it holds after each batch.
 
     By arrival: packets that arrived before the newest arrival less the history go. By event time: packets leave
-    from the head only, while their latest event is before the newest packet's less the window.
+    from the head only, while their latest event is before the newest packet's less the window. By clock: as by arrival, and
+    packets also go when the history has passed since they came, though no other comes: a processing-time timer is set for the
+    oldest, and what is left is reported when it fires.
     """
 
     def __init__(self, history_us: int, max_packets: int, by: str = "arrival") -> None:
-        if by not in ("arrival", "event"):
-            raise ValueError(f"by: {by}; arrival or event")
+        if by not in ("arrival", "event", "clock"):
+            raise ValueError(f"by: {by}; arrival, event or clock")
         self.history_us, self.max_packets, self.by = history_us, max_packets, by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.packets = handle.getListState("packets", STATE)
         self.ticks = handle.getValueState("ticks", "tick long")
 
@@ -33,13 +36,13 @@ class PacketBuffer(StatefulProcessor):
         """What stays of packets in order of arrival."""
         if not held:
             return held
-        if self.by == "arrival":
-            newest = max(p[2] for p in held)
-            held = [p for p in held if p[2] >= newest - self.history_us]
-        else:
+        if self.by == "event":
             cut = held[-1][1] - self.history_us
             first = next(k for k, p in enumerate(held) if p[1] >= cut)
             held = held[first:]
+        else:
+            newest = max(p[2] for p in held)
+            held = [p for p in held if p[2] >= newest - self.history_us]
         return held[-self.max_packets :] if self.max_packets else held
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -47,18 +50,36 @@ class PacketBuffer(StatefulProcessor):
         new = [tuple(map(int, r)) for pdf in rows for r in pdf[["packet_id", "latest", "arrival_us", "events"]].itertuples(index=False)]
         for packet in sorted(new):
             held = self.keep([*held, packet])
-        self.packets.put(held)
+        yield self._hold(key, held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        yield self._hold(key, [p for p in self.packets.get() if p[2] >= now - self.history_us])
+
+    def _hold(self, key, held: list[tuple]) -> pd.DataFrame:
+        if held:
+            self.packets.put(held)
+        else:
+            self.packets.clear()
+        if self.by == "clock":
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:  # the first millisecond at which the oldest is too old
+                self.handle.registerTimer((min(p[2] for p in held) + self.history_us) // 1000 + 1)
         tick = (self.ticks.get()[0] if self.ticks.exists() else 0) + 1
         self.ticks.update((tick,))
-        yield pd.DataFrame([{"sensor": key[0], "tick": tick, "packets": len(held), "events": sum(p[3] for p in held), "oldest_packet": held[0][0], "newest_packet": held[-1][0], "latest": held[-1][1]}])
+        ends = {"oldest_packet": held[0][0], "newest_packet": held[-1][0], "latest": held[-1][1]} if held else dict.fromkeys(("oldest_packet", "newest_packet", "latest"))
+        return pd.DataFrame([{"sensor": key[0], "tick": tick, "packets": len(held), "events": sum(p[3] for p in held)} | ends]).astype(dict.fromkeys(ends, "Int64"))
 
     def close(self) -> None:
         pass
 
 
 def buffered(packets: DataFrame, history_us: int, max_packets: int = 0, by: str = "arrival") -> DataFrame:
-    """Streaming packets (sensor, packet_id, latest, arrival_us, events) to the state of each sensor's buffer after every micro-batch. Needs the RocksDB state store."""
-    return packets.groupBy("sensor").transformWithStateInPandas(statefulProcessor=PacketBuffer(history_us, max_packets, by), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    """Streaming packets (sensor, packet_id, latest, arrival_us, events) to the state of each sensor's buffer after every micro-batch, and
+    by clock whenever packets leave. Needs the RocksDB state store."""
+    time = "ProcessingTime" if by == "clock" else "None"
+    return packets.groupBy("sensor").transformWithStateInPandas(statefulProcessor=PacketBuffer(history_us, max_packets, by), outputStructType=OUTPUT, outputMode="Update", timeMode=time)
 
 
 def packet_heads(packets: DataFrame, sensor: str = "camera") -> DataFrame:

@@ -1,60 +1,88 @@
-"""The decaying preview as keyed state: one accumulator a pixel."""
+"""The decaying preview as keyed state: one accumulator and a ring of packets a pixel."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import PreviewConfig, Sensor
-from ..functions.scalars import in_bounds, polarity
+from ..functions.scalars import in_bounds, polarity, quantize
 
-OUTPUT = "y int, x int, tick long, acc double, level smallint"
+OUTPUT = "y int, x int, epoch long, tick long, faded double, packets array<long>, deltas array<double>, acc double, level smallint"
+STATE = "epoch long, tick long, faded double, packets array<long>, deltas array<double>"
 
 
 class DecayingPixel(StatefulProcessor):
-    """acc fades by decay a tick and adds what the tick brings; rows are (y, x, tick, delta, reset). A reset clears it before its tick."""
+    """A pixel's accumulator as of its latest packet; rows are (y, x, packet_id, delta, epoch), one an event or summed.
 
-    def __init__(self, decay: float, contrast: float) -> None:
-        self.decay, self.contrast = decay, contrast
+    At every tick, one a packet, what there is fades by decay and the buffer of the last max_packets packets is added. A packet's
+    sum is kept in the ring for as many ticks and counts by a geometric series; when it leaves the ring, it joins faded, which
+    only fades from then on. A packet that comes late counts as if it had come in time. Rows of a later epoch find the pixel empty, rows
+    of an earlier one are not looked at, so a new start clears every pixel without visiting it.
+    """
+
+    def __init__(self, decay: float, max_packets: int, contrast: float) -> None:
+        self.decay, self.most, self.contrast = decay, max_packets, contrast
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pixel", "tick long, acc double")
+        self.state = handle.getValueState("pixel", STATE)
+
+    def series(self, n: int) -> float:
+        """1 + decay + ... of n terms."""
+        return float(n) if self.decay == 1.0 else (1.0 - self.decay**n) / (1.0 - self.decay)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tick, acc = self.state.get() if self.state.exists() else (None, 0.0)
-        new = pd.concat(list(rows)).sort_values("tick", kind="stable")
-        if len(cleared := np.flatnonzero(new["reset"].to_numpy(bool))):  # what was before the last reset is gone
-            new, acc, tick = new.iloc[cleared[-1] :], 0.0, None
-        ticks, last = new["tick"].to_numpy(np.int64), int(new["tick"].iloc[-1])
-        if tick is not None:
-            acc *= self.decay ** (last - tick)
-        tick, acc = last, acc + float((new["delta"].to_numpy(float) * self.decay ** (last - ticks)).sum())
-        self.state.update((tick, acc))
+        epoch, tick, faded, packets, deltas = self.state.get() if self.state.exists() else (-1, None, 0.0, (), ())
+        new = pd.concat(list(rows))
+        latest = int(new["epoch"].max())
+        if latest > epoch:
+            epoch, tick, faded, packets, deltas = latest, None, 0.0, (), ()
+        new = new[new["epoch"] == epoch]
+        if new.empty:
+            return
+        ring = dict(zip(packets, deltas))
+        now = max([int(new["packet_id"].max())] + ([] if tick is None else [tick]))
+        faded *= 1.0 if tick is None else self.decay ** (now - tick)
+        for packet, delta in new.groupby("packet_id")["delta"].sum().items():
+            ring[int(packet)] = ring.get(int(packet), 0.0) + float(delta)
+        for packet in sorted(p for p in ring if now - p >= self.most):
+            faded += ring.pop(packet) * self.series(self.most) * self.decay ** (now - packet - self.most + 1)
+        packets, deltas = list(ring), list(ring.values())
+        self.state.update((epoch, now, faded, packets, deltas))
+        acc = faded + sum(d * self.series(now - p + 1) for p, d in ring.items())
         level = int(min(255.0, max(0.0, 128.0 + acc * self.contrast)))
-        yield pd.DataFrame([{"y": key[0], "x": key[1], "tick": tick, "acc": acc, "level": level}])
+        yield pd.DataFrame([{"y": key[0], "x": key[1], "epoch": epoch, "tick": now, "faded": faded, "packets": packets, "deltas": deltas, "acc": acc, "level": level}])
 
     def close(self) -> None:
         pass
 
 
-def tick_deltas(events: DataFrame, cfg: PreviewConfig = PreviewConfig(), sensor: Sensor = Sensor()) -> DataFrame:
-    """y, x, tick, delta, reset: what each packet adds at every tick whose buffer has it, a tick a packet.
-
-    Of a table, a pixel's events of one packet are added up before they are given to its ticks; of a stream, where adding up
-    would be state of its own, every event is given to them.
-    """
-    rows = events.where(in_bounds(sensor.width, sensor.height)).select("y", "x", "packet_id", polarity(cfg.step).alias("delta"))
-    if not events.isStreaming:
-        rows = rows.groupBy("y", "x", "packet_id").agg(F.sum("delta").alias("delta"))
-    rows = rows.withColumn("tick", F.explode(F.sequence(F.col("packet_id"), F.col("packet_id") + cfg.max_packets - 1)))
-    return rows.select("y", "x", "tick", "delta", F.lit(False).alias("reset"))
+def packet_deltas(events: DataFrame, cfg: PreviewConfig = PreviewConfig(), sensor: Sensor = Sensor(), epoch: int = 0) -> DataFrame:
+    """y, x, packet_id, delta, epoch of the events inside the sensor: a row an event."""
+    return events.where(in_bounds(sensor.width, sensor.height)).select("y", "x", "packet_id", polarity(cfg.step).alias("delta"), F.lit(epoch).cast("long").alias("epoch"))
 
 
 def decaying_preview(deltas: DataFrame, cfg: PreviewConfig = PreviewConfig()) -> DataFrame:
-    """Pixels that changed in a micro-batch, as of their last tick. Needs the RocksDB state store."""
-    return deltas.groupBy("y", "x").transformWithStateInPandas(statefulProcessor=DecayingPixel(float(cfg.decay), float(cfg.contrast)), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    """Pixels that changed in a micro-batch, as of their latest packet. Needs the RocksDB state store."""
+    return deltas.groupBy("y", "x").transformWithStateInPandas(statefulProcessor=DecayingPixel(float(cfg.decay), cfg.max_packets, float(cfg.contrast)), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+
+
+def preview_frame(pixels: DataFrame, cfg: PreviewConfig = PreviewConfig(), order: str = "batch") -> DataFrame:
+    """y, x, acc, level of the latest epoch after its last packet, from all that decaying_preview gave, by the order in which it came."""
+    newest = pixels.agg(F.max(F.struct("epoch", "tick")).alias("last")).select("last.*").toDF("__epoch", "__last")
+    latest = Window.partitionBy("y", "x").orderBy(F.desc(order))
+    rows = pixels.withColumn("__nth", F.row_number().over(latest)).where("__nth = 1").join(F.broadcast(newest), F.col("epoch") == F.col("__epoch"))
+    d = float(cfg.decay)
+    series = (lambda n: n.cast("double")) if d == 1.0 else lambda n: (1.0 - F.pow(F.lit(d), n)) / (1.0 - d)
+
+    def weight(packet):
+        gone = F.greatest(F.lit(0), F.col("__last") - packet - (cfg.max_packets - 1))
+        return F.pow(F.lit(d), gone) * series(F.col("__last") - packet - gone + 1)
+
+    held = F.aggregate(F.zip_with("packets", "deltas", lambda p, v: v * weight(p)), F.lit(0.0), lambda a, v: a + v)
+    acc = F.col("faded") * F.pow(F.lit(d), F.col("__last") - F.col("tick")) + held
+    return rows.select("y", "x", acc.alias("acc")).withColumn("level", quantize(128.0 + F.col("acc") * float(cfg.contrast)))

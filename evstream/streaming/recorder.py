@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RecordingConfig
 from ..operators.recording import recording_events, recording_packets
+from ..scratch import exists
 from ..sinks.recording import open_recording
 from ..sources.packets import explode_packets
 from .window import TrailingWindow
@@ -33,13 +34,10 @@ class Recorder:
     def _before(self, batch: int) -> tuple[int, int]:
         """Packets and events recorded before a batch: remembered, or after a restart from the totals, a row a batch."""
         if not 0 <= self.last[0] < batch:
-            try:
+            row = (None, None, None)
+            if exists(self.spark, f"{self.path}/totals"):
                 done = self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals").where(F.col("batch") < batch)
                 row = done.agg(F.max("batch"), F.max("packets"), F.max("events")).first()
-            except Exception as e:  # nothing is recorded yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                row = (None, None, None)
             self.last = (-1, 0, 0) if row[0] is None else tuple(row)
         return self.last[1:]
 
@@ -124,9 +122,12 @@ class Pace:
 
 
 class PublishingService(Service):
-    """Frames to a sink function (frame, batch), of each micro-batch's packets or, with a window, of the latest events up to it."""
+    """Frames to a sink function (frame, batch), of each micro-batch's packets or, with a window, of the latest events up to it.
 
-    def start_publishing(self, packets: DataFrame, render, sink, checkpoint: str, fps: float = 30.0, window: TrailingWindow | None = None, pace: Pace | None = None, **trigger) -> bool:
+    A start finds the window empty, whatever was in it when the stream was stopped; with resume it goes on, as after a failure.
+    """
+
+    def start_publishing(self, packets: DataFrame, render, sink, checkpoint: str, fps: float = 30.0, window: TrailingWindow | None = None, pace: Pace | None = None, resume: bool = False, **trigger) -> bool:
         pace = pace or Pace(fps)
 
         def publish(batch: DataFrame, number: int) -> None:
@@ -136,6 +137,8 @@ class PublishingService(Service):
                 sink(render(events), number)
 
         def begin() -> StreamingQuery:
+            if window and not resume:
+                window.clear(packets.sparkSession)
             return packets.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": f"{int(1000 / fps)} milliseconds"}).start()
 
         return self.start(begin)

@@ -11,9 +11,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evstream.config import RecordingConfig
+from evstream.config import RecordingConfig, Sensor
 from evstream.operators import frames
 from evstream.sinks import frames as frame_sink
+from evstream.sinks.film import read_film, write_film
 from evstream.sinks.recording import read_recording, recording_path, write_recording
 from evstream.sources import packets as source
 from evstream.sources.packets import HEADER, MAGIC, CaptureStream, decode_packets, encode_packet, explode_packets, generate_capture, group_packets, read_packets, scan_packets, write_packets
@@ -238,6 +239,20 @@ def test_recording(spark, tmp_path):
     assert recording_path(RecordingConfig()).startswith("raw_events_")
 
 
+def test_a_film_has_a_file_for_every_frame(spark, tmp_path):
+    rows = [("raw", 0, 1, 2, 200), ("filtered", 0, 3, 0, 90), ("raw", 2, 0, 0, 7), ("raw", 2, 3, 2, 255)]
+    series = spark.createDataFrame(rows, "side string, frame_idx long, y int, x int, level smallint")
+    spine = spark.range(4).selectExpr("id AS frame_idx", "explode(array('raw', 'filtered')) AS side")
+    for where in (f"file://{tmp_path}/film", f"{tmp_path}/film2"):
+        write_film(series, spine, where, Sensor(3, 4))
+        folder = tmp_path / where.rpartition("/")[2]
+        assert sorted(f.name for f in folder.iterdir() if f.suffix == ".png") == [f"frame-{k:08d}.png" for k in range(4)]
+        assert not (folder / "_temporary").exists()
+        assert sorted(tuple(r) for r in read_film(spark, where).collect()) == sorted(rows)
+    image = frame_sink.decode_png(open(folder / "frame-00000000.png", "rb"))
+    assert image.shape == (4, 6) and image[1, 2] == 200 and image[3, 3] == 90 and image.sum() == 290
+
+
 def test_png_and_messages(spark, tmp_path):
     ev = spark.createDataFrame([(1, 2, 3, 10)], "type int, x int, y int, t_us long")
     frame = frames.mono_frame(ev)

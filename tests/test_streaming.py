@@ -4,6 +4,7 @@ import os
 import socket
 import termios
 import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evstream.config import PreviewConfig, RecordingConfig
-from evstream.operators import frames, recording
+from evstream.operators import frames, recording, windows
 from evstream.sources.live import ByteSource, LiveReader, stream_live
 from evstream.sources.packets import encode_packet, explode_packets, generate_capture, read_packets, stream_packets
-from evstream.streaming.buffer import PacketBuffer, buffered
-from evstream.streaming.preview import DecayingPixel, decaying_preview, tick_deltas
+from evstream.streaming.buffer import OUTPUT, PacketBuffer, buffered
+from evstream.streaming import ticks
+from evstream.streaming.preview import DecayingPixel, decaying_preview, packet_deltas, preview_frame
 from evstream.streaming.recorder import Pace, PublishingService, Recorder, RecordingService
-from evstream.streaming.window import TrailingWindow
+from evstream.streaming.replay import replay, replayed_packets
+from evstream.streaming.window import Epochs, TrailingWindow
 
 
 @pytest.fixture
@@ -64,17 +67,69 @@ def test_buffers(spark, tmp_path):
     assert PacketBuffer(1, 1).keep([]) == []
 
 
-def test_preview_state_is_the_closed_form(spark, captures, tmp_path):
+def test_a_buffer_empties_by_the_clock(spark, tmp_path):
+    """No packet comes after the first three: they leave all the same, also when the stream is stopped and started between."""
+    schema, folder = "sensor string, packet_id long, latest long, arrival_us long, events long", str(tmp_path / "heads")
+    spark.createDataFrame([], schema).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+
+    def start():
+        found = buffered(stream, 20_000_000, by="clock").writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+        return found.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+
+    def held():
+        rows = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out").orderBy("tick").collect() if os.path.exists(tmp_path / "out") else []
+        return [(r.packets, r.oldest_packet) for r in rows]
+
+    def until(done, seconds=80):
+        end = time.time() + seconds
+        while not done() and time.time() < end:
+            time.sleep(0.3)
+        assert done(), held()
+
+    query = start()
+    now = int(time.time() * 1e6)
+    spark.createDataFrame([("a", k, 0, now + k * 6_000_000 - 12_000_000, 1) for k in range(3)], schema).write.mode("append").parquet(folder)
+    until(lambda: (3, 0) in held() or (2, 1) in held())
+    query.stop()
+    assert held()[-1][0] > 0
+    query = start()
+    until(lambda: held()[-1] == (0, None))
+    query.stop()
+    assert [h for h in held() if h[0] == 1] == [(1, 2)]  # they left one by one
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_the_preview_of_a_stream_is_that_of_the_table(spark, captures, tmp_path, files):
     cfg = PreviewConfig(max_packets=2)
-    batch = explode_packets(read_packets(spark, captures)).withColumn("packet_id", F.dense_rank().over(Window.orderBy("packet_id")))
-    last = batch.agg(F.max("packet_id")).first()[0]
-    folder = str(tmp_path / "deltas")
-    tick_deltas(batch, cfg).where(F.col("tick") <= last).write.parquet(folder)
-    stream = spark.readStream.schema("y int, x int, tick long, delta double, reset boolean").parquet(folder)
-    run(decaying_preview(stream, cfg).writeStream.format("memory").queryName("preview").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    got = {(r.y, r.x): r.acc * cfg.decay ** (last - r.tick) for r in spark.table("preview").collect()}
-    want = {(r.y, r.x): r.acc for r in frames.decay_frame(batch, cfg).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    events = explode_packets(replayed_packets(spark, captures, batches=files))
+    pixels = replay(decaying_preview(packet_deltas(events, cfg), cfg), "update")
+    numbered = explode_packets(read_packets(spark, captures)).withColumn("packet_id", F.dense_rank().over(Window.orderBy("packet_id")))
+    got = {(r.y, r.x): (r.acc, r.level) for r in preview_frame(pixels, cfg).collect()}
+    want = {(r.y, r.x): (r.acc, r.level) for r in frames.decay_frame(numbered, cfg).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    assert pixels.agg(F.max(F.size("packets"))).first()[0] <= 2
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_ticks_of_a_stream_are_those_of_the_table(spark, tmp_path, batches):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.choice(4_000_000, 300, replace=False))
+    t = t[(t < 1_200_000) | (t > 2_100_000)]  # a gap longer than a window
+    rows = [("a", int(k), int(x)) for k, x in enumerate(t)] + [("b", int(k), int(x) + 7) for k, x in enumerate(t[::3])]
+    events = spark.createDataFrame(rows, "sensor string, ord long, t_us long")
+    folder = tmp_path / "in"
+    for k in range(batches):  # files in order, the times inside a batch in none
+        lo, hi = t[len(t) * k // batches], t[len(t) * (k + 1) // batches] if k + 1 < batches else 10**9
+        events.where((F.col("t_us") >= int(lo)) & (F.col("t_us") < int(hi))).orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = replay(ticks.tick_windows(stream, 33_333, 100_000, "100 milliseconds")).collect()
+    clock = (int(t.max()) + 7) // 1000 * 1000 - 100_000
+    for sensor in ("a", "b"):
+        want = windows.tick_windows(events.where(F.col("sensor") == sensor), 33_333, 100_000).where(F.col("tick") * 33_333 <= clock).collect()
+        assert sorted((r.tick, r.ord, r.t_us) for r in got if r.sensor == sensor) == sorted((r.tick, r.ord, r.t_us) for r in want) and len(want) > 100
+    assert (len({r.batch for r in got}) > 1) == (batches > 1)
 
 
 def test_live_packets_over_a_socket(spark, tmp_path):
@@ -174,28 +229,72 @@ def test_pace_is_anchored_where_a_frame_was_due():
     assert due == [True, False, True, True, False, False, True]
 
 
-def test_preview_state_with_resets():
-    class Handle:
-        def getValueState(self, *_):
-            return self
-
-        held = None
-        exists = lambda self: self.held is not None
-        get = lambda self: self.held
-
-        def update(self, value):
-            self.held = value
-
-    pixel, handle = DecayingPixel(0.9, 10.0), Handle()
-    pixel.init(handle)
-    rng, tick, acc = np.random.default_rng(0), None, 0.0
-    for start in (0, 10, 20, 30):
-        batch = pd.DataFrame([(1, 2, start + int(rng.integers(0, 9)), float(rng.normal()), bool(rng.random() < 0.1)) for _ in range(12)], columns=["y", "x", "tick", "delta", "reset"])
-        for r in batch.sort_values("tick", kind="stable").itertuples(index=False):  # a row at a time
-            acc = 0.0 if r.reset else acc * 0.9 ** (r.tick - tick) if tick is not None else acc
-            tick, acc = r.tick, acc + r.delta
-        (out,) = pixel.handleInputRows((1, 2), iter([batch]), None)
-        assert out.tick[0] == tick and abs(out.acc[0] - acc) < 1e-9
+class Value:
+    """A value state, or a handle that gives it."""
+
+    held = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+@pytest.mark.parametrize("decay", [0.9, 1.0])
+@pytest.mark.parametrize("most", [1, 4])
+def test_a_pixel_is_what_its_ticks_add_up_to(decay, most):
+    """Batches of packets, some late, against every tick fading what there is and adding the whole buffer."""
+    pixel, rng, seen = DecayingPixel(decay, most, 10.0), np.random.default_rng(most), {}
+    pixel.init(Value())
+    for start in (0, 3, 10, 40, 41):
+        packets = start + rng.integers(0, 9, 12) - rng.integers(0, 3, 12)
+        batch = pd.DataFrame({"y": 1, "x": 2, "packet_id": packets, "delta": rng.normal(size=12), "epoch": 0})
+        for p, d in zip(batch.packet_id, batch.delta):
+            seen[p] = seen.get(p, 0.0) + d
+        (out,) = pixel.handleInputRows((1, 2), iter([batch.iloc[:5], batch.iloc[5:]]), None)
+        acc = 0.0
+        for tick in range(min(seen), max(seen) + 1):
+            acc = acc * decay + sum(d for p, d in seen.items() if tick - most < p <= tick)
+        assert out.tick[0] == max(seen) and abs(out.acc[0] - acc) < 1e-9 and len(out.packets[0]) <= most
+
+
+def test_an_epoch_outdates_a_pixel():
+    pixel, row = DecayingPixel(0.5, 3, 10.0), lambda packet, delta, epoch: iter([pd.DataFrame({"packet_id": [packet], "delta": [delta], "epoch": [epoch]})])
+    pixel.init(Value())
+    (one,) = pixel.handleInputRows((1, 2), row(5, 1.0, 0), None)
+    (two,) = pixel.handleInputRows((1, 2), row(6, 1.0, 1), None)
+    assert one.acc[0] == two.acc[0] == 1.0 and two.epoch[0] == 1
+    assert list(pixel.handleInputRows((1, 2), row(7, 1.0, 0), None)) == []  # of the epoch before
+    (three,) = pixel.handleInputRows((1, 2), row(7, 1.0, 1), None)
+    assert three.acc[0] == 1.0 * 0.5 + 2.0
+
+
+def test_a_start_after_a_stop_begins_empty(spark, captures, tmp_path):
+    """The window, and the preview by the epoch that a start gives its rows."""
+    window, service, seen = TrailingWindow(f"file://{tmp_path}/w", 10_000.0), PublishingService(), []
+
+    def publish(**more):
+        assert service.start_publishing(stream_packets(spark, captures), lambda ev: ev, lambda frame, n: seen.append(frame.count()), str(tmp_path / "cp"), window=window, pace=Pace(1e6), **more)
+        service.query.processAllAvailable()
+        assert service.stop()
+
+    publish()
+    generate_capture(f"{captures}/4.bin", packets=2, events=6, seed=4)
+    publish()
+    generate_capture(f"{captures}/5.bin", packets=2, events=6, seed=5)
+    publish(resume=True)  # as after a failure: what was held is held
+    assert seen == [12, 24, 36, 36, 12, 24]
+    with pytest.raises(FileNotFoundError, match="batch-8"):
+        window.advance(spark.createDataFrame([(1, 1)], "ord long, t_us long"), 9)
+    epochs = Epochs(f"file://{tmp_path}/epochs")
+    assert [epochs.current(spark), epochs.begin(spark), epochs.begin(spark), epochs.current(spark)] == [0, 1, 2, 2]
 
 
 def test_publishing_a_trailing_window(spark, captures, tmp_path):
