@@ -157,15 +157,21 @@ ORACLES: dict[str, str] = {
 #: Events that went through capture files give the same tables.
 ORACLES |= {"capture_recording_events": ORACLES["recording_events"], "capture_ranges": ORACLES["recording_events"], "capture_recording_packets": ORACLES["recording_packets"], "capture_heatmap": ORACLES["pixel_heatmap"], "capture_throughput": ORACLES["throughput"]}
 
-_PACKETS = "pk AS (SELECT packet_id, max(t_us) AS latest, count(*) AS n FROM cam GROUP BY packet_id)"
+_HEADS = "pk AS (SELECT packet_id, max(t_us) AS latest, count(*) AS n FROM cam GROUP BY packet_id)"
 _HELD = "SELECT 'camera' AS sensor, count(*) AS packets, CAST(sum(n) AS BIGINT) AS events, min(packet_id) AS oldest_packet, max(packet_id) AS newest_packet, arg_max(latest, packet_id) AS latest FROM pk WHERE "
 
 #: Films hold what their table does; streams that ran to their end leave what the whole table gives.
 ORACLES |= {
+    "capture_corrupt": ORACLES["recording_events"],
+    "recording_written": ORACLES["recording_events"],
+    "point_file": _q("SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, t_us AS t FROM inb"),
+    "frame_message": f"SELECT 123456 AS stamp_us, 'camera' AS frame_id, 'mono8' AS encoding, 320 AS height, 320 AS width, * FROM ({ORACLES['mono_frame']})",
+    "frame_message_three_channel": f"SELECT 123456 AS stamp_us, 'camera' AS frame_id, 'bgr8' AS encoding, 320 AS height, 320 AS width, * FROM ({ORACLES['three_channel_cumulative']})",
+    "sql_functions": _q("SELECT ord, sec * 1000000::BIGINT + ms * 1000 + us AS t, CASE WHEN type = 1 THEN 0.75::DOUBLE ELSE -0.75::DOUBLE END AS delta FROM cam"),
     "film_files": f"SELECT side, frame_idx, count(*) AS lit, CAST(sum(level) AS BIGINT) AS total FROM ({ORACLES['frame_series']}) WHERE level > 0 GROUP BY side, frame_idx",
     "stream_recording": ORACLES["recording_events"],
     "stream_preview": ORACLES["decay_frame"],
-    "stream_arrival_buffer": _q(_HELD + "latest >= (SELECT max(latest) - 500000 FROM pk)", _PACKETS),
-    "stream_event_buffer": _q(_HELD + "packet_id >= (SELECT min(packet_id) FROM pk WHERE latest >= (SELECT arg_max(latest, packet_id) - 500000 FROM pk))", _PACKETS),
+    "stream_arrival_buffer": _q(_HELD + "latest >= (SELECT max(latest) - 500000 FROM pk)", _HEADS),
+    "stream_event_buffer": _q(_HELD + "packet_id >= (SELECT min(packet_id) FROM pk WHERE latest >= (SELECT arg_max(latest, packet_id) - 500000 FROM pk))", _HEADS),
     "stream_tick_windows": f"SELECT * FROM ({ORACLES['tick_windows']}) WHERE tick * 33333 <= (SELECT max(newest) // 1000 * 1000 - 1000000 FROM ({ORACLES['tick_windows']}))",
 }

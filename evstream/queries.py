@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from .config import FlickerConfig, FrameConfig, MotionConfig, PhaseConfig, PreviewConfig, RecordingConfig
 from .operators import frames, motion, phase, recording, signal, spectral, stats, windows
 from .oracles import ORACLES
-from .functions.scalars import circular_distance, clamp, event_timestamp, grid_cell, phase_bin, quantize, tile_id
+from .functions.scalars import circular_distance, clamp, event_timestamp, grid_cell, phase_bin, quantize, register_functions, tile_id
 from .plans.pipelines import offline, rejected
 from .scratch import scratch_path
 from .sinks.film import read_film, write_film
+from .sinks.frames import frame_message
+from .sinks.recording import read_recording, write_recording
 from .sources.adapter import camera_events, points
-from .sources.packets import capture_files, explode_packets, group_packets, read_packets, write_packets
+from .sources.packets import HEADER, MAGIC, capture_files, explode_packets, group_packets, read_packets, write_packets
+from .sources.xyt import read_points
 from .streaming import ticks
 from .streaming.buffer import buffered, packet_heads
 from .streaming.preview import decaying_preview, packet_deltas, preview_frame
@@ -134,6 +137,8 @@ _BY_EVENTS: dict[str, Query] = {
     "keep_last_packets": lambda ev: windows.keep_last_packets(ev, 10).select("ord", "packet_id"),
     "packet_eviction": lambda ev: windows.evict_packets(ev, 0.5, 100).select("ord", "packet_id"),
     "packet_eviction_all": lambda ev: windows.evict_packets(ev, 0.5).select("ord", "packet_id"),
+    "frame_message": lambda ev: _message(frames.mono_frame(ev), "mono8"),
+    "frame_message_three_channel": lambda ev: _message(frames.three_channel_frame(ev), "bgr8", "ch"),
     "frame_series": lambda ev: frames.frame_series(motion_rows(ev, STRICT)),
     "offline_pipeline": lambda ev: summary(offline(points(ev), STRICT, start_s=0.5, end_s=2.5).filtered),
     "upscale": lambda ev: frames.upscale(frames.mono_frame(ev), 2),
@@ -142,10 +147,10 @@ _BY_EVENTS: dict[str, Query] = {
 }
 
 
-def _capture(spark: SparkSession, sf_dir: str) -> str:
+def _capture(spark: SparkSession, sf_dir: str, noise: str = "EVT noise") -> str:
     """The tables' events as capture files, with noise between the packets."""
     path = scratch_path(spark, "capture")
-    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise="EVT noise")
+    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise=noise)
     return path
 
 
@@ -161,6 +166,37 @@ def capture_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recording.record(explode_packets(read_packets(spark, path, split_bytes=split)))[0]
 
 
+def capture_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As capture_recording_events, from a capture with a header before every packet whose two numbers disagree."""
+    corrupt = (MAGIC + HEADER.pack(1, 13)).decode()
+    return recording.record(explode_packets(read_packets(spark, _capture(spark, sf_dir, corrupt))))[0]
+
+
+def recording_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recording_events, from a recording's files."""
+    path = write_recording(camera_events(spark, sf_dir), RecordingConfig(path=scratch_path(spark, "recording")))
+    return read_recording(spark, path)[0]
+
+
+def point_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as tab-separated text, with comments, read back."""
+    path = scratch_path(spark, "points")
+    pts(camera_events(spark, sf_dir)).select(F.concat_ws("\t", "x", "y", F.concat("t", F.lit(" # a point")))).write.text(path)
+    return read_points(spark, path).drop("ord")
+
+
+def _message(frame: DataFrame, encoding: str, *channel: str) -> DataFrame:
+    row = frame_message(frame, 123_456, encoding=encoding)
+    head = ("stamp_us", "frame_id", "encoding", "height", "width")
+    return row.select(*head, F.explode("pixels").alias("p")).select(*head, *(f"p.{c}" for c in (*channel, "y", "x", "level")))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions called by name in SQL text."""
+    register_functions(spark)
+    return camera_events(spark, sf_dir).selectExpr("ord", "ev_timestamp(sec, ms, us) AS t", "ev_polarity(type, 0.75D) AS delta")
+
+
 def film_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-sided film of frame_series written as image files and read back: lit pixels and the sum of their levels, of frames that have any."""
     path, rows = scratch_path(spark, "film"), motion_rows(camera_events(spark, sf_dir), STRICT)
@@ -214,6 +250,10 @@ _BY_CAPTURE: dict[str, Query] = {
 #: Over files that are written first, and captures that run as streams to their end.
 _THROUGH_FILES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "capture_ranges": capture_ranges,
+    "capture_corrupt": capture_corrupt,
+    "recording_written": recording_written,
+    "point_file": point_file,
+    "sql_functions": sql_functions,
     "film_files": film_files,
     "stream_recording": stream_recording,
     "stream_preview": stream_preview,
