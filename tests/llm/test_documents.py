@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import unicodedata
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +75,39 @@ def test_a_chunk_may_have_over_255_tokens(spark):
     assert prefix_counts(spark, texts) == {k: (len(ids(t)), [len(ids(t[:n])) for n in range(len(t) + 1)]) for k, t in enumerate(texts)}
 
 
+def test_long_texts_are_counted_in_pieces(spark):
+    memo = token_counts._memo(words.word_bpe_path())
+    rng = random.Random(5)
+    text = "".join(rng.choice(["don't", " ", "\n\t", "É́a", "x" * 40, "<|endoftext|>", "日本", "12", "。", " the"]) for _ in range(900))
+    want = [len(ids(text[:k])) for k in range(len(text) + 1)]
+    for size in (1, 7, 100, 10**6):
+        assert b"".join(token_counts.pieces_of(text.encode(), size)) == text.encode()
+        assert token_counts.long_prefix_array(text.encode(), memo, size).tolist() == want
+    assert token_counts.long_prefix_array(b"", memo).tolist() == [0]
+    long = "Longish words, 12 of them. " * 50_000 + "x" * 1000
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "a b"), (4, long)], "doc_id long, text string")
+    for prefixes in (True, False):
+        got = {r.doc_id: r.n_tokens for r in token_counts.prefix_token_counts(docs, prefixes=prefixes).drop("prefix_tokens").collect()}
+        assert got == {1: len(ids(long)), 2: 0, 3: 2, 4: len(ids(long))} and len(long) > token_counts.PIECE_BYTES
+
+
+def test_a_hundred_megabytes_take_less_than_eight_bytes_a_character():
+    code = """
+import resource
+from evstream.llm import token_counts, words
+memo = token_counts._memo(words.word_bpe_path())
+text = b"several ordinary words, again and again; " * (100_000_000 // 41)
+rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+token_counts.long_prefix_array(text[: 4 << 20], memo)
+before = rss()
+counts = token_counts.long_prefix_array(text, memo)
+assert len(counts) == len(text) + 1 and counts[-1] == len(text) // 41 * counts[41], (len(counts), counts[-1])
+print((rss() - before) / len(text))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2])
+    assert done.returncode == 0 and float(done.stdout) < 8, done
+
+
 def test_prefixes_of_odd_strings():
     rng, counter = random.Random(1), words.PrefixCounter(words.word_bpe_path())
     parts = list("abcrstvelmd''''!.,-_019éÉİßŁﬁ²½ªº日本語가각ΣςΩ😀") + ["\u0301", "\u0323", "\u1100", "\u1161", "\u11a8", "\u00a0", "\u3000", "\x85", "\u212b", "か", "\u3099", "\u0344", "\u09c7", "\u09be", "<|endoftext|>", "<|", "'re", "'S"]
