@@ -1,7 +1,8 @@
 """Exact deduplication by a Golomb-coded exchange of fingerprints.
 
 1. Every text is fingerprinted (white-space runs made one space), and the fingerprints are written in as many
-   buckets as the session has shuffle partitions, whole partitions to a bucket. A bucket is a sender: it sends
+   buckets as the session has shuffle partitions, or more so that a bucket has no more than SENDER_ROWS rows on
+   average, whole partitions to a bucket. A bucket is a sender: it sends
    each owner of a hash range its sorted, distinct fingerprints as Golomb-Rice codes.
 2. An owner tells each sender, as a bitmap in the order sent, which fingerprints others have too.
 3. Rows whose fingerprint is marked, or repeats inside its bucket, are suspects. Only their texts
@@ -12,7 +13,8 @@ task in step 3, so no task sees its copies together.
 
 Null text counts as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id
 comes last); where that doc_id repeats with the same text, one of the repeated rows stays. An empty
-table gives an empty table. Other columns are never looked at.
+table gives an empty table. A very long text is hashed whole where it is read, and shuffled only if its fingerprint
+is met twice. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .keep import keep_rows, row_key
 FINGERPRINT_BITS = 48
 OWNER_ROWS = 1 << 16
 BROADCAST_ROWS = 500_000
-MOST_SENDERS = 16_384
+SENDER_ROWS = 1_000_000
+MOST_SENDERS = 100_000  # Spark's own bound on buckets
 
 
 def normalized(text: str = "text") -> Column:
@@ -96,7 +99,8 @@ def _suspects(rows: DataFrame, bits: int, owner_rows: int, senders: int) -> Data
 
 def exact_duplicates(docs: DataFrame, text: str = "text", bits: int = FINGERPRINT_BITS, owner_rows: int = OWNER_ROWS) -> DataFrame:
     """One row per document: doc_id, key (of the row for keep_rows), keep_id, group_size, kept, text_sha256."""
-    norm, senders = normalized(text), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SENDERS)
+    norm, wanted = normalized(text), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SENDER_ROWS))
+    senders = min(wanted, MOST_SENDERS)
     rows = docs.select("doc_id", row_key(text).alias("key"), fingerprint(norm, bits).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
     rows = rows.withColumns({"src": (F.spark_partition_id() % senders).cast("long"), "rid": F.monotonically_increasing_id()})
     prints = materialize_buckets(rows, "prints", "src", senders)  # what a sender has is in one bucket: neither sending nor marking shuffles rows
