@@ -133,22 +133,21 @@ def link_groups(point: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int
             for y in near[here[at] == near]:
                 links.union(int(x.view(np.int64)), int(y.view(np.int64)))
     groups = np.flatnonzero((pairs > 0) & ~large)
-    total = np.cumsum(pairs[groups])
+    looked = sizes[groups] - stored[groups]  # each looked-up row has its group's stored rows for partners
+    group = np.repeat(groups, looked)
+    rows = cuts[group] + stored[group] + np.arange(len(group)) - np.repeat(np.cumsum(looked) - looked, looked)
+    total = np.cumsum(stored[group])
     done = 0
-    while done < len(groups):
+    while done < len(rows):
         base = total[done - 1] if done else 0
         upto = max(done + 1, int(np.searchsorted(total, base + PAIR_BLOCK, "right")))
-        some = groups[done:upto]
-        done = upto
-        rights = np.repeat(some, sizes[some] - stored[some])  # each looked-up row, then its partners
-        first = np.cumsum(sizes[some] - stored[some]) - (sizes[some] - stored[some])
-        right = cuts[rights] + stored[rights] + np.arange(len(rights)) - np.repeat(first, sizes[some] - stored[some])
-        times = stored[rights]
-        left = np.repeat(cuts[rights], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        a, b = fp[left], np.repeat(fp[right], times)
+        own, times = group[done:upto], stored[group[done:upto]]
+        left = np.repeat(cuts[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        a, b = fp[left], np.repeat(fp[rows[done:upto]], times)
         near = (a < b) & (np.bitwise_count(a ^ b) <= radius)
         for x, y in np.unique(np.stack([a[near], b[near]], 1), axis=0).view(np.int64).tolist():
             links.union(x, y)
+        done = upto
 
 
 def near_components(prints: DataFrame, radius: int = RADIUS, segments: int | None = None, rows_per_task: int = 1 << 20) -> DataFrame:
