@@ -34,12 +34,16 @@ def frequency(k: Column, n: int, bin_us: int) -> Column:
 def fft_power(signal: DataFrame, n: int, bin_us: int, first: int | None = None, last: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, k, freq_hz, power of bins first..last of a dense signal (bin, c): mean removed, Hann window, squared magnitude.
 
-    With keys, each signal is one array for numpy's transform; without, the transform is a join with the wanted bins
-    that stays in the JVM. Signals under 16 bins or without deviation have no power.
+    A signal of up to ONE_ARRAY bins is one array for numpy's transform; a longer one, only without keys, is joined with the wanted bins.
+    Signals under 16 bins or without deviation have no power.
     """
     first, last = 0 if first is None else first, n // 2 if last is None else last
-    if keys:
+    if keys or n <= ONE_ARRAY:
         return _by_array(signal, n, bin_us, first, last, keys)
+    return _joined(signal, n, bin_us, first, last)
+
+
+def _joined(signal: DataFrame, n: int, bin_us: int, first: int, last: int) -> DataFrame:
     mean = signal.agg(F.avg("c").alias("__mean"))
     rows = signal.crossJoin(F.broadcast(mean)).withColumn("d", F.col("c") - F.col("__mean"))
     live = rows.agg((F.max(F.abs("d")) > FLAT).alias("__live")).withColumn("__live", F.col("__live") & F.lit(n >= SHORTEST))
@@ -64,8 +68,8 @@ def _by_array(signal: DataFrame, n: int, bin_us: int, first: int, last: int, key
         out = {key: pa.array([table[key][0].as_py()] * len(k), table[key].type) for key in keys}
         return pa.table(out | {"k": k, "freq_hz": k * 1e6 / (n * bin_us), "power": power[first : last + 1]})
 
-    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return signal.groupBy(*keys).applyInArrow(transform, f"{fields}, k long, freq_hz double, power double")
+    fields = [f"{k} {kinds[k]}" for k in keys]
+    return signal.groupBy(*keys).applyInArrow(transform, ", ".join([*fields, "k long", "freq_hz double", "power double"]))
 
 
 def band_ratio(spectrum: DataFrame, cfg: FlickerConfig = FlickerConfig(), keys: tuple[str, ...] = ()) -> DataFrame:

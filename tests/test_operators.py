@@ -169,6 +169,8 @@ def test_power_is_numpys(spark):
     sig = spark.createDataFrame([(k, float(v)) for k, v in enumerate(c)], "bin long, c double")
     want = np.abs(np.fft.rfft((c - c.mean()) * np.hanning(64))) ** 2
     got = [r.power for r in spectral.fft_power(sig, 64, 1000).orderBy("k").collect()]
+    joined = [r.power for r in spectral._joined(sig, 64, 1000, 0, 32).orderBy("k").collect()]
+    assert np.allclose(got, joined, rtol=1e-9, atol=1e-9) and len(joined) == 33
     keyed = [r.power for r in spectral.fft_power(sig.withColumn("g", F.lit(1)), 64, 1000, keys=("g",)).orderBy("k").collect()]
     assert np.allclose(got, want) and np.allclose(keyed, want)
 
