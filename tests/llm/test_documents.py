@@ -6,6 +6,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -277,6 +278,24 @@ def test_hot_points_are_searched_by_flipping_bits():
                 assert got.find(int(x)) == got.find(int(y))
 
 
+def test_a_crowded_point_is_compared_in_blocks():
+    """One point with 9,000,000 pairs: what is held is a block's, and the links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    fp = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) & np.uint64(0x3F3F3F3F3F3F))
+    fp[1::2] = fp[::2][: len(fp[1::2])] ^ np.uint64(5)  # every other one is near the one before
+    fp = np.unique(fp)
+    side = np.repeat([0, 1], len(fp))
+    links = UnionFind()
+    tracemalloc.start()
+    simhash.link_groups(np.zeros(2 * len(fp), np.int64), side, np.concatenate([fp, fp]), 3, links)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = UnionFind()
+    for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))):
+        want.union(int(fp[a].view(np.int64)), int(fp[b].view(np.int64)))
+    assert sorted(links.edges()) == sorted(want.edges()) and len(want.edges()) > 1000 and held < 100 << 20
+
+
 def test_simhash_drop(spark):
     docs = odd_documents(spark)
     got = simhash.drop_near_duplicates(docs)
