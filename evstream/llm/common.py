@@ -35,6 +35,14 @@ def materialize_buckets(df: DataFrame, name: str, column: str, buckets: int) ->
     return table
 
 
+TASK_ROWS = 1 << 16
+
+
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many small rows, in no more partitions than TASK_ROWS each ask for: a small table is written in few files. Nothing is shuffled for it."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no plan still to run reads."""
     for table in tables:
@@ -127,12 +135,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = materialize(ordered(edges), name)
     seen = digest(now)
     while True:
-        low = materialize(now.groupBy("a").agg(F.min("b").alias("low")), f"{name}-low")
+        low = materialize(in_few(now.groupBy("a").agg(F.min("b").alias("low")), seen[0]), f"{name}-low")
         # smaller neighbours of a node meet at its smallest one
         hooked = now.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         star = low.select("a", F.col("low").alias("b")).unionByName(hooked)
         jump = low.select(F.col("a").alias("b"), F.col("low").alias("next"))
-        after = materialize(ordered(star.join(jump, "b", "left").select("a", F.coalesce("next", "b").alias("b"))), name)
+        after = ordered(star.join(jump, "b", "left").select("a", F.coalesce("next", "b").alias("b")))
+        after = materialize(in_few(after, 2 * seen[0]), name)  # an edge to the low one for each node, and for each edge
         discard(now, low)
         if (digested := digest(after)) == seen:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import UnionFind, connected_components, discard, kept_alone, materialize, small_batches, text_bytes
+from .common import UnionFind, connected_components, discard, in_few, kept_alone, materialize, small_batches, text_bytes
 from .keep import keep_rows, row_key
 
 SHINGLE_WORDS = 3
@@ -188,9 +188,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", size: int = SHINGLE_WORD
     prints = materialize(fingerprints(docs, text, size), "fp")
     near = near_components(prints, radius, segments)
     lowest = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
-    rooted = materialize(lowest.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
-    components = materialize(rooted.groupBy("root").agg(F.min("low").alias("first")), "by-root")
-    named = materialize(rooted.join(components, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key")), "named")
+    rows = prints.count()  # from the footers
+    rooted = materialize(in_few(lowest.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), rows), "rooted")
+    components = materialize(in_few(rooted.groupBy("root").agg(F.min("low").alias("first")), rows), "by-root")
+    named = rooted.join(components, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    named = materialize(in_few(named, rows), "named")
     discard(rooted, components)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("first_key"))
     return prints.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
