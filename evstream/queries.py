@@ -147,10 +147,11 @@ _BY_EVENTS: dict[str, Query] = {
 }
 
 
-def _capture(spark: SparkSession, sf_dir: str, noise: str = "EVT noise") -> str:
+def _capture(spark: SparkSession, sf_dir: str, noise: str = "EVT noise", events: DataFrame | None = None) -> str:
     """The tables' events as capture files, with noise between the packets."""
     path = scratch_path(spark, "capture")
-    write_packets(group_packets(camera_events(spark, sf_dir)).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise=noise)
+    events = camera_events(spark, sf_dir) if events is None else events
+    write_packets(group_packets(events).repartitionByRange("packet_id").sortWithinPartitions("packet_id"), path, noise=noise)
     return path
 
 
@@ -228,8 +229,13 @@ def _buffer(spark: SparkSession, sf_dir: str, history_us: int, by: str) -> DataF
 
 
 def stream_tick_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As tick_windows, for the ticks that the stream's clock, a second behind its latest event, has passed."""
-    events = explode_packets(replayed_packets(spark, _capture(spark, sf_dir))).select(F.lit("camera").alias("sensor"), "ord", "t_us")
+    """As tick_windows, for the ticks that the stream's clock, a second behind its latest event, has passed.
+
+    The capture has packets in the order of half seconds of their events, so that none comes late where the table's times go back.
+    """
+    packet = F.struct(F.floor(F.col("t_us") / 500_000).alias("half"), "packet_id")
+    path = _capture(spark, sf_dir, events=camera_events(spark, sf_dir).withColumn("packet_id", packet))
+    events = explode_packets(replayed_packets(spark, path)).select(F.lit("camera").alias("sensor"), "ord", "t_us")
     rows = replay(ticks.tick_windows(events, 33_333, 100_000))
     return rows.groupBy("tick").agg(F.count("*").alias("n"), F.min("t_us").alias("oldest"), F.max("t_us").alias("newest"))
 

@@ -8,12 +8,15 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evstream import queries as engine
 from evstream.config import PreviewConfig, RecordingConfig
 from evstream.operators import frames, recording, windows
+from evstream.sources.adapter import camera_events
 from evstream.sources.live import ByteSource, LiveReader, stream_live
 from evstream.sources.packets import encode_packet, explode_packets, generate_capture, read_packets, stream_packets
 from evstream.streaming.buffer import OUTPUT, PacketBuffer, buffered
@@ -132,6 +135,39 @@ def test_ticks_of_a_stream_are_those_of_the_table(spark, tmp_path, batches):
     assert (len({r.batch for r in got}) > 1) == (batches > 1)
 
 
+def test_ticks_where_the_tables_times_go_back(spark, tmp_path):
+    """Two copies of a table, one after the other: events of the second are as old as those of the first."""
+    own = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    own.unionByName(own.withColumn("event_id", F.col("event_id") + 1000)).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # some capture files, so some micro-batches
+    try:
+        got = engine.QUERIES["stream_tick_windows"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    events = camera_events(spark, str(tmp_path))
+    clock = events.agg(F.max("t_us")).first()[0] // 1000 * 1000 - 1_000_000
+    want = engine.QUERIES["tick_windows"](spark, str(tmp_path)).where(F.col("tick") * 33_333 <= clock).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 80
+
+
+def test_a_key_of_the_ticks_is_a_slot():
+    """However many events a sensor has, a key has those of one tick, in rows of bounded size, and of later slots one number each."""
+    slots, rng = ticks.Slots(100, 250), np.random.default_rng(3)
+    t, sensor = rng.integers(0, 1000, 9000), rng.choice(np.array(["a", None], object), 9000)
+    batch = pa.RecordBatch.from_pydict({"sensor": pa.array(sensor, pa.string()), "ord": np.arange(9000), "t_us": t})
+    rows = pa.Table.from_batches(slots.parts(iter([batch]))).to_pylist()
+    found = []
+    for r in rows:
+        if r["t_us"] is None:
+            own = t[(sensor == r["sensor"]) & (-(-t // 100) == r["tick"])]
+            assert r["slot"] < r["tick"] <= r["slot"] + slots.span and r["newest"] == own.max()
+            continue
+        times, ords = np.frombuffer(r["t_us"], np.int64), np.frombuffer(r["ord"], np.int64)
+        assert len(times) <= ticks.CHUNK and set(-(-times // 100)) == {r["slot"]} == {r["tick"]} and times.max() == r["newest"] and (t[ords] == times).all()
+        found += [(r["sensor"], o) for o in ords]
+    assert sorted(o for _, o in found) == list(range(9000)) and all(sensor[o] == s for s, o in found)
+
+
 def test_live_packets_over_a_socket(spark, tmp_path):
     server = socket.create_server(("127.0.0.1", 0))
     data = b"noise" + encode_packet([(1, 0, 0, 1, 2, 3)]) + b"EV" + encode_packet([(0, 0, 0, 2, 4, 5)] * 3) + encode_packet([(1, 1, 1, 1, 1, 1)])[:-1]
