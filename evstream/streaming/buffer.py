@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict, deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "packet_id long, latest long, arrival_us long, events long"
+STATE = "packets binary"  # rows of COLUMNS as long, at most CHUNK
+COLUMNS = ["packet_id", "latest", "arrival_us", "events"]
+CHUNK = 4096
 OUTPUT = "sensor string, tick long, packets long, events long, oldest_packet long, newest_packet long, latest long"
 
 
@@ -32,33 +37,51 @@ class PacketBuffer(StatefulProcessor):
         self.packets = handle.getListState("packets", STATE)
         self.ticks = handle.getValueState("ticks", "tick long")
 
-    def keep(self, held: list[tuple]) -> list[tuple]:
-        """What stays of packets in order of arrival."""
-        if not held:
-            return held
-        if self.by == "event":
-            cut = held[-1][1] - self.history_us
-            first = next(k for k, p in enumerate(held) if p[1] >= cut)
-            held = held[first:]
-        else:
-            newest = max(p[2] for p in held)
-            held = [p for p in held if p[2] >= newest - self.history_us]
-        return held[-self.max_packets :] if self.max_packets else held
+    def keep(self, held: list[tuple], new: list[tuple] = ()) -> list[tuple]:
+        """What stays of packets in order of arrival, when new ones have come one by one. A packet is looked at when it comes and when it goes."""
+        return self._by_event(held, new) if self.by == "event" else self._by_arrival(held, new)
+
+    def _by_event(self, held: list[tuple], new: list[tuple]) -> list[tuple]:
+        left = deque(held)
+        for packet in new:
+            left.append(packet)
+            while left[0][1] < packet[1] - self.history_us:
+                left.popleft()
+            if self.max_packets and len(left) > self.max_packets:
+                left.popleft()
+        return list(left)
+
+    def _by_arrival(self, held: list[tuple], new: list[tuple]) -> list[tuple]:
+        left = OrderedDict(enumerate(held))
+        oldest, newest = [(p[2], k) for k, p in left.items()], [(-p[2], k) for k, p in left.items()]
+        heapify(oldest)
+        heapify(newest)
+        for k, packet in enumerate(new, len(held)):
+            left[k] = packet
+            heappush(oldest, (packet[2], k))
+            heappush(newest, (-packet[2], k))
+            while newest[0][1] not in left:
+                heappop(newest)
+            while oldest[0][0] < -newest[0][0] - self.history_us:
+                left.pop(heappop(oldest)[1], None)
+            if self.max_packets and len(left) > self.max_packets:
+                left.popitem(last=False)
+        return list(left.values())
+
+    def _held(self) -> list[tuple]:
+        return [tuple(p) for (chunk,) in self.packets.get() for p in np.frombuffer(chunk, np.int64).reshape(-1, len(COLUMNS)).tolist()]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.packets.get())
-        new = [tuple(map(int, r)) for pdf in rows for r in pdf[["packet_id", "latest", "arrival_us", "events"]].itertuples(index=False)]
-        for packet in sorted(new):
-            held = self.keep([*held, packet])
-        yield self._hold(key, held)
+        new = sorted(tuple(p) for pdf in rows for p in pdf[COLUMNS].to_numpy(np.int64).tolist())
+        yield self._hold(key, self.keep(self._held(), new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() * 1000
-        yield self._hold(key, [p for p in self.packets.get() if p[2] >= now - self.history_us])
+        yield self._hold(key, [p for p in self._held() if p[2] >= now - self.history_us])
 
     def _hold(self, key, held: list[tuple]) -> pd.DataFrame:
         if held:
-            self.packets.put(held)
+            self.packets.put([(np.array(held[k : k + CHUNK], np.int64).tobytes(),) for k in range(0, len(held), CHUNK)])
         else:
             self.packets.clear()
         if self.by == "clock":

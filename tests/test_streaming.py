@@ -70,6 +70,31 @@ def test_buffers(spark, tmp_path):
     assert PacketBuffer(1, 1).keep([]) == []
 
 
+@pytest.mark.parametrize("by", ["arrival", "event"])
+@pytest.mark.parametrize("most", [0, 7])
+def test_a_buffer_is_what_packets_leave_one_by_one(by, most):
+    """Against a list that is gone through after every packet, over batches, with times in no order."""
+    rng, buffer, held, want = np.random.default_rng(most), PacketBuffer(40, most, by), [], []
+    for start in range(0, 300, 60):
+        new = [(start + k, int(rng.integers(0, 100)) + start, int(rng.integers(0, 100)) + start, 1) for k in range(60)]
+        for packet in new:
+            want.append(packet)
+            if by == "event":
+                want = want[next(k for k, p in enumerate(want) if p[1] >= packet[1] - 40) :]
+            else:
+                want = [p for p in want if p[2] >= max(q[2] for q in want) - 40]
+            want = want[-most:] if most else want
+        held = buffer.keep(held, new)
+        assert held == want
+
+
+@pytest.mark.parametrize("by", ["arrival", "event"])
+def test_a_buffer_of_many_packets_takes_time_in_proportion(by):
+    begun = time.process_time()
+    assert len(PacketBuffer(10**9, 0, by).keep([], [(k, k, k, 1) for k in range(100_000)])) == 100_000
+    assert time.process_time() - begun < 20  # a list gone through after every packet: minutes
+
+
 def test_a_buffer_empties_by_the_clock(spark, tmp_path):
     """No packet comes after the first three: they leave all the same, also when the stream is stopped and started between."""
     schema, folder = "sensor string, packet_id long, latest long, arrival_us long, events long", str(tmp_path / "heads")
