@@ -13,6 +13,8 @@ from ..config import PreviewConfig, Sensor
 from ..functions.scalars import in_bounds, polarity, quantize
 
 OUTPUT = "y int, x int, epoch long, tick long, faded double, packets array<long>, deltas array<double>, acc double, level smallint"
+DELTAS = "y int, x int, packet_id long, delta double, epoch long"
+FOLD = 1 << 17  # rows that a task holds to fold them
 STATE = "epoch long, tick long, faded double, packets array<long>, deltas array<double>"
 
 
@@ -66,8 +68,35 @@ def packet_deltas(events: DataFrame, cfg: PreviewConfig = PreviewConfig(), senso
     return events.where(in_bounds(sensor.width, sensor.height)).select("y", "x", "packet_id", polarity(cfg.step).alias("delta"), F.lit(epoch).cast("long").alias("epoch"))
 
 
+def folded(rows: pd.DataFrame, decay: float, most: int) -> pd.DataFrame:
+    """DELTAS rows with one a pixel for all packets that have left its ring by its last one: they only fade, so they may stand at the
+    latest packet that has left."""
+    left = rows.groupby(["y", "x", "epoch"])["packet_id"].transform("max") - most
+    gone = (left - rows["packet_id"]).clip(lower=0)
+    rows = rows.assign(packet_id=rows["packet_id"] + gone, delta=rows["delta"] * decay**gone)
+    return rows.groupby(["y", "x", "packet_id", "epoch"], as_index=False)["delta"].sum()[["y", "x", "packet_id", "delta", "epoch"]]
+
+
+def fold(batches: Iterator[pd.DataFrame], decay: float, most: int) -> Iterator[pd.DataFrame]:
+    """All rows folded, FOLD in memory at once: what a task sends goes by its pixels, not by its events."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= FOLD:
+            held = [folded(pd.concat(held), decay, most)]
+            n = len(held[0])
+            if n > FOLD // 2:
+                yield held[0]
+                held, n = [], 0
+    if n:
+        yield folded(pd.concat(held), decay, most)
+
+
 def decaying_preview(deltas: DataFrame, cfg: PreviewConfig = PreviewConfig()) -> DataFrame:
     """Pixels that changed in a micro-batch, as of their latest packet. Needs the RocksDB state store."""
+    decay, most = float(cfg.decay), cfg.max_packets
+    deltas = deltas.select("y", "x", "packet_id", "delta", "epoch").mapInPandas(lambda batches: fold(batches, decay, most), DELTAS)
     return deltas.groupBy("y", "x").transformWithStateInPandas(statefulProcessor=DecayingPixel(float(cfg.decay), cfg.max_packets, float(cfg.contrast)), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 

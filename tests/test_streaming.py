@@ -20,7 +20,7 @@ from evstream.sources.adapter import camera_events
 from evstream.sources.live import ByteSource, LiveReader, stream_live
 from evstream.sources.packets import encode_packet, explode_packets, generate_capture, read_packets, stream_packets
 from evstream.streaming.buffer import OUTPUT, PacketBuffer, buffered
-from evstream.streaming import ticks
+from evstream.streaming import preview, ticks
 from evstream.streaming.preview import DecayingPixel, decaying_preview, packet_deltas, preview_frame
 from evstream.streaming.recorder import Pace, PublishingService, Recorder, RecordingService
 from evstream.streaming.replay import replay, replayed_packets
@@ -326,6 +326,24 @@ def test_a_pixel_is_what_its_ticks_add_up_to(decay, most):
         assert out.tick[0] == max(seen) and abs(out.acc[0] - acc) < 1e-9 and len(out.packets[0]) <= most
 
 
+@pytest.mark.parametrize("decay", [0.9, 1.0])
+def test_what_goes_to_a_pixel_is_its_ring_and_one_sum(decay, monkeypatch):
+    """Of 20,000 events of 4 pixels, at most 5 rows each go to the state, and the pixels are what all events make them."""
+    monkeypatch.setattr(preview, "FOLD", 1000)
+    rng, n, most = np.random.default_rng(1), 20_000, 4
+    rows = pd.DataFrame({"y": rng.integers(0, 2, n), "x": rng.integers(0, 2, n), "packet_id": np.arange(n) // 64, "delta": rng.normal(size=n), "epoch": 0})
+    sent = pd.concat(preview.fold((rows[k : k + 300] for k in range(0, n, 300)), decay, most))
+    assert len(sent) <= 4 * (most + 1)
+    for at, all_rows in rows.groupby(["y", "x"]):
+        found = []
+        for given in (all_rows, sent[(sent.y == at[0]) & (sent.x == at[1])]):
+            pixel = DecayingPixel(decay, most, 10.0)
+            pixel.init(Value())
+            (out,) = pixel.handleInputRows(at, iter([given]), None)
+            found.append(out.iloc[0])
+        assert found[0].tick == found[1].tick and abs(found[0].acc - found[1].acc) < 1e-9 and found[0].packets == found[1].packets
+
+
 def test_an_epoch_outdates_a_pixel():
     pixel, row = DecayingPixel(0.5, 3, 10.0), lambda packet, delta, epoch: iter([pd.DataFrame({"packet_id": [packet], "delta": [delta], "epoch": [epoch]})])
     pixel.init(Value())
