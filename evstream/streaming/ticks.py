@@ -18,6 +18,7 @@ CLOCK = "next long, ticks array<long>, newest array<long>"
 OUTPUT = "sensor string, tick long, ord long, t_us long"
 CHUNK = 1024  # events of a slot in a row
 TOGETHER = 64  # chunks that are in memory at once
+START_MS = 10**12  # Spark's clock at our time 0: its watermark begins at its own 0, and what is not after it counts as late
 
 
 class Slots:
@@ -57,8 +58,9 @@ class TickWindows(StatefulProcessor):
 
     Tick k comes k periods after 0 and is given when the watermark has passed it, so when no event of it can come any more: by an
     event-time timer, for all ticks that one batch passes. Its now is the latest event up to it, and its window reaches back from
-    there; a tick later than that by more ticks than a window spans has none. A slot holds its events as they came, until
-    the last tick that may have any, and the latest event of each slot up to that tick: no other key has to be asked.
+    there; a tick later than that by more ticks than a window spans has none. Times, and so ticks, may be 0 and, by less than
+    START_MS, below. A slot holds its events as they came, until the last tick that may have any, and the latest event of each slot
+    up to that tick: no other key has to be asked.
     """
 
     def __init__(self, period_us: int, window_us: int) -> None:
@@ -70,7 +72,7 @@ class TickWindows(StatefulProcessor):
         self.clock = handle.getValueState("clock", CLOCK)
 
     def _wait(self, tick: int) -> None:
-        self.handle.registerTimer(-(-tick * self.slots.period // 1000))
+        self.handle.registerTimer(START_MS - (-tick * self.slots.period // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         following, ticks, newest = self.clock.get() if self.clock.exists() else (None, (), ())
@@ -88,7 +90,7 @@ class TickWindows(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s, last = self.slots, int(key[1]) + self.slots.span
         following, ticks, newest = self.clock.get()
-        passed = min(timerValues.getCurrentWatermarkInMs() * 1000 // s.period, last)
+        passed = min((timerValues.getCurrentWatermarkInMs() - START_MS) * 1000 // s.period, last)
         cuts = {}  # of the ticks to be given that have a window
         for tick in range(following, passed + 1):
             if upto := [n for k, n in zip(ticks, newest) if tick - s.reach <= k <= tick]:
@@ -114,5 +116,5 @@ def tick_windows(events: DataFrame, period_us: int, window_us: int, late: str =
     """sensor, tick, ord, t_us from streaming events (sensor, ord, t_us), no number null; events that come later than late are left
     out, unless their slot is still open and others of it come with them. Needs the RocksDB state store."""
     parts = events.select("sensor", "ord", "t_us").mapInArrow(Slots(period_us, window_us).parts, PARTS)
-    rows = parts.withColumn("at", F.timestamp_micros("newest")).withWatermark("at", late)
+    rows = parts.withColumn("at", F.timestamp_micros(F.col("newest") + START_MS * 1000)).withWatermark("at", late)
     return rows.groupBy("sensor", "slot").transformWithStateInPandas(statefulProcessor=TickWindows(period_us, window_us), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")

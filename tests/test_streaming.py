@@ -6,6 +6,7 @@ import termios
 import threading
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -175,6 +176,35 @@ def test_ticks_where_the_tables_times_go_back(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 80
 
 
+def test_ticks_of_events_at_time_0(spark, tmp_path):
+    """A watermark begins at 0 too: an event of microsecond 0 is not late, and no tick is over before the stream has begun."""
+    own = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    first = F.when(F.col("event_id") < 3, F.lit("2024-01-01 00:00:00.4").cast(own.schema["ts"].dataType)).otherwise(F.col("ts"))
+    own.withColumn("ts", first).write.parquet(f"{tmp_path}/events.parquet")
+    got = engine.QUERIES["stream_tick_windows"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.sql(engine.ORACLES["stream_tick_windows"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and min(want) == (0, 3, 0, 0)
+
+
+def test_ticks_of_batches_that_meet_at_time_0(spark, tmp_path):
+    batches = [[-250_000, -66_666, -40_000, -7, 0], [0, 0, 5, 33_333, 90_000, 400_000]]
+    for k, times in enumerate(batches):
+        rows = [("a", 10 * k + i, t) for i, t in enumerate(times)]
+        spark.createDataFrame(rows, "sensor string, ord long, t_us long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    stream = spark.readStream.schema("sensor string, ord long, t_us long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = replay(ticks.tick_windows(stream, 33_333, 100_000, "100 milliseconds")).collect()
+    t, want = np.concatenate(batches), []
+    for tick in range(-10, 300_000 // 33_333 + 1):
+        upto = t[t <= tick * 33_333]
+        if (upto > (tick - 5) * 33_333).any():
+            want += [(tick, x) for x in upto[upto >= upto.max() - 100_000]]
+    assert sorted((r.tick, r.t_us) for r in got) == sorted(want) and sum(r.tick == 0 and r.t_us == 0 for r in got) == 3
+    assert len({r.batch for r in got}) > 1
+
+
 def test_a_key_of_the_ticks_is_a_slot():
     """However many events a sensor has, a key has those of one tick, in rows of bounded size, and of later slots one number each."""
     slots, rng = ticks.Slots(100, 250), np.random.default_rng(3)
